@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import compression, mixing, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [sharding.op4_vector_bin_packing, mixing.op10_sainte_lague_mix]
+    found = [
+        quality_rules.op1_boosted_quality_rules,
+        sharding.op4_vector_bin_packing,
+        compression.op8_compression_classifier,
+        mixing.op10_sainte_lague_mix,
+    ]
     return {f.__name__: f for f in found}
 
 
