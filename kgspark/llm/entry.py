@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression, jaccard_join, mixing, pii, quality_rules, sharding
+from . import compression, decontamination, jaccard_join, mixing, pii, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         quality_rules.op1_boosted_quality_rules,
         jaccard_join.op2_minhash_forest_join,
+        decontamination.op3_cgk_decontamination,
         sharding.op4_vector_bin_packing,
         pii.op7_weak_supervision_pii,
         compression.op8_compression_classifier,
