@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression, decontamination, jaccard_join, mixing, pii, quality_rules, sharding
+from . import compression, decontamination, jaccard_join, language_model, mixing, pii, quality_rules, sharding, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,8 +15,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         jaccard_join.op2_minhash_forest_join,
         decontamination.op3_cgk_decontamination,
         sharding.op4_vector_bin_packing,
+        language_model.op6_log_bilinear_scores,
         pii.op7_weak_supervision_pii,
         compression.op8_compression_classifier,
+        suffix_dedup.op9_sparse_suffix_spans,
         mixing.op10_sainte_lague_mix,
     ]
     return {f.__name__: f for f in found}
