@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression, decontamination, jaccard_join, language_model, mixing, pii, quality_rules, sharding, suffix_dedup
+import corpus_pipeline
+
+from . import compression, decontamination, jaccard_join, language_model, mixing, pii, quality_rules, sharding, suffix_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,14 +17,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         jaccard_join.op2_minhash_forest_join,
         decontamination.op3_cgk_decontamination,
         sharding.op4_vector_bin_packing,
+        token_counts.op5_delta_token_rollup,
         language_model.op6_log_bilinear_scores,
         pii.op7_weak_supervision_pii,
         compression.op8_compression_classifier,
         suffix_dedup.op9_sparse_suffix_spans,
         mixing.op10_sainte_lague_mix,
     ]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {"op5_delta_token_rollup": token_counts.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in found.items() if sql}
