@@ -109,7 +109,7 @@ def mix(
     line = rows.withColumn("turn", F.xxhash64(F.lit(seed + 1), "text_key", "doc_id")).withColumn("to", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     line = line.withColumn("from", F.col("to") - F.col("size")).join(quota, ["shard", "rank"])
     rest = F.col("quota") % F.col("words")
-    start = F.pmod(F.xxhash64("shard", "rank", F.lit(seed + 2)), F.ceil(F.col("words") / block)) * block
+    start = F.pmod(F.xxhash64("shard", "rank", F.lit(seed + 2)), F.greatest(F.ceil(F.col("words") / block), F.lit(1))) * block
 
     def overlap(low, high):
         return F.greatest(F.lit(0), F.least(F.col("to"), high) - F.greatest(F.col("from"), low))

@@ -1,0 +1,361 @@
+"""Every operator against a plain version, on odd rows and on empty tables."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pandas as pd
+import pytest
+from brute import base_counts, edit_distance, near, normal, personal, repeated_words, split
+from pyspark.sql import functions as F
+
+from kgspark.llm import boosting, components, compression, decontamination, jaccard_join, language_model, mixing, pii, quality_rules, sharding, suffix_dedup, token_counts
+
+
+def ordered(frame, *columns):
+    return sorted((tuple(r) for r in frame.select(*columns).collect()), key=str)
+
+
+# 1 quality rules
+
+
+def test_quality_base_counts(docs, rows, labels):
+    found = quality_rules.judge(docs.select("doc_id", "text"), quality_rules.fit(docs, labels))
+    expected = []
+    for r in rows:
+        counts = base_counts(r[1])
+        expected.append((r[0], *counts, counts[0] < 50 or 100 * counts[4] > 50 * counts[0]))
+    assert ordered(found, "doc_id", *quality_rules.BASE, "base_failed") == sorted(expected, key=str)
+    assert found.where("base_failed and kept").count() == 0
+
+
+def test_quality_keeps_columns_and_clashing_names(docs, labels):
+    wide = docs.withColumns({"n_words": F.lit("mine"), "kept": F.lit(7), "row": F.lit(1.5)})
+    kept = quality_rules.filter_documents(wide, labels)
+    assert kept.columns == wide.columns
+    assert {r["n_words"] for r in kept.collect()} == {"mine"}
+
+
+def test_quality_without_labels_or_rows(docs, empty, labels):
+    assert quality_rules.fit(docs, labels.limit(0)) is None
+    assert quality_rules.judge(docs.select("doc_id", "text"), None).where("kept = base_failed").count() == 0
+    assert quality_rules.filter_documents(empty, labels).count() == 0
+
+
+def test_trees_learn_and_keep_directions():
+    random = np.random.default_rng(0)
+    x = random.random((3000, 3))
+    y = (x[:, 0] + 0.3 * random.random(3000) > 0.7).astype(float)
+    model = boosting.fit(x, y, np.array([1, -1, 0]))
+    assert ((model.probability(x) > 0.5) == y).mean() > 0.9
+    grid = np.linspace(0, 1, 50)
+    for other in random.random((20, 3)):
+        probe = np.repeat(other[None, :], 50, axis=0)
+        probe[:, 0] = grid
+        assert (np.diff(model.logit(probe)) >= -1e-9).all()
+        probe[:, 0], probe[:, 1] = other[0], grid
+        assert (np.diff(model.logit(probe)) <= 1e-9).all()
+
+
+# 2 Jaccard join
+
+
+def test_jaccard_join_equals_all_pairs(docs, rows):
+    links, least = near(rows)
+    found = jaccard_join.join(docs)
+    assert ordered(found, "doc_id", "class_id", "n_links") == sorted(((r[0], c, n) for r, c, n in zip(rows, least, links)), key=str)
+
+
+@pytest.mark.parametrize("part", [8, 512])
+def test_jaccard_join_of_a_large_group(spark, monkeypatch, part):
+    monkeypatch.setattr(jaccard_join, "PART", part)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        own = list(words)
+        for k in range(i % 5):
+            own[(37 * i + 23 * k) % 120] = f"x{i}_{k}"
+        rows.append((i, " ".join(own)))
+    links, least = near(rows)
+    found = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert ordered(found, "doc_id", "class_id", "n_links") == sorted(((r[0], c, n) for r, c, n in zip(rows, least, links)), key=str)
+
+
+def test_one_of_each_group(docs, rows, empty):
+    _, least = near(rows)
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    groups = {("null", r[1]) if c is None else c for r, c in zip(rows, least)}
+    assert kept.count() == len(groups)
+    assert jaccard_join.one_of_each(empty).count() == 0
+    assert jaccard_join.join(empty).count() == 0
+
+
+def test_prefix_depth_reaches_the_target():
+    depth = jaccard_join.prefix_depth(0.8, 0.999)
+    assert 1 - (1 - 0.8**depth) ** jaccard_join.TREES >= 0.999
+    assert 1 - (1 - 0.8 ** (depth + 1)) ** jaccard_join.TREES < 0.999
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(5, 5), (None, 3)]
+    found = components.components(spark.createDataFrame(links, "a long, b long"))
+    got = {r["node"]: r["component"] for r in found.collect()}
+    assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 130)}}
+
+
+# 3 decontamination
+
+
+def planted(spark):
+    items = [(i, " ".join(f"Item{i}word{k}," for k in range(n))) for i, n in enumerate((4, 12, 30, 31, 60))]
+    docs = []
+    for i, text in items:
+        words = text.split()
+        edits = int(0.2 * len(words) + 1e-9)
+        for e in (0, edits, edits + 2):
+            changed = list(words)
+            for k in range(e):
+                at = (7 * k + 3) % len(changed)
+                if k % 3 == 0:
+                    changed[at] = f"other{k}"
+                elif k % 3 == 1:
+                    changed.insert(at, f"more{k}")
+                else:
+                    del changed[at]
+            docs.append((100 * i + e, " ".join([f"a{k}" for k in range(20)] + changed + [f"b{k}" for k in range(15)])))
+    docs += [(9000, None), (9001, ""), (9002, "Item0word0"), (0, docs[0][1])]
+    return spark.createDataFrame(docs, "doc_id long, text string"), docs, spark.createDataFrame([*items, (50, None), (51, ""), (52, "...")], "item_id int, text string"), items
+
+
+def test_decontamination_equals_edit_distances(spark):
+    frame, docs, benchmark, items = planted(spark)
+    expected = []
+    for d, text in docs:
+        for i, item in items:
+            distance = edit_distance(normal(item), normal(text))
+            if distance <= int(0.2 * len(normal(item)) + 1e-9):
+                expected.append((d, i, distance))
+    found = decontamination.matches(frame, benchmark)
+    assert ordered(found, "doc_id", "item_id", "distance") == sorted(expected, key=str)
+    spans = {(r["doc_id"], r["item_id"]): r for r in found.collect()}
+    texts = dict(docs)
+    for (d, i), r in spans.items():
+        stretch = normal(texts[d])[r["first_word"] : r["end_word"]]
+        assert edit_distance(normal(dict(items)[i]), stretch) == r["distance"]
+
+
+def test_clean_documents(spark, empty):
+    frame, docs, benchmark, _ = planted(spark)
+    wide = frame.withColumns({"row": F.lit(1), "item_id": F.lit("mine")})
+    dirty = {r["doc_id"] for r in decontamination.matches(frame, benchmark).collect()}
+    clean = decontamination.clean_documents(wide, benchmark, block_items=2)
+    assert clean.columns == wide.columns
+    assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in docs} - dirty
+    assert decontamination.clean_documents(empty, benchmark).count() == 0
+    assert decontamination.clean_documents(frame, benchmark.limit(0)).count() == len(docs)
+    assert decontamination.matches(frame, benchmark.limit(0)).count() == 0
+
+
+# 4 sharding and 10 mixing
+
+
+def test_sharding_law_and_slots(docs, rows):
+    found = sharding.shard(docs, shards=5).toPandas()
+    assert len(found) == len(rows)
+    expected = sorted((len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in rows)
+    assert sorted(zip(found["size"], found["text_crc32"])) == expected
+    for _, part in found.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+
+
+def test_sharding_splits_a_hot_group(spark, empty):
+    rows = [(i, "same text of some length " * 4) for i in range(3000)] + [(i, f"text {i} " * (i % 40)) for i in range(3000, 6000)]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=8).toPandas()
+    size = found.groupby("shard")["size"].sum()
+    assert len(size) == 8 and size.max() - size.min() < 0.01 * size.mean()
+    assert sharding.shard(empty).count() == 0
+
+
+def test_mixing_targets(docs, rows, empty):
+    found = mixing.mix(docs).toPandas()
+    assert len(found) == len(rows)
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r[3]] += len(split(r[1]))
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    target = dict(zip(names, mixing.capped_targets([sizes[n] for n in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5 * sum(sizes.values()))))
+    for name, part in found.groupby("source", dropna=False):
+        name = None if pd.isna(name) else name
+        assert part["source_size"].iloc[0] == sizes[name]
+        assert math.isclose(part["target"].iloc[0], target[name])
+        assert abs(part["taken"].sum() - target[name]) <= max(2, 0.02 * target[name])
+    assert (found["taken"] <= 2 * found["size"]).all() and (found["taken"] >= 0).all()
+    again = mixing.mix(docs.repartition(5)).toPandas()
+    assert Counter(map(tuple, found[["text_key", "taken"]].to_numpy())) == Counter(map(tuple, again[["text_key", "taken"]].to_numpy()))
+    assert mixing.mix(empty).count() == 0
+
+
+def test_capped_targets():
+
+    target = mixing.capped_targets([10, 1000, 1000], [5, 2, 1], 1500)
+    assert target[0] == 20 and math.isclose(target.sum(), 1500) and (target <= [20, 2000, 2000]).all()
+
+
+def test_sainte_lague_equals_one_seat_at_a_time():
+    random = np.random.default_rng(1)
+    for _ in range(50):
+        weights, caps = random.integers(0, 50, 6).astype(float), random.integers(0, 9, 6)
+        seats, out = int(random.integers(0, 40)), np.zeros(6, int)
+        for _ in range(seats):
+            quotient = np.where((out < caps) & (weights > 0), weights / (2 * out + 1), -1)
+            if quotient.max() <= 0:
+                break
+            out[quotient.argmax()] += 1
+        assert mixing.sainte_lague(weights, caps, seats).tolist() == out.tolist()
+
+
+# 5 token counts
+
+
+def test_rollup_is_idempotent(spark, tmp_path):
+    schema = "kind string, source string, lang string, tokenizer string, tokens long, old_tokens long"
+    batch = lambda *rows: spark.createDataFrame(list(rows), schema)
+    rollup = token_counts.Rollup(spark, str(tmp_path / "rollup"))
+    rollup.commit(0, batch(("insert", "a", "en", "t", 10, None), ("insert", "a", "en", "t", 5, None), ("insert", None, None, "t", None, None)))
+    change = batch(("revise", "a", "en", "t", 7, 10), ("delete", "a", "en", "t", 5, None))
+    rollup.commit(1, change)
+    rollup.commit(1, change)
+    rollup.commit(2, batch(("insert", "b", "de", "t", 3, None), ("delete", "b", "de", "t", 3, None)))
+    rollup.commit(3, batch())
+    assert ordered(rollup.totals(), "source", "lang", "tokenizer", "documents", "tokens") == [("a", "en", "t", 1, 7), (None, None, "t", 1, 0)]
+    with pytest.raises(Exception, match="unknown kind"):
+        rollup.commit(4, batch(("upsert", "a", "en", "t", 1, None)))
+
+
+def test_rollup_as_streaming_sink(spark, tmp_path, docs):
+    counted = token_counts.counted(docs).select(F.lit("insert").alias("kind"), "source", "lang", "tokenizer", "tokens", F.lit(0).cast("long").alias("old_tokens"))
+    counted.repartition(3).write.parquet(str(tmp_path / "in"))
+    rollup = token_counts.Rollup(spark, str(tmp_path / "out"))
+    stream = spark.readStream.schema(counted.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream.writeStream.foreachBatch(rollup.for_each_batch()).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start().awaitTermination()
+    total = counted.groupBy("source", "lang", "tokenizer").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"))
+    assert ordered(rollup.totals(), "source", "lang", "tokenizer", "documents", "tokens") == ordered(total, "source", "lang", "tokenizer", "documents", "tokens")
+
+
+# 6 language model
+
+
+def scored(docs):
+    rows = docs.select("doc_id", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1).alias("held_out"), "text")
+    learned = rows.where("not held_out").select("text")
+    counts = language_model.word_counts(learned)
+    return language_model.score(rows, counts, language_model.train(learned, counts, head=50))
+
+
+def test_language_model_base_scores(docs, rows, empty):
+    tokens = [[re.sub("[A-Z]", lambda m: m.group().lower(), w) for w in split(r[1])] + [None] for r in rows]
+    held = [zlib.crc32(str(r[0]).encode() if r[0] is not None else b"") % 5 == 1 for r in rows]
+    count = Counter(w for t, h in zip(tokens, held) if not h for w in t)
+    n, v = sum(count.values()), len(count)
+    expected = sorted(
+        ((r[0], h, len(t), sum(count[w] > 0 for w in t), n, round(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), 6)) for r, t, h in zip(rows, tokens, held)), key=str
+    )
+    found = scored(docs).withColumn("base", F.round("base_score", 6))
+    assert ordered(found, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base") == expected
+    assert found.where("score is null or score > 0 or isnan(score)").count() == 0
+    assert scored(empty).count() == 0
+
+
+def test_language_model_is_normalised_and_learns_order():
+    random = np.random.default_rng(0)
+    word = np.zeros(60000, dtype=np.int64)
+    for i in range(1, len(word)):
+        word[i] = (word[i - 1] + 1) % 10 if random.random() < 0.9 else random.integers(0, 10)
+    unigram = np.full(10, 0.1)
+    start = language_model.Parameters.start(unigram, 8, 0)
+    trainer = language_model.Trainer(start, unigram, 0)
+    one, two = language_model.contexts(word, np.array([0, len(word)]), 10)
+    for _ in range(4):
+        trainer.learn(one, two, word)
+    p, z = trainer.p, trainer.p.normalisers()
+    score = (p.r[one] @ p.c[0] + p.r[two] @ p.c[1]) @ p.q.T + p.b - z[one, two][:, None]
+    assert np.allclose(np.exp(score).sum(axis=1), 1, atol=1e-3)
+    assert score[np.arange(len(word)), word].mean() > np.log(0.1) + 0.8
+
+
+# 7 personal data
+
+
+def test_personal_data_base_spans(spark, docs, rows):
+    texts = [
+        "a@b.com_x@y.z 1.2.3.4.5.6 300.1.1.1 001.2.3.4 +1 (325) 555-8094 4111 1111 1111 1111 😀 é x.y@z.co +123",
+        "@@@ a@b c@d. e@f.g. " + "9" * 300 + " " + "a" * 4000 + "@ " + "1234567890123456 " * 700,
+        "12 34 5678.1.2.3 +49 30 1234567890123456789 1" + "-1" * 20 + " joe (at) site (dot) com call (212) 555-1234",
+    ]
+    more = [(5000 + i, t) for i, t in enumerate(texts)]
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    found = pii.digest(pii.detect(frame))
+    expected = []
+    for r in [*rows, *more]:
+        spans = personal(r[1])
+        count = Counter(s.split(":")[0] for s in spans)
+        expected.append((r[0], count["email"], count["ip"], count["card"], count["phone"], hashlib.sha256(",".join(spans).encode()).hexdigest()))
+    assert ordered(found, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == sorted(expected, key=str)
+    for r in found.join(frame.select("doc_id", "text"), "doc_id").collect():
+        assert set(personal(r["text"])) <= set(filter(None, r["spans"].split(",")))
+
+
+def test_personal_data_without_rows(empty):
+    assert pii.digest(pii.detect(empty)).count() == 0
+
+
+def test_reliabilities_find_the_good_labelers():
+    random = np.random.default_rng(0)
+    counted = Counter()
+    for _ in range(4000):
+        real = random.random() < 0.6
+        counted[tuple(int((1 if real else -1) * (1 if random.random() < p else -1)) for p in (0.95, 0.9, 0.6))] += 1
+    patterns = [(v, float(n)) for v, n in sorted(counted.items())]
+    rate, prior, posterior = pii.reliabilities(patterns)
+    assert rate[0][0] > rate[2][0] and rate[1][0] > rate[2][0] and abs(prior - 0.6) < 0.1
+    weight = pii.span_classifier(patterns, posterior)
+    assert weight[1] > weight[3] and weight[2] > weight[3]
+
+
+# 8 compression classifier
+
+
+def test_compression_classifier(docs, rows, labels, empty, spark):
+    good = [(i, " ".join(f"plain{(i * k) % 17} words" for k in range(60))) for i in range(400)]
+    bad = [(1000 + i, " ".join(f"zz{(i * k) % 19}### $$" for k in range(60))) for i in range(400)]
+    frame = spark.createDataFrame(good + bad, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i < 1000), 0) for i, _ in good + bad], "doc_id long, quality int, toxic int")
+    found = compression.score(frame, compression.fit(frame, marks)).toPandas()
+    held = found[found["held_out"]]
+    assert len(held) > 100 and ((held["doc_id"] < 1000) == (held["predicted"] == 1)).mean() > 0.95
+    assert all(zlib.crc32(str(d).encode()) % 4 == 2 for d in held["doc_id"])
+    odd = compression.score(docs, compression.fit(docs, labels)).toPandas()
+    assert len(odd) == len(rows) and odd["score"].between(0, 1).all() and ((odd["score"] >= 0.7) == (odd["predicted"] == 1)).all()
+    assert compression.score(docs, compression.fit(docs, labels.limit(0))).where("score <> 0.5").count() == 0
+    assert compression.score(empty, compression.fit(empty, labels)).count() == 0
+
+
+# 9 repeated passages
+
+
+def test_repeated_passages(docs, rows, empty):
+    expected = []
+    for r, marked in zip(rows, repeated_words(rows)):
+        flat = [False, *marked, False]
+        starts = [i for i in range(len(marked)) if flat[i + 1] and not flat[i]]
+        ends = [i for i in range(1, len(marked) + 1) if flat[i] and not flat[i + 1]]
+        expected.append((r[0], sum(marked), ",".join(f"{a}:{b}" for a, b in zip(starts, ends))))
+    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    found = suffix_dedup.repeated_spans(docs).withColumn("listed", listed)
+    assert ordered(found, "doc_id", "n_repeated", "listed") == sorted(expected, key=str)
+    assert found.where("n_repeated > 0").count() >= 8
+    assert suffix_dedup.repeated_spans(empty).count() == 0
