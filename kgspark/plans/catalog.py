@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph  # noqa: F401  registers its queries
+from . import graph, merge  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES, Query
 
 
