@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import functions, graph, merge  # noqa: F401  they register their queries
+from . import chunks, functions, graph, merge, quality  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES, Query
 
 
