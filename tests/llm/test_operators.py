@@ -12,7 +12,8 @@ import pytest
 from brute import base_counts, edit_distance, near, normal, personal, repeated_words, split
 from pyspark.sql import functions as F
 
-from kgspark.llm import boosting, components, compression, decontamination, jaccard_join, language_model, mixing, pii, quality_rules, sharding, suffix_dedup, token_counts
+from kgspark.operators import components
+from kgspark.llm import boosting, compression, decontamination, jaccard_join, language_model, mixing, pii, quality_rules, sharding, suffix_dedup, token_counts
 
 
 def ordered(frame, *columns):
