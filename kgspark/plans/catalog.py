@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, functions, graph, infer, ingest, merge, quality, search  # noqa: F401  they register their queries
+from . import chunks, functions, graph, infer, ingest, merge, more, quality, search  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES, Query
 
 
