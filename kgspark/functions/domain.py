@@ -89,4 +89,4 @@ def shape_similarity(one: str, other: str) -> Column:
     for name in ("vent", "seal", "housing", "connector", "gasket", "lens"):
         score = score + F.coalesce(parts[name] * SHAPE[name], F.lit(0.0))
         total = total + F.when(parts[name].isNotNull(), SHAPE[name]).otherwise(0.0)
-    return F.when(total > 0, F.floor(score / total * 100 + 0.5) / 100).otherwise(0.0)
+    return F.when(total > 0, F.floor(F.round(score / total * 100 + 0.5, 9)) / 100).otherwise(0.0)

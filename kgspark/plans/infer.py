@@ -173,8 +173,8 @@ def features(part: str):
 
 @query(
     """with f as (select p_partkey as id, p_name, p_size % 4 as vc, case when p_size % 2 = 0 then 'up,down' else 'up' end as vl, lower(p_brand) as seal, lower(p_type) as housing, p_size % 9 as ip, case when p_partkey % 3 = 0 then lower(p_brand) end as gasket, split_part(p_name, ' ', 2) as lens from part),
-    p as (select a.id, b.id as other, (case abs(a.vc - b.vc) when 0 then 1.0 when 1 then 0.4 else 0.0 end * 0.6 + case when a.vl = b.vl then 1.0 else 0.5 end * 0.4) * 0.25 as w1, case when a.seal = b.seal then 0.2 else 0 end as w2, case when a.housing = b.housing then 0.2 else 0 end as w3,
-      case when a.ip = b.ip then 0.15 when abs(a.ip - b.ip) <= 1 then 0.075 else 0 end as w4, case when a.gasket = b.gasket then 0.1 else 0 end as w5, case when a.gasket is not null and b.gasket is not null then 0.1 else 0 end as g5, case when a.lens = b.lens then 0.1 else 0 end as w6 from f a join f b on a.p_name = b.p_name and a.id <> b.id where a.id % 10 = 0),
+    p as (select a.id, b.id as other, (case abs(a.vc - b.vc) when 0 then 1.0 when 1 then 0.4 else 0.0 end * 0.6 + case when a.vl = b.vl then 1.0 else 0.5 end * 0.4) * 0.25 as w1, case when a.seal = b.seal then 0.2 when contains(a.seal, b.seal) or contains(b.seal, a.seal) then 0.2 / 2 else 0 end as w2, case when a.housing = b.housing then 0.2 when contains(a.housing, b.housing) or contains(b.housing, a.housing) then 0.2 / 2 else 0 end as w3,
+      case when a.ip = b.ip then 0.15 when abs(a.ip - b.ip) <= 1 then 0.075 else 0 end as w4, case when a.gasket = b.gasket then 0.1 when contains(a.gasket, b.gasket) or contains(b.gasket, a.gasket) then 0.1 / 2 else 0 end as w5, case when a.gasket is not null and b.gasket is not null then 0.1 else 0 end as g5, case when a.lens = b.lens then 0.1 else 0 end as w6 from f a join f b on a.p_name = b.p_name and a.id <> b.id where a.id % 10 = 0),
     s as (select id, other, floor(round(((w1 + w2 + w3 + w4 + w5 + w6) / (0.9 + g5))::double * 100 + 0.5, 9)) / 100 as score from p)
     select id, other, score, row_number() over (partition by id order by score desc, other) as place from s where score > 0.3 qualify place <= 4"""
 )
