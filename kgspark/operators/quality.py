@@ -30,7 +30,9 @@ def auto_duplicates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     objects = nodes.where("type <> 'doc'").select("canvas_id", "id", "type", "ord", fold(F.col("label")).alias("fold"), tokens(F.col("label")).alias("tokens"))
     auto = objects.where("id like 'AUTO\\\\_%'").join(proven(nodes, edges), NODE, "left_semi")
-    regular = objects.where("id not like 'AUTO\\\\_%'").select("canvas_id", "type", *(F.col(c).alias(f"r_{c}") for c in ("id", "ord", "fold", "tokens")))
+    # of regular nodes with one label only the first can win
+    regular = objects.where("id not like 'AUTO\\\\_%'").groupBy("canvas_id", "type", F.col("fold").alias("r_fold"), F.col("tokens").alias("r_tokens"))
+    regular = regular.agg(F.min_by("id", "ord").alias("r_id"), F.min("ord").alias("r_ord"))
     exact = auto.join(regular, (auto.canvas_id == regular.canvas_id) & (auto.type == regular.type) & (F.col("fold") == F.col("r_fold"))).select(auto.canvas_id, "id", "r_id", "r_ord", F.lit(92).alias("score"))
     one, other = auto.withColumn("t", F.explode("tokens")), regular.withColumn("t", F.explode("r_tokens"))
     met = one.join(other, ["canvas_id", "type", "t"]).where(is_subset(F.col("tokens"), F.col("r_tokens")) | is_subset(F.col("r_tokens"), F.col("tokens")))
