@@ -113,3 +113,14 @@ def edge_weight(weight: Column, rel: Column) -> Column:
 
 def hop(src: Column, rel: Column, dst: Column) -> Column:
     return F.concat_ws("→", src, rel, dst)
+
+
+def slug(name: Column, empty: str = "canvas") -> Column:
+    """Letters and digits of any script in lower case, all else as single hyphens between them."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
+    return F.coalesce(F.nullif(plain, F.lit("")), F.lit(empty))
+
+
+def prefixed(text: Column, kind: str = "passage") -> Column:
+    """Text with the prefix that asymmetric embedding models want: ``passage`` for what is searched, ``query`` for questions."""
+    return F.concat(F.lit(f"{kind}: "), text)
