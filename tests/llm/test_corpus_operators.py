@@ -345,6 +345,18 @@ def test_compression_classifier(docs, rows, labels, empty, spark):
     assert compression.score(empty, compression.fit(empty, labels)).count() == 0
 
 
+def test_compression_classifier_learns_from_whole_texts(spark):
+    random = np.random.default_rng(5)
+    vocabulary, rows = ["".join(random.choice(list("abcdefghij"), 8)) for _ in range(1000)], []
+    for i in range(60):
+        text = " ".join(random.choice(vocabulary, 3000))
+        rows += [(i, "same start " * 5000 + text), (1000 + i, "same start " * 5000 + text.translate(str.maketrans("abcdefghij", "klmnopqrst")))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    marks = spark.createDataFrame([(d, int(d < 1000)) for d, _ in rows], "doc_id long, quality int")
+    found = compression.score(frame, compression.fit(frame, marks)).where("held_out").toPandas()
+    assert len(found) > 15 and found.loc[found["doc_id"] < 1000, "score"].min() > found.loc[found["doc_id"] >= 1000, "score"].max()
+
+
 # 9 repeated passages
 
 
