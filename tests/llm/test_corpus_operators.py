@@ -149,6 +149,41 @@ def test_decontamination_equals_edit_distances(spark):
         assert edit_distance(normal(dict(items)[i]), stretch) == r["distance"]
 
 
+def edited(random, words, edits):
+    """``words`` with so many random edits."""
+    out = list(words)
+    for k in range(edits):
+        at, kind = int(random.integers(0, len(out))), int(random.integers(0, 3))
+        out[at : at + (kind != 0)] = [] if kind == 1 else [f"other{k}"]
+    return out
+
+
+@pytest.mark.parametrize("n", [20, 80, 200, 1000])
+def test_decontamination_reaches_its_target_inside_other_text(n):
+    prepared = decontamination.Benchmark([(i, " ".join(f"i{i}w{k}" for k in range(n))) for i in range(10)], 0.8, 0.99)
+    c, random = prepared.classes[0], np.random.default_rng(1)
+    source = random.integers(0, len(c.codes), 1000)
+    lists = [edited(random, c.codes[i].tolist(), int(c.edits[i])) for i in source]
+    lists = [np.array([prepared.other if isinstance(w, str) else w for w in t] + [prepared.other] * 2 * n, dtype=np.int32) for t in lists]
+    found = np.full(len(source), c.repeats == 0)
+    for a, b in zip(prepared._keys(c, *prepared._joined(lists), c.repeats), prepared._keys(c, *prepared._joined([c.codes[i] for i in source]), c.repeats)):
+        found |= a == b
+    assert found.mean() >= 0.985
+
+
+@pytest.mark.parametrize("most", [24, 0])
+def test_decontamination_of_long_items(spark, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "_MOST_REPEATS", most)
+    random = np.random.default_rng(2)
+    items = [(n, " ".join(f"i{n}w{k % (n - 7)}" for k in range(n))) for n in (10, 200, 500, 1000)]
+    docs = [(10 * n + j, " ".join([f"a{k}" for k in range(30)] + edited(random, text.split(), n // 5) + [f"b{k}" for k in range(30)])) for n, text in items for j in range(3)]
+    found = decontamination.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string"))
+    texts = dict(docs)
+    rows = {(r["doc_id"], r["item_id"]): r["distance"] for r in found.collect()}
+    assert set(rows) == {(10 * n + j, n) for n, _ in items for j in range(3)}
+    assert all(d == edit_distance(normal(dict(items)[i]), normal(texts[doc])) for (doc, i), d in rows.items() if i <= 200)
+
+
 def test_clean_documents(spark, empty):
     frame, docs, benchmark, _ = planted(spark)
     wide = frame.withColumns({"row": F.lit(1), "item_id": F.lit("mine")})
