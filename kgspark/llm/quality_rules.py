@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> boosting.Tr
 
 
 def judge(rows: DataFrame, model: boosting.Trees | None, threshold: float = 0.5) -> DataFrame:
-    """Adds the base counts, ``base_failed``, ``quality_score`` and ``kept`` to rows with a column ``text``.
+    """Adds the base counts, ``base_failed``, ``kept`` and ``quality_score`` to rows with a column ``text``.
 
     The text itself is not carried on; all other columns are.
     """
@@ -194,13 +194,13 @@ def judge(rows: DataFrame, model: boosting.Trees | None, threshold: float = 0.5)
                 score = model.probability(features) if model else np.ones(len(base))
                 columns = [batch[n].slice(block.first, block.rows) for n in names]
                 columns += [pa.array(c.astype(np.int64)) for c in base.T]
-                columns += [pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, *BASE, "base_failed", "quality_score", "kept"])
+                columns += [pa.array(failed), pa.array(~failed & (score >= threshold)), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, *BASE, "base_failed", "kept", "quality_score"])
 
     schema = StructType(kinds)
     for name in BASE:
         schema = schema.add(name, "long")
-    return rows.mapInArrow(run, schema.add("base_failed", "boolean").add("quality_score", "double").add("kept", "boolean"))
+    return rows.mapInArrow(run, schema.add("base_failed", "boolean").add("kept", "boolean").add("quality_score", "double"))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
