@@ -206,6 +206,26 @@ def test_sharding_law_and_slots(docs, rows):
     assert sorted(zip(found["size"], found["text_crc32"])) == expected
     for _, part in found.groupby("shard"):
         assert sorted(part["slot"]) == list(range(len(part)))
+    # no group is as large as a shard here but the longest text, which is one row
+    together = found.merge(pd.DataFrame({"crc": [zlib.crc32((r[1] or "").encode()) for r in rows]}).drop_duplicates(), left_on="text_crc32", right_on="crc")
+    assert (together.groupby(["text_crc32", "size"])["shard"].nunique() == 1).all()
+    assert list(found.columns[:7]) == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
+def test_packing_equals_a_plain_loop():
+    random = np.random.default_rng(4)
+    for n in (1, 7, 90):
+        items = random.integers(1, 100, (n, 3)) / 50
+        share = items / items.sum(axis=0)
+        left, expected = [[1 / 6] * 3 for _ in range(6)], {}
+        for i in sorted(range(n), key=lambda i: (-max(share[i]), i)):
+            with_room = [s for s in range(6) if left[s][0] >= share[i][0]]
+            fit = lambda s, i=i: sum(a * b for a, b in zip(left[s], share[i]))
+            expected[i] = max(with_room, key=lambda s: (round(fit(s), 12), -s)) if with_room else max(range(6), key=lambda s: (left[s][0], -s))
+            left[expected[i]] = [a - b for a, b in zip(left[expected[i]], share[i])]
+        assert sharding.fill(share, 6).tolist() == [expected[i] for i in range(n)]
+        before, after = (np.bincount(c, items[:, 0], 6) for c in (sharding.fill(share, 6), sharding.pack(items, 6)))
+        assert np.ptp(after) <= np.ptp(before)
 
 
 def test_sharding_splits_a_hot_group(spark, empty):
