@@ -6,18 +6,24 @@ suffixes only those are retained that start at a minimiser: the leftmost least h
 Every stretch of LEAST words has its first minimiser within its first WINDOW words, and the suffix from
 there shares at least ``HEAD`` words with its equal elsewhere.
 
-1. Suffixes are put in the order of the hash of their first HEAD words; equal ones become neighbours.  That is a
-   distributed sort and merge on this key.  A key stays if suffixes of two different texts have it.
-2. From the suffixes that stay, matches are extended to the left and to the right: every stretch of LEAST words
-   whose first minimiser is such a suffix is compared as a whole, over all its extensions at once.
-3. Stretches found in two texts are merged into the longest repeated spans of each text.
-
-Both comparisons keep the least and the greatest text of a key, so a passage that stands in a third of all texts is
-never gathered in one place.  Texts are told apart by 64-bit hashes, passages too.
-
-Defined results: null texts, empty texts and texts shorter than LEAST words have no spans; of rows with equal texts,
-all are repeated as wholes; repeats inside one text alone are not counted; an empty table gives no rows; rows
-without an id are rows like any other; extra columns are not read.
+1. The suffixes of all different texts are sorted by their first HEAD words (as one hash), then by the codes of the words
+   that follow, then by text: a distributed suffix array, ranges of which are the partitions.  Suffixes with equal heads are
+   neighbours; because the text is part of the order, a head that stands in a third of all texts is spread over many
+   partitions.
+2. In each run of equal heads, matches are extended to the left and to the right, word code by word code, up to the
+   stretches of LEAST words whose first minimiser is this suffix (longer matches have further minimisers and are put together
+   from these).  For each number of words to the left, the suffixes are sorted by those words and the words to the right;
+   neighbours of different texts share the stretch.
+3. A run that goes on in another part of the order (a part has about ``CHUNK`` suffixes) hands on its stretches that met no
+   other text there, and one row with the least and the greatest text for each stretch; a join over all parts settles them.
+4. Stretches found in two texts are merged into the longest repeated spans of each text.
+
+Word codes have 32 bits, heads and texts 64; two stretches that differ are taken for equal only if such hashes collide.
+
+Defined results: null texts, empty texts and texts shorter than LEAST words have no spans; very long texts are read
+whole; of rows with equal texts, all are repeated as wholes; repeats inside one text alone are not counted; ties in the
+order are between equal suffixes, all of which are compared; an empty table gives no rows; rows without an id are rows
+like any other; repeated rows are equal texts; extra columns, clashing names among them, are not read.
 """
 
 from __future__ import annotations
@@ -29,11 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import n_words, settle, table
 from .wordhash import Block, blocks, gram_hashes, mix, word_hashes, words
 
 LEAST, GRAM, WINDOW = 50, 5, 32
 HEAD = LEAST - WINDOW + 1
+SIDE = LEAST - HEAD
+CHUNK = 1 << 16
+_STEP, _SIDES = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
 def minimisers(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,71 +70,143 @@ def run_hashes(hashes: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def _lists(counts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+def _codes(code: np.ndarray, first: np.ndarray, count: np.ndarray, step: int) -> pa.Array:
+    """For each suffix the codes of ``count`` words from ``first`` on, to the right (step 1) or to the left (step -1), as binary."""
+    bounds = np.concatenate(([0], np.cumsum(count)))
+    within = np.arange(bounds[-1]) - np.repeat(bounds[:-1], count)
+    values = code[np.repeat(first, count) + step * within].astype(">u4")
+    return pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(values)])
 
 
-def retained(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_id, n_words, place, head``: of each row, word positions of its retained suffixes and hashes of their first words."""
+def retained(texts: DataFrame) -> DataFrame:
+    """``head, right, left, text_id, place``: the retained suffixes of ``texts`` (text_id, text), one row each.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks(batch["text"]):
-                hashes, bounds, _, chosen = minimisers(block)
-                chosen = chosen[np.concatenate(([True], chosen[1:] != chosen[:-1]))] if len(chosen) else chosen
-                count = np.diff(np.searchsorted(chosen, bounds))
-                at = slice(block.first, block.first + block.rows)
-                place = chosen - np.repeat(bounds[:-1], count)
-                columns = [batch["doc_id"][at], batch["text_id"][at], pa.array(np.diff(bounds)), _lists(count, place.astype(np.int32), pa.int32()), _lists(count, run_hashes(hashes, chosen, HEAD).view(np.int64), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "n_words", "place", "head"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, text_id long, n_words long, place array<int>, head array<bigint>")
-
-
-def extended(texts: DataFrame) -> DataFrame:
-    """``text_id, start, stretch`` from (text_id, text, place): all stretches of LEAST words whose first minimiser is among ``place``."""
+    head: hash of the first HEAD words.  right, left: codes of the words after the head and before the suffix (nearest
+    first), as far as stretches with this first minimiser reach.  place: word position.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch["text"]):
                 hashes, bounds, start, chosen = minimisers(block)
-                at = slice(block.first, block.first + block.rows)
-                place = batch["place"][at]
-                count = place.value_lengths().to_numpy()
-                matched = np.zeros(len(hashes) + 1, dtype=bool)
-                matched[place.flatten().to_numpy() + np.repeat(bounds[:-1], count)] = True
-                start = start[matched[chosen]]
-                count = np.diff(np.searchsorted(start, bounds))
-                columns = [batch["text_id"][at], _lists(count, (start - np.repeat(bounds[:-1], count)).astype(np.int32), pa.int32()), _lists(count, run_hashes(hashes, start, LEAST).view(np.int64), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["text_id", "start", "stretch"])
-
-    return texts.mapInArrow(run, "text_id long, start array<int>, stretch array<bigint>")
+                if not len(start):
+                    continue
+                first = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
+                last = np.append(first[1:], len(chosen)) - 1
+                place = chosen[first]
+                row = np.searchsorted(bounds, place, "right") - 1
+                code = (hashes >> np.uint64(32)).astype(np.uint32)
+                columns = [
+                    pa.array(run_hashes(hashes, place, HEAD).view(np.int64)),
+                    _codes(code, place + HEAD, SIDE - (place - start[last]), 1),
+                    _codes(code, place - 1, place - start[first], -1),
+                    batch["text_id"].slice(block.first, block.rows).take(pa.array(row)),
+                    pa.array((place - bounds[row]).astype(np.int32)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["head", "right", "left", "text_id", "place"])
+
+    return texts.mapInArrow(run, "head long, right binary, left binary, text_id long, place int")
+
+
+def _prefix_hashes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first 0, 1, ... SIDE codes of each row (columns beyond its length are void) and its number of codes."""
+    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    _, offsets, values = array.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int32)[array.offset : array.offset + len(array) + 1] // 4
+    count = np.diff(offsets)
+    codes = np.frombuffer(values, dtype=">u4") if values is not None and values.size else np.zeros(0, ">u4")
+    codes = codes[offsets[0] : offsets[-1]].astype(np.uint64)
+    matrix = np.zeros((len(array), SIDE), dtype=np.uint64)
+    matrix[np.repeat(np.arange(len(array)), count), np.arange(len(codes)) - np.repeat(offsets[:-1] - offsets[0], count)] = codes
+    out = np.empty((len(array), SIDE + 1), dtype=np.uint64)
+    out[:, 0] = 1
+    for i in range(SIDE):
+        out[:, i + 1] = mix(out[:, i] * _STEP + matrix[:, i])
+    return out, count
+
+
+def _extend(rows: pa.Table, open_first: bool, open_last: bool) -> Iterator[pa.RecordBatch]:
+    """Stretches of sorted suffixes that stand in two texts, and what is left open in the first and the last run.
+
+    Rows (text_id, place, mask): bit o of the mask is set where the stretch from o words left of the suffix is shared.  With a
+    key, such a row waits for another text with the same key; rows (key, low, high) tell the texts of a key.
+    """
+    head, text, place = (rows[n].to_numpy() for n in ("head", "text_id", "place"))
+    left, most = _prefix_hashes(rows["left"])
+    right, reach = _prefix_hashes(rows["right"])
+    least = SIDE - reach
+    count = most - least + 1
+    first = np.cumsum(count) - count
+    row = np.repeat(np.arange(len(head)), count)
+    o = np.arange(len(row)) - first[row] + least[row]
+    key = mix(mix(left[row, o] + o.astype(np.uint64) * _SIDES) * _STEP + right[row, SIDE - o] + head.view(np.uint64)[row])
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+    group = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    texts = text[row[order]]
+    low, high = np.minimum.reduceat(texts, starts), np.maximum.reduceat(texts, starts)
+    shared = np.empty(len(row), dtype=bool)
+    shared[order] = (low != high)[group]
+    bit = np.int64(1) << o.astype(np.int64)
+    mask = np.bitwise_or.reduceat(np.where(shared, bit, 0), first)
+    some = np.flatnonzero(mask)
+    yield _found(text_id=text[some], place=place[some], mask=mask[some])
+    waits = ((head == head[0]) if open_first else False) | ((head == head[-1]) if open_last else np.zeros(len(head), bool))
+    pairs = np.flatnonzero(waits[row] & ~shared)
+    yield _found(text_id=text[row[pairs]], place=place[row[pairs]], mask=bit[pairs], key=key[pairs].view(np.int64))
+    groups = np.flatnonzero(waits[row[order[starts]]])
+    yield _found(key=key[order[starts[groups]]].view(np.int64), low=low[groups], high=high[groups])
+
+
+_FOUND = {"text_id": pa.int64(), "place": pa.int32(), "mask": pa.int64(), "key": pa.int64(), "low": pa.int64(), "high": pa.int64()}
+
+
+def _found(**columns: np.ndarray) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], kind) if c in columns else pa.nulls(n, kind) for c, kind in _FOUND.items()], names=list(_FOUND))
+
+
+def _compared(suffixes: DataFrame) -> DataFrame:
+    """What ``_extend`` finds in the parts of the sorted suffixes: whole runs, and pieces of runs longer than a part."""
+    size = CHUNK
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, going_on = None, True
+        for batch in batches:
+            rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if rest.num_rows < size:
+                continue
+            head = rest["head"].to_numpy()
+            other = np.flatnonzero(head != head[-1])
+            cut = int(other[-1]) + 1 if len(other) else len(head)
+            yield from _extend(rest.slice(0, cut).combine_chunks(), going_on, not len(other))
+            rest, going_on = rest.slice(cut) if cut < len(head) else None, not len(other)
+        if rest is not None and rest.num_rows:
+            yield from _extend(rest.combine_chunks(), going_on, True)
 
-def _in_two_texts(rows: DataFrame, place: str, key: str) -> DataFrame:
-    """``text_id`` and the set of ``place`` whose ``key`` also stands in another text; ``rows`` has both as parallel arrays."""
-    each = rows.select("text_id", F.explode(F.arrays_zip(place, key)).alias("e")).select("text_id", F.col(f"e.{place}").alias(place), F.col(f"e.{key}").alias(key))
-    shared = each.groupBy(key).agg(F.min("text_id").alias("least"), F.max("text_id").alias("most")).where("least <> most").select(key)
-    return each.join(shared, key).groupBy("text_id").agg(F.collect_set(place).alias(place))
+    order = ("head", "right", "text_id", "place")
+    schema = "text_id long, place int, mask long, key long, low long, high long"
+    return suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
-def _merged(starts: DataFrame) -> DataFrame:
-    """Overlapping or touching stretches of each text as spans (start, end) in words."""
+def _merged(found: DataFrame) -> DataFrame:
+    """Overlapping or touching stretches of each text as spans (start, end) in words, from its pairs of place and mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = []
-            for value in batch["start"]:
-                at = np.sort(np.asarray(value.values.to_numpy()))
+            for value in batch["found"]:
+                place, mask = (value.values.field(i).to_numpy() for i in (0, 1))
+                at = np.unique(np.concatenate([place[mask >> o & 1 == 1] - o for o in range(SIDE + 1)]))
                 first = np.concatenate(([True], np.diff(at) > LEAST))
                 last = np.concatenate((first[1:], [True]))
                 spans.append([{"start": int(a), "end": int(b) + LEAST} for a, b in zip(at[first], at[last])])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch["text_id"], pa.array(spans, kind)], names=["text_id", "spans"])
 
-    return starts.mapInArrow(run, "text_id long, spans array<struct<start: bigint, end: bigint>>")
+    lists = found.groupBy("text_id").agg(F.collect_list(F.struct("place", "mask")).alias("found"))
+    return lists.mapInArrow(run, "text_id long, spans array<struct<start: bigint, end: bigint>>")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -135,15 +216,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_id"), text.alias("text"))
-    suffixes = settle(retained(rows))
-    texts = suffixes.groupBy("text_id").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"))
-    met = settle(_in_two_texts(suffixes, "place", "head").join(texts.withColumnRenamed("text_id", "id"), F.col("text_id") == F.col("id")).select("id", "copy_of", "place"))
-    first = rows.join(met, (rows["text_id"] == met["id"]) & rows["doc_id"].eqNullSafe(met["copy_of"])).select("text_id", "text", "place")
-    spans = _merged(_in_two_texts(settle(extended(first)), "start", "stretch"))
+    light = settle(rows.select("doc_id", "text_id", n_words(F.col("text")).alias("n_words")))
+    texts = settle(light.groupBy("text_id").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), F.first("n_words").alias("n_words")))
+    # one row of each text that can have a stretch at all
+    different = rows.where(F.octet_length("text") >= 2 * LEAST - 1).groupBy("text_id").agg(F.first("text").alias("text"))
+    found = settle(_compared(retained(different)))
+    shared = found.where("low is not null").groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("key")
+    waiting = found.where("key is not null and mask is not null").join(shared, "key", "left_semi")
+    spans = _merged(found.where("key is null").unionByName(waiting.select(*found.columns)).select("text_id", "place", "mask"))
     whole = F.when((F.col("copies") > 1) & (F.col("n_words") >= LEAST), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))))
     none = F.array().cast("array<struct<start: bigint, end: bigint>>")
-    out = suffixes.select("doc_id", "text_id", "n_words").join(texts.join(spans, "text_id", "left"), "text_id")
-    out = out.withColumn("spans", F.coalesce(whole, "spans", none))
+    told = ("doc_id", "copy_of", "n_words", "copies")
+    # texts with more than a thousandth of all rows, fewer than a thousand, are joined apart from the others
+    hot = texts.where(F.col("copies") > F.greatest(F.lit(texts.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] // 1000), F.lit(1)))
+    rows = light.drop("n_words")
+    often = rows.join(F.broadcast(hot), "text_id").select(*told, none.alias("found"))
+    others = rows.join(F.broadcast(hot.select("text_id")), "text_id", "left_anti").join(texts.join(spans, "text_id", "left"), "text_id")
+    out = often.unionByName(others.select(*told, F.col("spans").alias("found"))).withColumn("spans", F.coalesce(whole, "found", none))
     repeated = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     return out.select("doc_id", "copy_of", "n_words", repeated.alias("n_repeated"), "spans")
 

@@ -415,7 +415,9 @@ def test_compression_classifier_learns_from_whole_texts(spark):
 # 9 repeated passages
 
 
-def test_repeated_passages(docs, rows, empty):
+@pytest.mark.parametrize("chunk", [1 << 16, 7])
+def test_repeated_passages(docs, rows, empty, monkeypatch, chunk):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
     expected = []
     for r, marked in zip(rows, repeated_words(rows)):
         flat = [False, *marked, False]
@@ -427,3 +429,19 @@ def test_repeated_passages(docs, rows, empty):
     assert ordered(found, "doc_id", "n_repeated", "listed") == sorted(expected, key=str)
     assert found.where("n_repeated > 0").count() >= 8
     assert suffix_dedup.repeated_spans(empty).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [1 << 16, 5])
+def test_repeated_passages_with_varied_borders(spark, monkeypatch, chunk):
+    """A passage whose parts stand in many texts, each part in other company, so that neighbours alone would miss some."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    random, passage = np.random.default_rng(8), [f"p{i}" for i in range(110)]
+    rows = []
+    for i in range(60):
+        a = int(random.integers(0, 55))
+        b = a + int(random.integers(45, 56))
+        rows.append((i, " ".join([f"l{i}_{k % 9}" for k in range(int(random.integers(0, 70)))] + passage[a:b] + [f"r{i}_{k}" for k in range(int(random.integers(0, 40)))])))
+    rows += [(100, "same " * 300), (101, "same " * 90 + "other"), (102, "same " * 49)]
+    expected = sorted((r[0], sum(m)) for r, m in zip(rows, repeated_words(rows)))
+    found = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted((r["doc_id"], r["n_repeated"]) for r in found.collect()) == expected
