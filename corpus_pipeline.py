@@ -6,13 +6,17 @@ next one's docs; all but the last return the columns of ``documents``.
 1. quality_rules: rows that the quality rules reject go.
 2. ngram_jaccard: of each group of near duplicates (five-word shingles, similarity 0.8 or more) one row stays.
 3. decontaminate: rows that hold a benchmark item go.
-4. mix: rows are taken as often as the mix of sources says, nearest to a whole number of times; empty rows stay once.
+4. mix: rows are taken as often as the mix of sources says, nearest to a whole number of times; rows without words stay once.
 5. shard: every row gets its shard and its slot.
+
+Defined results: a null, empty or very short text fails the quality rules, a very long one is judged and kept whole; a null id,
+language or source is a value like any other; of ties (equal texts, equal least ids) one row stays, whichever, as they are
+alike; repeated rows are near duplicates of each other; an empty table gives no rows; extra columns, with names that the
+stages use themselves too, pass through all stages but the last, which has columns of its own.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +24,7 @@ from pyspark.sql import functions as F
 
 from kgspark.llm import decontamination, jaccard_join, mixing, quality_rules, sharding
 from kgspark.llm.common import table, text_key
+from kgspark.operators.lineage import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -39,13 +44,15 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.mix(docs)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1)
-    # rows with the same id and text share their number of copies
-    copies = taken.groupBy("doc_id", "source", "text_key").agg(F.sum(times).alias("copies"), F.count("*").alias("rows"))
+    copies = taken.groupBy("doc_id", "source", "text_key").agg(F.sum(times).cast("int").alias("copies"), F.count("*").alias("rows"))
     copies = copies.select(F.struct("doc_id", "source", "text_key").alias("id"), "copies", "rows")
     rows = docs.select(F.struct("*").alias("row"), F.struct("doc_id", "source", text_key(F.col("text")).alias("text_key")).alias("own"))
-    joined = rows.join(copies, rows["own"].eqNullSafe(copies["id"]))
-    each = F.floor((F.col("copies") + F.col("rows") - 1) / F.col("rows")).cast("int")
-    return joined.select("row", F.explode(F.array_repeat(F.lit(True), each))).select("row.*")
+    single, several = copies.where("rows = 1"), copies.where("rows > 1")
+    one = rows.join(single, rows["own"].eqNullSafe(single["id"])).select("row", "copies")
+    # rows equal in id, source and text are one row that is taken as often as all of them together
+    more = rows.join(several, rows["own"].eqNullSafe(several["id"])).groupBy("own").agg(F.first("row").alias("row"), F.first("copies").alias("copies"))
+    taken = one.unionByName(more.select("row", "copies"))
+    return taken.select("row", F.explode(F.array_repeat(F.lit(True), F.col("copies")))).select("row.*")
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +73,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; between stages the rows stand in Parquet in the shared folder."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")).rstrip("/") + f"/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

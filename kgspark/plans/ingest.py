@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.operators import ingest as ing
+from kgspark.operators.lineage import shared_folder
 from kgspark.sources import documents as src
 from kgspark.sources.tables import table
 from kgspark.streaming import changes
@@ -239,9 +239,8 @@ def s13_source_summary(spark, d) -> DataFrame:
     return table(spark, d, "documents").groupBy(c("lang").alias("file")).agg(F.count("*").alias("objects"), F.count_distinct("source").alias("kinds"), F.max("n_chars").alias("longest"))
 
 
-def shared_folder(spark, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def new_folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def event_stream(spark, d) -> DataFrame:
@@ -252,7 +251,7 @@ def event_stream(spark, d) -> DataFrame:
 @query("select 'main' as canvas_id, 'U' || user_id as id, min_by(event_type, event_id) as label, min(event_id) as ord from events group by user_id")
 def r1_stream_merge(spark, d) -> DataFrame:
     """Nodes out of the event stream, the first of each user, merged batch by batch."""
-    out = shared_folder(spark, "nodes")
+    out = new_folder(spark, "nodes")
     nodes = changes.NodeTable(spark, out, "canvas_id string, id string, label string, ord long")
     rows = event_stream(spark, d).select(F.lit("main").alias("canvas_id"), F.concat(F.lit("U"), c("user_id").cast("string")).alias("id"), c("event_type").alias("label"), c("event_id").alias("ord"))
     rows.writeStream.foreachBatch(nodes.merge()).option("checkpointLocation", f"{out}-mark").trigger(availableNow=True).start().awaitTermination()
@@ -262,7 +261,7 @@ def r1_stream_merge(spark, d) -> DataFrame:
 @query("select date_trunc('hour', ts) as start, event_type as op, count(*) as entries from events group by all")
 def r3_log_windows(spark, d) -> DataFrame:
     """Operations of the change log by the hour, as a stream with a watermark."""
-    out = shared_folder(spark, "log")
+    out = new_folder(spark, "log")
     counts = changes.operation_counts(event_stream(spark, d).select(c("ts").cast("timestamp").alias("at"), c("event_type").alias("op")), delay="3650 days")
     sink = lambda batch, i: batch.write.mode("overwrite").parquet(out)
     counts.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", f"{out}-mark").trigger(availableNow=True).start().awaitTermination()
