@@ -8,17 +8,18 @@ its target in this shard, up to two passes over its rows.  The rows of a source
 order on a line of words; whole passes of a quota take all of them once, the rest of the quota is a run of
 blocks from a seeded start.
 
-Defined results: null and empty texts have size 0 and take 0 words; an empty table gives no rows; repeated
-rows are rows of their own; rows without an id are dealt like any other.  Only the columns named here are
-read, so extra columns do not matter.  Ties in the seeded order are between equal rows only.
+Defined results: null and empty texts have size 0 and take 0 words; a very long text is one row of its shard, which is
+larger for it; an empty table gives no rows; repeated rows are rows of their own; rows without an id are dealt like any
+other.  Only the columns named here are read, so extra columns, clashing names among them, do not matter.  Ties in the seeded
+order are between equal rows only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +64,20 @@ def sainte_lague(weights: np.ndarray, caps: np.ndarray, seats: int) -> np.ndarra
     return out
 
 
+def _quotas(batches: Iterator[pa.RecordBatch], block: int, repeats: int) -> Iterator[pa.RecordBatch]:
+    """``shard, rank, words, quota`` from the list of the sources of each shard."""
+    for batch in batches:
+        cells = batch["cells"]
+        bounds, rank, words, size, target = cells.offsets.to_numpy(), *(cells.values.field(i).to_numpy() for i in range(4))
+        weight = target * words / np.maximum(size, 1)
+        quota = np.zeros(len(rank), dtype=np.int64)
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            seats = sainte_lague(weight[a:b], np.ceil(repeats * words[a:b] / block), int(weight[a:b].sum() / block + 0.5))
+            quota[a:b] = np.minimum(seats * block, repeats * words[a:b])
+        shard = np.repeat(batch["shard"].to_numpy(), np.diff(bounds))
+        yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(rank), pa.array(words), pa.array(quota)], names=["shard", "rank", "words", "quota"])
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -95,16 +110,8 @@ def mix(
     rows = rows.join(F.broadcast(plan), rows["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     cells = rows.groupBy("shard", "rank").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
 
-    def quotas(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values("rank")
-        words = cell["words"].to_numpy(float)
-        weight = cell["target"].to_numpy() * words / np.maximum(cell["source_size"].to_numpy(), 1)
-        seats = sainte_lague(weight, np.ceil(repeats * words / block), int(weight.sum() / block + 0.5))
-        out = cell[["shard", "rank", "words"]].copy()
-        out["quota"] = np.minimum(seats * block, (repeats * words).astype(np.int64))
-        return out
-
-    quota = cells.groupBy("shard").applyInPandas(quotas, "shard long, rank int, words long, quota long")
+    lists = cells.repartition(max(1, shards // 64), "shard").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("rank", "words", "source_size", "target"))).alias("cells"))
+    quota = lists.mapInArrow(lambda batches: _quotas(batches, block, repeats), "shard long, rank int, words long, quota long")
     order = Window.partitionBy("shard", "rank").orderBy("turn", "doc_id", "text_key")
     line = rows.withColumn("turn", F.xxhash64(F.lit(seed + 1), "text_key", "doc_id")).withColumn("to", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     line = line.withColumn("from", F.col("to") - F.col("size")).join(quota, ["shard", "rank"])

@@ -2,29 +2,35 @@
 
 A change has a kind (insert, delete, revise), the row's source, language and tokenizer version, its count, and for a
 revision the count it replaces.  A batch of changes is summed to one signed row per group and committed under
-its batch id; committing the same batch again replaces it by itself, so a repeated or resumed batch counts once.
-Totals are the sum over all committed batches; nothing but the groups' deltas is ever read again.
+its batch id.  A commit adds these deltas to the running totals, after taking away those of an earlier commit
+of the same id, so a repeated or resumed batch counts once; its work grows with the batch and the number of groups, not
+with the number of batches.
 
-Tokenizer versions are column expressions from a text to its count; ``vocabulary_tokenizer`` makes one from the
-vocabulary file of a public tokenizer.
+Nothing is overwritten: deltas and new totals are written to folders of their own, and the commit is the one row appended to
+the log that names them.  A job that dies before leaves the last totals in force, and its batch can be sent again.  There
+must be one writer at a time.
 
-Defined results: null texts have no tokens but count as a document; null sources, languages and versions are groups
-of their own; an unknown kind of change is an error; groups whose documents and tokens add up to zero are
-left out; an empty batch commits nothing; repeated changes within a batch count as often as they stand there; extra
-columns are not read.
+Tokenizer versions are column expressions from a text to its count.
+
+Defined results: null texts have no tokens but count as a document; very long texts are counted whole; null sources,
+languages and versions are groups of their own; an unknown kind of change is an error; groups whose documents and tokens add
+up to zero are left out of the totals; an empty batch changes nothing; repeated changes within a batch count as often as they stand
+there; ties do not arise, as counts are sums; extra columns, clashing names among them, are not read.
 """
 
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from kgspark.operators.lineage import shared_folder
+
+from .common import WORD, settle, table
 
 GROUP = ("source", "lang", "tokenizer")
 PIECE = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]"
@@ -37,21 +43,6 @@ def pattern_tokenizer(pattern: str) -> Tokenizer:
     return lambda text: F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
 
 
-def vocabulary_tokenizer(path: str) -> Tokenizer:
-    """Counts the tokens of a tokenizer file (JSON of the ``tokenizers`` library), which every executor reads from ``path``."""
-    import pandas as pd
-
-    @F.pandas_udf("long")
-    def count(texts: pd.Series) -> pd.Series:
-        from tokenizers import Tokenizer as Vocabulary
-
-        vocabulary = Vocabulary.from_file(path)
-        vocabulary.no_truncation()
-        return pd.Series([len(vocabulary.encode(t or "", add_special_tokens=False).ids) for t in texts])
-
-    return count
-
-
 TOKENIZERS: Mapping[str, Tokenizer] = {"words-1": pattern_tokenizer(WORD), "pieces-1": pattern_tokenizer(PIECE)}
 
 
@@ -74,17 +65,35 @@ def deltas(changes: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals in a folder that all executors share: one subfolder of signed group deltas for each committed batch."""
+    """Running totals in a folder that all executors share."""
+
+    LOG = "version long, batch long, deltas string, totals string"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def commit(self, batch: int, changes: DataFrame) -> None:
-        """Sums a batch and puts it in place of an earlier commit of the same id.
+    def _log(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.LOG).parquet(f"{self.path}/log")
+        except AnalysisException:  # nothing is committed yet
+            return self.spark.createDataFrame([], self.LOG)
+
+    def _groups(self, folder: str | None) -> DataFrame:
+        schema = "source string, lang string, tokenizer string, documents long, tokens long"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}") if folder else self.spark.createDataFrame([], schema)
 
-        The files of a batch are written aside and appear as a whole when their job commits.
-        """
-        deltas(changes).write.mode("overwrite").parquet(f"{self.path}/batch_id={int(batch)}")
+    def commit(self, batch: int, changes: DataFrame) -> None:
+        """Brings the deltas of a batch into the totals, in place of those of an earlier commit of the same id."""
+        of_batch = F.when(F.col("batch") == int(batch), F.col("version"))
+        last, totals, earlier = self._log().agg(F.max("version"), F.max_by("totals", "version"), F.max_by("deltas", of_batch)).first()
+        new = uuid.uuid4().hex
+        deltas(changes).write.parquet(f"{self.path}/deltas/{new}")
+        minus = self._groups(earlier).withColumns({c: -F.col(c) for c in ("documents", "tokens")})
+        parts = self._groups(totals).unionByName(minus).unionByName(self._groups(f"deltas/{new}"))
+        sums = parts.groupBy(*GROUP).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("documents", "tokens")))
+        sums.where("documents <> 0 or tokens <> 0").write.parquet(f"{self.path}/totals/{new}")
+        row = [((last or 0) + 1, int(batch), f"deltas/{new}", f"totals/{new}")]
+        self.spark.createDataFrame(row, self.LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
 
     def for_each_batch(self) -> Callable[[DataFrame, int], None]:
         """A sink for ``writeStream.foreachBatch``: replayed micro-batches replace themselves."""
@@ -92,15 +101,7 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, documents, tokens`` over all committed batches."""
-        rows = self.spark.read.schema("source string, lang string, tokenizer string, documents long, tokens long, batch_id long").parquet(self.path)
-        total = rows.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        return total.where("documents <> 0 or tokens <> 0")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the one that ``spark.checkpoint.dir`` names, or of its own where that is not set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-rollup-")
-    return f"{named.rstrip('/')}/rollup-{uuid.uuid4().hex}"
+        return self._groups(self._log().agg(F.max_by("totals", "version")).first()[0])
 
 
 def op5_delta_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,16 +113,16 @@ def op5_delta_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    words = counted(docs, {"words-1": TOKENIZERS["words-1"]}).join(marks, "doc_id", "left")
+    counts = settle(counted(docs).join(marks, "doc_id", "left").drop("doc_id"))  # every text is counted once
+    words, pieces = counts.where("tokenizer = 'words-1'"), counts.where("tokenizer = 'pieces-1'")
     change = lambda rows, kind, tokens="tokens", old="0": rows.select(F.lit(kind).alias("kind"), *GROUP, F.expr(tokens).cast("long").alias("tokens"), F.expr(old).cast("long").alias("old_tokens"))
-    rollup = Rollup(spark, shared_folder(spark))
+    rollup = Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
     rollup.commit(0, change(words, "insert"))
     deleted = change(words.where("toxic = 1"), "delete")
     rollup.commit(1, deleted)
     rollup.commit(1, deleted)
-    pieces = change(counted(docs, {"pieces-1": TOKENIZERS["pieces-1"]}), "insert")
     revised = change(words.where("coalesce(toxic, 0) <> 1 and quality = 0"), "revise", "0", "tokens")
-    rollup.commit(2, pieces.unionByName(revised))
+    rollup.commit(2, change(pieces, "insert").unionByName(revised))
     return rollup.totals()
 
 

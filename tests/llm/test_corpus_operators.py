@@ -290,6 +290,9 @@ def test_rollup_is_idempotent(spark, tmp_path):
     assert ordered(rollup.totals(), "source", "lang", "tokenizer", "documents", "tokens") == [("a", "en", "t", 1, 7), (None, None, "t", 1, 0)]
     with pytest.raises(Exception, match="unknown kind"):
         rollup.commit(4, batch(("upsert", "a", "en", "t", 1, None)))
+    assert rollup.totals().count() == 2  # a commit that failed changes nothing
+    rollup.commit(1, batch(("delete", "a", "en", "t", 10, None)))  # another content under the same id takes its place
+    assert ordered(rollup.totals(), "source", "lang", "tokenizer", "documents", "tokens") == [("a", "en", "t", 1, 5), (None, None, "t", 1, 0)]
 
 
 def test_rollup_as_streaming_sink(spark, tmp_path, docs):
