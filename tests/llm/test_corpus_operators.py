@@ -95,10 +95,23 @@ def test_one_of_each_group(docs, rows, empty):
     assert jaccard_join.join(empty).count() == 0
 
 
-def test_prefix_depth_reaches_the_target():
-    depth = jaccard_join.prefix_depth(0.8, 0.999)
-    assert 1 - (1 - 0.8**depth) ** jaccard_join.TREES >= 0.999
-    assert 1 - (1 - 0.8 ** (depth + 1)) ** jaccard_join.TREES < 0.999
+def test_measured_depth_reaches_the_target(spark):
+    sizes = spark.createDataFrame([(bytes([i % 256, i // 256]), 20 + 3 * i) for i in range(300)], "key binary, grams long")
+    loose, tight = (jaccard_join.measured_depth(sizes, 0.8, target) for target in (0.9, 0.999))
+    assert 1 <= tight <= loose <= jaccard_join.DEPTH
+    assert jaccard_join.measured_depth(sizes.select("key", F.lit(2).cast("long").alias("grams")), 0.8, 0.999) == jaccard_join.DEPTH
+    random, met = np.random.default_rng(11), 0
+    for _ in range(3000):  # pairs with a similarity of exactly 0.8
+        grams = random.integers(0, 1 << 63, 100, dtype=np.uint64)
+        one, other = jaccard_join.minima(grams[:90]), jaccard_join.minima(grams[10:])
+        met += jaccard_join.shared_prefix(one[None], other[None]).max() >= tight
+    assert met / 3000 >= 0.998
+
+
+def test_least_similar_sets():
+    for size in range(1, 200):
+        taken, added = jaccard_join.least_similar(size, 0.8)
+        assert 0.8 - 1e-9 <= (size - taken) / (size + added) <= 1 and (taken + added > 0) == (size >= 4)
 
 
 def test_components_of_chains_and_stars(spark):
