@@ -342,21 +342,40 @@ def test_language_model_base_scores(docs, rows, empty):
     assert scored(empty).count() == 0
 
 
-def test_language_model_is_normalised_and_learns_order():
+def test_language_model_is_normalised_and_learns_order(monkeypatch):
+    monkeypatch.setattr(language_model, "GROUP", 3)
+    monkeypatch.setattr(language_model, "PIECE", 50)
     random = np.random.default_rng(0)
     word = np.zeros(60000, dtype=np.int64)
     for i in range(1, len(word)):
-        word[i] = (word[i - 1] + 1) % 10 if random.random() < 0.9 else random.integers(0, 10)
-    unigram = np.full(10, 0.1)
-    start = language_model.Parameters.start(unigram, 8, 0)
-    trainer = language_model.Trainer(start, unigram, 0)
-    one, two = language_model.contexts(word, np.array([0, len(word)]), 10)
+        word[i] = (word[i - 1] + 1) % 11 if random.random() < 0.9 else random.integers(0, 11)
+    classes = language_model.Classes(np.bincount(word, minlength=11)[:10], int((word == 10).sum()), 2)  # the last word is outside
+    assert classes.of(np.arange(11)).tolist() == [0, 1, 2, 2, 2, 3, 3, 3, 4, 4, 5]
+    trainer = language_model.Trainer(language_model.Parameters.start(classes, 8, 0), classes, 0)
+    one, two = language_model.contexts(word, np.array([0, len(word)]), 11)
     for _ in range(4):
         trainer.learn(one, two, word)
-    p, z = trainer.p, trainer.p.normalisers()
-    score = (p.r[one] @ p.c[0] + p.r[two] @ p.c[1]) @ p.q.T + p.b - z[one, two][:, None]
-    assert np.allclose(np.exp(score).sum(axis=1), 1, atol=1e-3)
-    assert score[np.arange(len(word)), word].mean() > np.log(0.1) + 0.8
+    scorer = language_model.Scorer(trainer.p, classes)
+    every = np.stack([scorer.log_probability(one[:400], two[:400], np.full(400, w)) for w in range(11)])
+    assert np.allclose(np.exp(every).sum(axis=0), 1, atol=1e-3)
+    p, context = trainer.p, trainer.p.r[one[7]] @ trainer.p.c[0] + trainer.p.r[two[7]] @ trainer.p.c[1]
+    share = lambda x, i: math.log(math.exp(x[i]) / sum(map(math.exp, x)))
+    plain = share([float(context @ v + a) for v, a in zip(p.k, p.a)], 3) + share([float(context @ p.q[w] + p.b[w]) for w in (5, 6, 7)], 1)
+    assert math.isclose(every[6, 7], plain, abs_tol=1e-3)
+    assert scorer.log_probability(one, two, word).mean() > math.log(1 / 11) + 0.8
+
+
+def test_language_model_tells_held_out_text_better_than_counts(spark):
+    random, words = np.random.default_rng(3), [f"w{i}" for i in range(40)]
+    texts = []
+    for i in range(300):
+        at, text = int(random.integers(0, 40)), []
+        for _ in range(200):
+            text.append(words[at])
+            at = (at + 1) % 40 if random.random() < 0.8 else int(random.integers(0, 40))
+        texts.append((i, " ".join(text)))
+    found = scored(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert found[0] > 0.9 * found[1]
 
 
 # 7 personal data
