@@ -3,27 +3,28 @@
 Fixed patterns give the base spans (e-mail, IP address, card and phone numbers); these always stay.  Looser
 patterns propose more spans: spelled-out e-mail addresses, card numbers with a wrong check digit, phone numbers
 without a country code, IPv6 addresses.  Labelers vote on every span, base or proposed, for (1), against (-1)
-or not at all (0): its strict form, a gazetteer, its context, its digits, its borders.  Spans are counted by
-kind and votes, a table of at most 4 * 3**5 rows; on it expectation-maximisation estimates how reliable each
-labeler is for each kind, and its posteriors train the final span classifier, a logistic model of the votes that
-is applied as a column expression.  Proposed spans that it accepts and that overlap no base span are added.
-
-Defined results: null and empty texts have no spans (the hash of the empty text, an empty list); repeated rows
-are rows of their own; an empty table gives no rows; extra columns are not read.  Of two proposed spans that
-overlap, the one that starts first stays.
+or not at all (0): its strict form, a gazetteer (top-level domains, address ranges, issuers, country codes), the words before
+it, a gazetteer of given names before it, its digits, its borders.  Spans are counted by kind and votes, a table of at
+most 4 * 3**6 rows; on it expectation-maximisation estimates how reliable each labeler is for each kind, and its posteriors
+train the final span classifier, a logistic model of the votes that is applied as a column expression.  Proposed spans that
+it accepts and that overlap no base span are added.
+
+Defined results: null and empty texts have no spans (the hash of the empty text, an empty list); very long texts are searched
+whole; repeated rows are rows of their own; an empty table gives no rows; extra columns, clashing names among them, are not
+read.  A proposed span that begins inside another accepted one is left out; of those that begin together the first kind stays.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import settle, table
 
 KINDS = ("email", "ip", "card", "phone")
-LABELERS = ("form", "gazetteer", "context", "digits", "borders")
+LABELERS = ("form", "gazetteer", "context", "names", "digits", "borders")
 
 # Patterns start only where a run of their first characters starts or the previous match ends, and give no
 # character back: the same matches as the plain patterns, in time proportional to the text.
@@ -46,19 +47,31 @@ STRICT = {
     "card": r"^[0-9]{13,16}$|^[0-9]{4}(?:[ -][0-9]{4}){3}$|^[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}$",
     "phone": r"^\+[0-9]{1,3}[ .-]?\(?[0-9]+\)?(?:[ .-]?[0-9]+)+$|^\([0-9]{3}\) [0-9]{3}-[0-9]{4}$",
 }
+# Generic top-level domains; calling codes by zone; issuer prefixes; given names in the languages at hand.
+DOMAINS = "com|org|net|edu|gov|mil|int|info|biz|name|pro|coop|museum|aero|jobs|mobi|travel|tel|cat|asia|io|dev|app|online|shop|store|site|tech|cloud|blog"
+CALLING = (
+    r"1|7|2[07]|21[1-368]|22[0-9]|23[0-9]|24[0-9]|25[0-8]|26[0-9]|29[0179]|3[0-469]|35[0-9]|37[0-8]|38[0-35-79]|4[013-9]|42[013]|5[1-8]|50[0-9]|59[0-9]|"
+    r"6[0-6]|67[02-9]|68[0-35-9]|69[0-2]|8[1246]|85[02356]|88[06]|9[0-58]|96[0-8]|97[0-7]|99[2-68]"
+)
+NAMES = (
+    "james|mary|john|robert|linda|michael|william|david|susan|richard|joseph|thomas|sarah|charles|karen|daniel|anna|peter|hans|klaus|jürgen|"
+    "wolfgang|ursula|monika|petra|sabine|stefan|andreas|markus|heike|jean|pierre|marie|michel|jacques|françois|isabelle|nathalie|sophie|claire|"
+    "luc|antonio|josé|manuel|francisco|carmen|maría|ana|luis|javier|carlos|pilar|lucía|elena|pablo"
+)
 GAZETTEER = {
-    "email": r"(?i)(?:\.|dot[)\]] ?)(?:com|org|net|edu|gov|info|io|eu|de|fr|es|it|nl|uk|us|ca|ch|at|be)$",
-    "ip": r"^(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[01][0-9]|22[0-3])\.|^[23][0-9a-fA-F]{3}:",
-    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)",
-    "phone": r"^\+(?:1|7|20|27|3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|^\(?[2-9][0-9]{2}",
+    "email": rf"(?i)(?:\.|dot[)\]] ?)(?:{DOMAINS}|[a-z]{{2}})$",
+    # first octets handed out for unicast, and the block of global IPv6 addresses
+    "ip": r"^0*(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[01][0-9]|22[0-3])\.|^[23][0-9a-fA-F]{3}:",
+    "card": r"^(?:4|5[0-8]|2[2-7]|3[04-9]|6011|62|6[3-7]|35)",
+    "phone": rf"^\+(?:{CALLING})(?:[^0-9]|[0-9])|^\(?[2-9][0-9]{{2}}",
 }
 FOR = {
-    "email": r"(?i)e-?mail|contact|write|mailto|courriel|correo|schreib",
-    "ip": r"(?i)\bip\b|address|host|server|adresse|client|login",
-    "card": r"(?i)card|visa|master|amex|credit|debit|carte|karte|tarjeta|pay",
-    "phone": r"(?i)phone|\btel\b|call|fax|mobile|cell|dial|ruf|appel|llam",
+    "email": r"(?i)e-?mail|contact|write|mailto|courriel|écri|correo|escrib|schreib|kontakt",
+    "ip": r"(?i)\bip\b|address|host|server|adresse|dirección|client|login|ping",
+    "card": r"(?i)card|visa|master|amex|credit|debit|carte|karte|kredit|tarjeta|crédito|pay|zahl",
+    "phone": r"(?i)phone|\btel\b|call|fax|mobil|cell|dial|ruf|appel|téléph|llam|teléf|móvil",
 }
-AGAINST = r"(?i)version|\bv\.?$|isbn|issn|invoice|order|serial|\bsku\b|release|section|chapter|\bdoi\b|price"
+AGAINST = r"(?i)version|\bv\.?$|isbn|issn|invoice|order|serial|\bsku\b|release|section|chapter|\bdoi\b|price|rechnung|bestell|facture|commande|factura|pedido|kapitel|capítulo"
 
 
 def located(df: DataFrame, name: str, pattern: str, possible: str) -> DataFrame:
@@ -131,7 +144,12 @@ def _votes(kind: str, span: Column, text: Column) -> Column:
     }[kind]
     strict, listed, touching = match.rlike(STRICT[kind]), match.rlike(GAZETTEER[kind]), neighbours.rlike("[A-Za-z0-9]")
     return F.array(
-        _vote(strict, ~strict), _vote(listed, ~listed), _vote(context.rlike(FOR[kind]), context.rlike(AGAINST)), _vote(good, ~good), _vote(~touching, touching)
+        _vote(strict, ~strict),
+        _vote(listed, ~listed),
+        _vote(context.rlike(FOR[kind]), context.rlike(AGAINST)),
+        _vote(context.rlike(rf"(?iu)\b(?:{NAMES})\b"), F.lit(False)),
+        _vote(good, ~good),
+        _vote(~touching, touching),
     )
 
 
@@ -205,8 +223,8 @@ def span_classifier(patterns: list[tuple[tuple[int, ...], float]], posterior: li
 
 def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``doc_id``, ``base`` and ``added`` (arrays of (start, kind, end)) of every row of ``docs``."""
-    rows = settle(voted_spans(docs))
-    counted = rows.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes").count().collect()  # at most 4 * 3**5 rows
+    rows = settle(voted_spans(docs).withColumn("row_id", F.monotonically_increasing_id()))
+    counted = rows.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes").count().collect()  # at most 4 * 3**6 rows
     logit = F.lit(-1.0)
     models = {}
     for k in range(len(KINDS)):
@@ -224,12 +242,28 @@ def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         return value >= math.log(threshold / (1 - threshold))
 
     plain = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
-    overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
     rows = rows.withColumn("base", F.array_sort(F.transform(F.filter("spans", lambda s: s["base"]), plain)))
-    more = F.filter("spans", lambda s: ~s["base"] & accepted(s) & ~F.exists("base", lambda b: overlap(s, b)))
-    rows = rows.withColumn("more", F.array_sort(F.transform(more, plain)))
-    first = F.filter("more", lambda s, i: (i == 0) | ~F.exists(F.slice("more", F.greatest(i - 7, F.lit(1)), F.least(i, F.lit(8))), lambda b: overlap(s, b)))
-    return rows.withColumn("added", F.when(F.size("more") > 0, first).otherwise(F.col("more"))).select("doc_id", "base", "added")
+    rows = rows.withColumn("more", F.transform(F.filter("spans", lambda s: ~s["base"] & accepted(s)), plain)).drop("spans")
+    added = _without_overlaps(rows.where(F.size("more") > 0))
+    none = F.array().cast("array<struct<start: int, kind: int, end: int>>")
+    return rows.join(added, "row_id", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
+
+
+def _without_overlaps(rows: DataFrame) -> DataFrame:
+    """``row_id`` and ``added``: those of ``more`` that overlap no base span and do not begin inside another one of them.
+
+    Spans stand in rows, in windows by text, so the work grows with their number times its logarithm.
+    """
+    tagged = [rows.select("row_id", F.lit(name == "base").alias("base"), F.inline(name)) for name in ("base", "more")]
+    spans = tagged[0].unionByName(tagged[1])
+    of_text = Window.partitionBy("row_id").orderBy("start")
+    reached = F.max(F.when(F.col("base"), F.col("end"))).over(of_text.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    coming = F.min(F.when(F.col("base"), F.col("start"))).over(of_text.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    free = (F.coalesce("reached", F.lit(0)) <= F.col("start")) & F.coalesce(F.col("coming") >= F.col("end"), F.lit(True))
+    spans = spans.withColumns({"reached": reached, "coming": coming}).where(~F.col("base") & free)
+    before = Window.partitionBy("row_id").orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("earlier", F.coalesce(F.max("end").over(before), F.lit(0))).where("earlier <= start")
+    return spans.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
 
 
 def _listed(spans: Column) -> Column:

@@ -400,6 +400,36 @@ def test_personal_data_base_spans(spark, docs, rows):
         assert set(personal(r["text"])) <= set(filter(None, r["spans"].split(",")))
 
 
+def test_personal_data_added_spans(spark):
+    """Proposed spans that the labelers favour are added, those they speak against are not, and none overlaps another."""
+    rows, at = [], {}
+    for i in range(120):
+        rows.append((i, f"contact anna by e-mail x{i}@mail.com or call +49 30 555{i:05d} now, host 81.2.69.{i}"))
+    for i in range(120, 160):
+        text = f"write to e-mail joe{i} (at) site (dot) com and call (212) 555-{i:04d} please"
+        at[i] = {(text.index("joe"), 0, text.index(" and call")), (text.index("(212)"), 3, text.index(" please"))}
+        rows.append((i, text))
+    for i in range(160, 200):
+        rows.append((i, f"order version 111 222 {i:04d}x serial v 000.111.{2000 + i}y"))
+    found = {r["doc_id"]: r for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all({tuple(s) for s in found[i]["added"]} == spans for i, spans in at.items())
+    assert all(not found[i]["added"] for i in range(160, 200))
+
+
+def test_personal_data_overlaps(spark):
+    random = np.random.default_rng(6)
+    rows = []
+    for i in range(200):
+        cut = np.sort(random.choice(200, 12, replace=False)).reshape(-1, 2)
+        more = [(int(a), int(random.integers(0, 4)), int(a + random.integers(1, 30))) for a in random.integers(0, 200, 9)]
+        rows.append((i, [(int(a), 0, int(b)) for a, b in cut], list({m[0]: m for m in more}.values())))
+    spans = "array<struct<start: int, kind: int, end: int>>"
+    found = {r["row_id"]: [tuple(s) for s in r["added"]] for r in pii._without_overlaps(spark.createDataFrame(rows, f"row_id long, base {spans}, more {spans}")).collect()}
+    for i, base, more in rows:
+        free = [m for m in sorted(more) if all(m[0] >= b[2] or b[0] >= m[2] for b in base)]
+        assert found.get(i, []) == [m for n, m in enumerate(free) if all(o[2] <= m[0] for o in free[:n])]
+
+
 def test_personal_data_without_rows(empty):
     assert pii.digest(pii.detect(empty)).count() == 0
 
