@@ -8,7 +8,8 @@ gave no text to the dictionaries.
 Learning uses at most ``sample`` labelled rows of each mark (those with the smallest hash of their id),
 none of them with crc32(doc_id as text) mod 4 = 2.  Only the text is an input of a score.
 
-Defined results: null texts score as empty texts; an empty text has the calibrated score of no evidence;
+Defined results: very long texts are compressed whole, piece by piece; labels tied in the hash of their id are taken by id;
+null texts score as empty texts; repeated rows score alike; extra columns, clashing names among them, are not read; an empty text has the calibrated score of no evidence;
 without both marks in each half every score is the share of good marks, or 0.5 without any; conflicting labels of an id
 count by their mean; an empty table gives no rows; only the named columns are read.
 """

@@ -15,10 +15,14 @@ be close enough, so nothing is lost there.  A class that misses the target after
 no walk: all its items are verified at all windows left.
 Candidates are verified exactly, by edit distance with free ends around the window.
 
+The walk of a window takes twice the items' length in steps less one and may read on into the text behind the window, for
+items and documents alike; keys use only places within these steps.
+
 The items are the query set; they go to the tasks in blocks of at most ``block_items``, one pass over the
 documents each.
 
-Defined results: null texts and items without a word match nothing; an item shorter than 1 / (1 - similarity)
+Defined results: null texts and items without a word match nothing; very long texts are searched whole; of equally distant
+places the first is told; an item shorter than 1 / (1 - similarity)
 words must stand exactly; repeated documents give a row each, repeated items too; empty tables give no rows;
 extra columns, also with clashing names, pass through ``clean_documents`` unchanged.
 """

@@ -4,7 +4,8 @@ The trees are fitted on a bounded sample of labelled rows (``sample`` of them, t
 hash of their id) and sent to the tasks as node arrays; every document is scored whole.  More symbols,
 repeated lines, repeated words, exclamation marks or separators never raise a document's score.
 
-Defined results: null and empty texts have no words and fail the fixed rule; without labels of both kinds
+Defined results: null and empty texts have no words and fail the fixed rule; very long texts are judged whole; labels tied in
+the hash of their id are taken by id; without labels of both kinds
 there is no model and the fixed rule alone decides; conflicting labels of an id count by their mean;
 labels without an id or a mark are not used; extra columns, also with clashing names, pass through
 ``filter_documents`` unchanged; repeated rows are judged alike; an empty table gives no rows.

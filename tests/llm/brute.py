@@ -1,11 +1,19 @@
 """Plain versions of what the operators compute, for small fixtures."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def prose_words(seed, n):
+    """Random words, hardly ever the same sequence twice."""
+    rng = random.Random(seed)
+    parts = ["ta", "re", "mo", "lin", "sha", "do", "ver", "ki", "on", "bel"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(n)]
+
+
 def split(text):
     return WORD.findall(text or "")
 

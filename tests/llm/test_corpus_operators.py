@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+import zstandard
 from brute import base_counts, edit_distance, near, normal, personal, repeated_words, split
 from pyspark.sql import functions as F
 
@@ -465,6 +466,25 @@ def test_compression_classifier(docs, rows, labels, empty, spark):
     assert compression.score(empty, compression.fit(empty, labels)).count() == 0
 
 
+def test_compression_scores_equal_a_plain_version(spark):
+    random = np.random.default_rng(12)
+    texts = [(i, " ".join(("w" if i % 3 else "v") + str(k) for k in random.integers(0, 900, int(random.integers(1, 6000))))) for i in range(120)] + [(500, ""), (501, None)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    model = compression.fit(frame, spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(120)], "doc_id long, quality int"))
+    own = {i: (t or "").encode() for i, t in texts}
+    for mark, pieces in ((1, model.good), (0, model.bad)):
+        assert all(any(piece in own[i] for i in range(120) if (i % 3 > 0) == mark) for piece in pieces.split(b"\n"))
+    packers = [zstandard.ZstdCompressor(level=compression.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    for r in compression.score(frame, model).collect():
+        text, sizes = own[r["doc_id"]], []
+        for packer in packers:
+            sizes.append(sum(len(packer.compress(text[i : i + compression.PIECE])) for i in range(0, len(text), compression.PIECE)))
+        x = [(sizes[1] - sizes[0]) / (sizes[0] + sizes[1]), math.log(sum(sizes) / 2 / len(text) + 1e-3), math.log1p(len(text))] if text else [0.0, 0.0, 0.0]
+        a, b, c = ((v - m) / s for v, m, s in zip(x, model.center, model.scale))
+        logit = sum(w * v for w, v in zip(model.weight, (1, a, b, c, a * b, b * b, a * c, c * c)))
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-max(-30, min(30, logit)))), abs_tol=1e-9)
+
+
 def test_compression_classifier_learns_from_whole_texts(spark):
     random = np.random.default_rng(5)
     vocabulary, rows = ["".join(random.choice(list("abcdefghij"), 8)) for _ in range(1000)], []
