@@ -6,10 +6,9 @@ suffixes only those are retained that start at a minimiser: the leftmost least h
 Every stretch of LEAST words has its first minimiser within its first WINDOW words, and the suffix from
 there shares at least ``HEAD`` words with its equal elsewhere.
 
-1. The suffixes of all different texts are sorted by their first HEAD words (as one hash), then by the codes of the words
-   that follow, then by text: a distributed suffix array, ranges of which are the partitions.  Suffixes with equal heads are
-   neighbours; because the text is part of the order, a head that stands in a third of all texts is spread over many
-   partitions.
+1. The suffixes are sorted by their first HEAD words (as one hash), then by the codes of the words that follow: a
+   distributed suffix array, ranges of which are the partitions.  Suffixes with equal heads are neighbours; ranges are
+   cut by head and text, so a head that stands in a third of all texts is spread over many partitions.
 2. In each run of equal heads, matches are extended to the left and to the right, word code by word code, up to the
    stretches of LEAST words whose first minimiser is this suffix (longer matches have further minimisers and are put together
    from these).  For each number of words to the left, the suffixes are sorted by those words and the words to the right;
@@ -42,6 +41,8 @@ LEAST, GRAM, WINDOW = 50, 5, 32
 HEAD = LEAST - WINDOW + 1
 SIDE = LEAST - HEAD
 CHUNK = 1 << 16
+#: Words of the texts whose suffixes make one range of the order (about 25 MB), and the most ranges.
+PART_WORDS, MOST_PARTS = 4_000_000, 50_000
 _STEP, _SIDES = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -132,6 +133,10 @@ def _extend(rows: pa.Table, open_first: bool, open_last: bool) -> Iterator[pa.Re
     key, such a row waits for another text with the same key; rows (key, low, high) tell the texts of a key.
     """
     head, text, place = (rows[n].to_numpy() for n in ("head", "text_id", "place"))
+    again = (head[1:] == head[:-1]) & (text[1:] == text[:-1]) & (place[1:] == place[:-1])
+    if again.any():  # neighbours from rows with equal texts
+        rows = rows.filter(pa.array(np.concatenate(([True], ~again)))).combine_chunks()
+        head, text, place = (rows[n].to_numpy() for n in ("head", "text_id", "place"))
     left, most = _prefix_hashes(rows["left"])
     right, reach = _prefix_hashes(rows["right"])
     least = SIDE - reach
@@ -167,8 +172,8 @@ def _found(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], kind) if c in columns else pa.nulls(n, kind) for c, kind in _FOUND.items()], names=list(_FOUND))
 
 
-def _compared(suffixes: DataFrame) -> DataFrame:
-    """What ``_extend`` finds in the parts of the sorted suffixes: whole runs, and pieces of runs longer than a part."""
+def _compared(suffixes: DataFrame, parts: int) -> DataFrame:
+    """What ``_extend`` finds in the sorted suffixes, in ``parts`` ranges: whole runs, and pieces of runs longer than a chunk or over a border."""
     size = CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +190,8 @@ def _compared(suffixes: DataFrame) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield from _extend(rest.combine_chunks(), going_on, True)
 
-    order = ("head", "right", "text_id", "place")
     schema = "text_id long, place int, mask long, key long, low long, high long"
-    return suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
+    return suffixes.repartitionByRange(parts, "head", "text_id").sortWithinPartitions("head", "right", "text_id", "place").mapInArrow(run, schema)
 
 
 def _merged(found: DataFrame) -> DataFrame:
@@ -218,20 +222,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_id"), text.alias("text"))
     light = settle(rows.select("doc_id", "text_id", n_words(F.col("text")).alias("n_words")))
     texts = settle(light.groupBy("text_id").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), F.first("n_words").alias("n_words")))
-    # one row of each text that can have a stretch at all
-    different = rows.where(F.octet_length("text") >= 2 * LEAST - 1).groupBy("text_id").agg(F.first("text").alias("text"))
-    found = settle(_compared(retained(different)))
+    n_rows, all_words = texts.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum(F.col("copies") * F.col("n_words")), F.lit(0))).first()
+    # texts with more than a thousandth of all rows: fewer than a thousand, so these can be sent to all tasks
+    hot = texts.where(F.col("copies") > max(n_rows // 1000, 1))
+    # texts that can have a stretch at all; of those with very many rows one row, of the others all (equal suffixes are neighbours)
+    long = rows.where(F.octet_length("text") >= 2 * LEAST - 1).select("text_id", "text")
+    ids = F.broadcast(hot.select("text_id"))
+    different = long.join(ids, "text_id", "left_anti").unionByName(long.join(ids, "text_id").groupBy("text_id").agg(F.first("text").alias("text")))
+    found = settle(_compared(retained(different), min(max(all_words // PART_WORDS, 1), MOST_PARTS)))
     shared = found.where("low is not null").groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("key")
     waiting = found.where("key is not null and mask is not null").join(shared, "key", "left_semi")
     spans = _merged(found.where("key is null").unionByName(waiting.select(*found.columns)).select("text_id", "place", "mask"))
     whole = F.when((F.col("copies") > 1) & (F.col("n_words") >= LEAST), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))))
     none = F.array().cast("array<struct<start: bigint, end: bigint>>")
     told = ("doc_id", "copy_of", "n_words", "copies")
-    # texts with more than a thousandth of all rows, fewer than a thousand, are joined apart from the others
-    hot = texts.where(F.col("copies") > F.greatest(F.lit(texts.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] // 1000), F.lit(1)))
     rows = light.drop("n_words")
     often = rows.join(F.broadcast(hot), "text_id").select(*told, none.alias("found"))
-    others = rows.join(F.broadcast(hot.select("text_id")), "text_id", "left_anti").join(texts.join(spans, "text_id", "left"), "text_id")
+    others = rows.join(ids, "text_id", "left_anti").join(texts.join(spans, "text_id", "left"), "text_id")
     out = often.unionByName(others.select(*told, F.col("spans").alias("found"))).withColumn("spans", F.coalesce(whole, "found", none))
     repeated = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     return out.select("doc_id", "copy_of", "n_words", repeated.alias("n_repeated"), "spans")
