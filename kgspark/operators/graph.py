@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import settle
+
 KEY = ["canvas_id", "src", "rel", "dst"]
 
 
@@ -16,6 +18,20 @@ def first_per_key(df: DataFrame, keys: Sequence[str], *order: str | Column) -> D
     return df.withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Adds the place from 1 of each row of a key in the given order, the rows of one key dealt to many tasks.
+
+    Rows are sorted into ranges, which are numbered apart and shifted by the rows of the key in the ranges before them.
+    """
+    ranges = settle(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranges.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    within = Window.partitionBy(*keys, "_range").orderBy(*order)
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*keys, "_range")]
+    rows = ranges.withColumn("_i", F.row_number().over(within)).alias("r").join(counts.alias("c"), same)
+    return rows.select(*(f"r.{c}" for c in df.columns), (F.col("_start") + F.col("_i")).cast("int").alias(name))
+
+
 def ids(nodes: DataFrame, name: str) -> DataFrame:
     """``canvas_id`` and the node ids under another name."""
     return nodes.select("canvas_id", F.col("id").alias(name))

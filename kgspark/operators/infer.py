@@ -12,6 +12,10 @@ from kgspark.functions import domain
 from kgspark.functions.text import clamp01, half_up, hop
 
 from .graph import both_ways, evidence, first_per_key
+from .lineage import settle
+
+#: Most rows of a small table that are sent to all tasks; larger ones are joined by a shuffle.
+SENT = 100_000
 
 # Weights of similarity and conditions, and boosts of the confidence.
 SIMILAR_WEIGHT, CONDITION_WEIGHT = 0.65, 0.35
@@ -19,9 +23,9 @@ BOOST = {"market": 0.08, "shape": 0.06, "component": 0.04, "cause": 0.1}
 
 
 def node_text(nodes: DataFrame) -> DataFrame:
-    """``canvas_id, id, text``: label, subtitle and all properties of a node."""
+    """``canvas_id, id, ord, text``: label, subtitle and all properties of a node."""
     props = F.array_join(F.transform("props", lambda p: F.concat_ws(" ", p["k"], p["v"])), " ")
-    return nodes.select("canvas_id", "id", F.concat_ws(" ", "label", F.coalesce("sub", F.lit("")), props).alias("text"))
+    return nodes.select("canvas_id", "id", "ord", F.concat_ws(" ", "label", F.coalesce("sub", F.lit("")), props).alias("text"))
 
 
 def shape_tokens(shape: Column) -> Column:
@@ -36,20 +40,49 @@ def condition_match(text: Column) -> Column:
     return (light + market + F.size(F.filter(tokens, lambda t: text.contains(t)))) / (2 + F.size(tokens))
 
 
+def _slots(features: DataFrame) -> DataFrame:
+    """``fid, slot, word``: what a text may hold for each feature set; a slot counts once, whichever of its words is held."""
+    one = lambda slot, words: F.transform(words, lambda w: F.struct(F.lit(slot).alias("slot"), w.alias("word")))
+    shape = F.transform(shape_tokens(F.col("shape")), lambda w, i: F.struct(F.concat(F.lit("shape"), i.cast("string")).alias("slot"), w.alias("word")))
+    every = F.concat(one("light", F.array("light")), one("market", domain.market_words(F.col("market"))), shape)
+    return features.select("fid", F.explode(every).alias("s")).select("fid", "s.*").where(F.length("word") > 0)
+
+
+def matched_texts(features: DataFrame, texts: DataFrame) -> DataFrame:
+    """``fid, canvas_id, id, ord, match``: texts (canvas_id, id, ord, text) that hold anything of a feature set (fid, light, market, shape).
+
+    Each different word is looked up by its first three characters among the pieces of that length of the texts and then
+    compared, so texts and words meet in equality joins only, never in a product.  Up to ``SENT`` words go to the texts,
+    more of them meet by a shuffle.
+    """
+    slots = settle(_slots(features))
+    words = settle(slots.select("word").distinct().withColumn("piece", F.substring("word", 1, 3)))
+    words = F.broadcast(words) if words.count() <= SENT else words
+    pieces = F.expr("array_distinct(flatten(transform(array(1, 2, 3), n -> transform(sequence(1, greatest(length(text) - n + 1, 1)), i -> substring(text, i, n)))))")
+    held = texts.select("canvas_id", "id", "ord", "text", F.explode(pieces).alias("piece")).join(words, "piece").where(F.col("text").contains(F.col("word")))
+    counted = held.select("canvas_id", "id", "ord", "word").join(slots, "word").groupBy("fid", "canvas_id", "id", "ord").agg(F.count_distinct("slot").alias("hits"))
+    size = features.select("fid", (2 + F.size(shape_tokens(F.col("shape")))).alias("slots"))
+    return counted.join(size, "fid").select("fid", "canvas_id", "id", "ord", (F.col("hits") / F.col("slots")).alias("match"))
+
+
 def scored_projects(conditions: DataFrame, nodes: DataFrame, edges: DataFrame, top: int = 5) -> DataFrame:
     """``cid, id, sim, place``: projects most like each condition.
 
     The projects that the seed is SIMILAR to count by 0.65 of the link and 0.35 of the condition match; only where
-    there are none, all projects count by their match.
+    there are none, all projects count by their match.  That is worked out once for each different set of features, of
+    whose projects one more than asked for is kept, as a condition's own seed does not count.
     """
-    texts = node_text(nodes.where("type = 'proj'")).join(nodes.select("canvas_id", "id", "ord"), ["canvas_id", "id"])
+    texts = settle(node_text(nodes.where("type = 'proj'")))
     links = edges.where("rel like 'SIMILAR%'").select("canvas_id", F.col("src").alias("seed"), F.col("dst").alias("id"), F.coalesce("weight", F.lit(0.5)).alias("w"), F.col("ord").alias("link"))
     links = first_per_key(links, ["canvas_id", "seed", "id"], "link")
     linked = conditions.join(links, "seed").join(texts, ["canvas_id", "id"])
-    linked = linked.select("cid", "id", clamp01(SIMILAR_WEIGHT * F.col("w") + CONDITION_WEIGHT * condition_match(F.col("text"))).alias("sim"), F.col("link").alias("o"))
-    # conditions are the small side of this product
-    other = conditions.join(linked.select("cid").distinct(), "cid", "left_anti").withColumnRenamed("seed", "_seed")
-    other = texts.join(F.broadcast(other), ~F.col("id").eqNullSafe(F.col("_seed"))).select("cid", "id", condition_match(F.col("text")).alias("sim"), F.col("ord").alias("o")).where("sim > 0")
+    linked = settle(linked.select("cid", "id", clamp01(SIMILAR_WEIGHT * F.col("w") + CONDITION_WEIGHT * condition_match(F.col("text"))).alias("sim"), F.col("link").alias("o")))
+    fid = F.to_json(F.struct("light", "market", "shape"))
+    other = conditions.join(linked.select("cid").distinct(), "cid", "left_anti").withColumn("fid", fid)
+    features = settle(other.select("fid", "light", "market", "shape").distinct())
+    place = F.row_number().over(Window.partitionBy("fid").orderBy(F.desc("match"), "ord"))
+    best = matched_texts(features, texts).withColumn("n", place).where(F.col("n") <= top + 1)
+    other = other.join(best, "fid").where(~F.col("id").eqNullSafe(F.col("seed"))).select("cid", "id", F.col("match").alias("sim"), F.col("ord").alias("o"))
     order = Window.partitionBy("cid").orderBy(F.desc("sim"), "o")
     return linked.unionByName(other).withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).select("cid", "id", "sim", "place")
 

@@ -102,21 +102,106 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_if_null: tuple[
     return joined.select(*(F.col(c) if c in keys else pick(c) for c in old.columns))
 
 
-def unused(types: DataFrame, key: str, used: DataFrame, used_key: str) -> DataFrame:
-    """Types that nothing uses; only these may be deleted."""
-    return types.join(used.select("canvas_id", F.col(used_key).alias(key)).distinct(), ["canvas_id", key], "left_anti")
+def replace_documents(nodes: DataFrame, edges: DataFrame, asked: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (canvas_id, id, file, new_file) replaced by what was extracted anew: ``new_nodes`` and ``new_edges`` with ``doc``, the id it is of.
+
+    A file of another name and an extraction without objects are refused, and such a document stays as it is; of the others
+    the old objects and edges go first, then the new ones are merged.  The third frame has ``canvas_id, id, objects, verdict``.
+    """
+    count = new_nodes.where("type <> 'doc'").groupBy("canvas_id", F.col("doc").alias("id")).agg(F.count("*").alias("objects"))
+    told = asked.join(count, NODE, "left").withColumn("objects", F.coalesce("objects", F.lit(0)).cast("long"))
+    told = told.withColumn("verdict", F.when(F.col("new_file") != F.col("file"), "renamed file").when(F.col("objects") == 0, "empty extraction").otherwise("replaced"))
+    done = told.where("verdict = 'replaced'").select(*NODE)
+    left, kept, _ = delete_documents(nodes, edges, done)
+    own = lambda df: df.join(ids(done, "doc"), ["canvas_id", "doc"], "left_semi")
+    delta = merge_delta(left, kept, own(new_nodes).select(*nodes.columns), own(new_edges).select(*edges.columns))
+    return left.unionByName(delta.nodes), kept.unionByName(delta.edges), told.select(*NODE, "objects", "verdict")
+
+
+def guarded_uploads(uploads: DataFrame, sources: DataFrame, object_types: DataFrame, most: int = 10 * 1024 * 1024, kinds: str = r"(?i)[.](xlsx|pptx|docx|dxf|pdf)$") -> tuple[DataFrame, DataFrame]:
+    """Uploads (canvas_id, file, size, ord) that may go in, and the others with the ``reason``.
+
+    Refused are files into a canvas without object types, of another kind, empty or larger than ``most`` bytes, and names that
+    the sources or an earlier upload have.
+    """
+    typed = object_types.select("canvas_id").distinct().withColumn("_typed", F.lit(True))
+    known = sources.select("canvas_id", "file").distinct().withColumn("_known", F.lit(True))
+    rows = uploads.join(typed, "canvas_id", "left").join(known, ["canvas_id", "file"], "left")
+    order = Window.partitionBy("canvas_id", "file").orderBy("ord")
+    reason = (
+        F.when(F.col("_typed").isNull(), "no object types")
+        .when(~F.col("file").rlike(kinds), "kind of file")
+        .when(F.coalesce("size", F.lit(0)) == 0, "empty file")
+        .when(F.col("size") > most, "too large")
+        .when(F.col("_known"), "duplicate name")
+    )
+    rows = rows.withColumn("reason", reason)
+    open_ = rows.where("reason is null").withColumn("reason", F.when(F.row_number().over(order) > 1, "duplicate name"))
+    shown = lambda df: df.select(*uploads.columns, "reason")
+    return open_.where("reason is null").select(*uploads.columns), shown(rows.where("reason is not null")).unionByName(shown(open_.where("reason is not null")))
+
+
+def logged(changes: DataFrame, shown: int = 5) -> DataFrame:
+    """Entries for the change log: ``canvas_id, op, at, ids, summary`` from changes (canvas_id, op, at, id), one for each operation and time.
+
+    ``ids`` counts the objects; the summary names the first ``shown`` of them, which a grouping by rank keeps small.
+    """
+    key = ["canvas_id", "op", "at"]
+    rows = changes.distinct().withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("id")))
+    first = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= shown, F.struct("_n", "id")))), lambda x: x["id"]), ", ")
+    entries = rows.groupBy(*key).agg(F.count("*").alias("ids"), first.alias("names"))
+    more = F.when(F.col("ids") > shown, F.concat(F.lit(" and "), (F.col("ids") - shown).cast("string"), F.lit(" more"))).otherwise("")
+    return entries.select(*key, "ids", F.concat(F.col("op"), F.lit(": "), F.col("names"), more).alias("summary"))
+
+
+def append_log(changes: DataFrame, path: str) -> None:
+    """Appends the entries of a batch of changes to a log folder."""
+    logged(changes).write.mode("append").parquet(path)
 
 
-def slugs(names: DataFrame) -> DataFrame:
-    """Adds ``slug`` to (name, ord): letters and digits of any script joined by dashes, repeats numbered in order."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim("name")), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
-    base = names.withColumn("slug", F.when(plain == "", "canvas").otherwise(plain))
-    place = F.row_number().over(Window.partitionBy("slug").orderBy("ord"))
-    return base.withColumn("_place", place).withColumn("slug", F.when(F.col("_place") > 1, F.concat_ws("-", "slug", F.col("_place").cast("string"))).otherwise(F.col("slug"))).drop("_place")
+def _merged_maps(rows: DataFrame, keys: list[str], maps: Column) -> DataFrame:
+    """``keys, props``: entries of the maps of each key, of equal entry keys the last by ``ord``."""
+    each = rows.select(*keys, "ord", F.explode(maps)).groupBy(*keys, "key").agg(F.max_by("value", "ord").alias("value"))
+    return each.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("props"))
+
+
+def upsert_entities(old: DataFrame, new: DataFrame, dimension: int) -> DataFrame:
+    """Entities (id, name, type, props map, embedding) after the rows of ``new`` (with ``ord``) came in one by one.
+
+    Name and type are those of the last row; properties are merged, the last value of a key counts; the last embedding of
+    the right size stays.  Entities without changes are not touched.
+    """
+    fits = F.size("embedding") == dimension
+    rows = old.withColumn("ord", F.lit(None).cast("long")).join(new.select("id").distinct(), "id", "left_semi").select(*old.columns, "ord").unionByName(new.select(*old.columns, "ord"))
+    rows = rows.withColumn("ord", F.coalesce("ord", F.lit(-(2**62))))
+    last = rows.groupBy("id").agg(F.max_by("name", "ord").alias("name"), F.max_by("type", "ord").alias("type"), F.max_by(F.when(fits, F.col("embedding")), F.when(fits, F.col("ord"))).alias("embedding"))
+    props = _merged_maps(rows, ["id"], F.col("props"))
+    none = F.create_map().cast("map<string,string>")
+    changed = last.join(props, "id", "left").withColumn("props", F.coalesce("props", none)).select(*old.columns)
+    return old.join(new.select("id").distinct(), "id", "left_anti").select(*old.columns).unionByName(changed)
+
+
+def upsert_relations(old: DataFrame, new: DataFrame, entities: DataFrame) -> DataFrame:
+    """Relations (src, type, dst, weight, props map) after the rows of ``new`` (with ``ord``); rows without both entities are left out.
+
+    The last weight that is given counts, properties are merged.
+    """
+    keys = ["src", "type", "dst"]
+    for end in ("src", "dst"):
+        new = new.join(entities.select(F.col("id").alias(end)), end, "left_semi")
+    fresh = new.select(*keys).distinct()
+    rows = old.join(fresh, keys, "left_semi").select(*old.columns).withColumn("ord", F.lit(-(2**62))).unionByName(new.select(*old.columns, "ord"))
+    last = rows.groupBy(*keys).agg(F.max_by("weight", F.when(F.col("weight").isNotNull(), F.col("ord"))).alias("weight"))
+    none = F.create_map().cast("map<string,string>")
+    changed = last.join(_merged_maps(rows, keys, F.col("props")), keys, "left").withColumn("props", F.coalesce("props", none)).select(*old.columns)
+    return old.join(fresh, keys, "left_anti").select(*old.columns).unionByName(changed)
 
 
 def survivors(nodes: DataFrame, edges: DataFrame, group: Column) -> DataFrame:
     """``canvas_id, id, into``: each node but the winner of its group, and the winner (most edges, shortest, least id)."""
-    rows = nodes.withColumn("_group", group).join(degree(edges), NODE, "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    best = Window.partitionBy("canvas_id", "type", "_group").orderBy(F.desc("degree"), F.length("id"), "id")
-    return rows.withColumn("into", F.first("id").over(best)).where("id <> into").select("canvas_id", "id", "into")
+    rows = nodes.withColumn("_group", group).join(degree(edges), NODE, "left")
+    key = ["canvas_id", "type", "_group"]
+    rank = F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), F.length("id").alias("l"), F.col("id").alias("i"))
+    best = rows.groupBy(*key).agg(F.min_by("id", rank).alias("into"))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
+    return rows.alias("r").join(best.alias("b"), same).where("id <> into").select("r.canvas_id", "id", "into")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kgspark.functions.text import fold, half_up, is_subset, starts_as_number, tokens
 
 from .graph import evidence, first_per_key, ids, with_degree
+from .lineage import settle
 
 NODE = ["canvas_id", "id"]
 
@@ -23,21 +24,38 @@ def proven(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return evidence(nodes, edges).groupBy(*NODE).agg(F.count("*").alias("docs"))
 
 
+def _rarest(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """Of each row (id and tokens, exploded as ``t``) the token that the fewest of ``held`` (canvas_id, type, t) have, if all are there."""
+    often = held.groupBy("canvas_id", "type", "t").agg(F.count("*").alias("n"))
+    met = rows.join(often, ["canvas_id", "type", "t"])
+    least = met.groupBy("canvas_id", "type", "key").agg(F.min_by("t", F.struct("n", "t")).alias("t"), F.count("*").alias("met"), F.first("size").alias("size"))
+    return least.where("met = size").select("canvas_id", "type", "key", "t")
+
+
 def auto_duplicates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Automatic nodes that look like a regular one of their type: equal when folded (92), else one's tokens within the other's (45).
 
-    Folded labels meet by an equality join; token sets only where they share a token.
+    Folded labels meet by an equality join.  Token sets meet over the rarest token of the smaller set, and only if the other
+    side knows all of its tokens, so that a word that all labels share brings no pairs together.
     """
     objects = nodes.where("type <> 'doc'").select("canvas_id", "id", "type", "ord", fold(F.col("label")).alias("fold"), tokens(F.col("label")).alias("tokens"))
     auto = objects.where("id like 'AUTO\\\\_%'").join(proven(nodes, edges), NODE, "left_semi")
     # of regular nodes with one label only the first can win
     regular = objects.where("id not like 'AUTO\\\\_%'").groupBy("canvas_id", "type", F.col("fold").alias("r_fold"), F.col("tokens").alias("r_tokens"))
-    regular = regular.agg(F.min_by("id", "ord").alias("r_id"), F.min("ord").alias("r_ord"))
+    regular = settle(regular.agg(F.min_by("id", "ord").alias("r_id"), F.min("ord").alias("r_ord")))
+    auto = settle(auto)
     exact = auto.join(regular, (auto.canvas_id == regular.canvas_id) & (auto.type == regular.type) & (F.col("fold") == F.col("r_fold"))).select(auto.canvas_id, "id", "r_id", "r_ord", F.lit(92).alias("score"))
-    one, other = auto.withColumn("t", F.explode("tokens")), regular.withColumn("t", F.explode("r_tokens"))
-    met = one.join(other, ["canvas_id", "type", "t"]).where(is_subset(F.col("tokens"), F.col("r_tokens")) | is_subset(F.col("r_tokens"), F.col("tokens")))
-    found = exact.unionByName(met.select("canvas_id", "id", "r_id", "r_ord", F.lit(45).alias("score")).distinct())
-    best = first_per_key(found, NODE, F.desc("score"), "r_ord")
+    one = auto.select("canvas_id", "type", F.col("tokens").alias("key"), F.size("tokens").alias("size")).distinct().withColumn("t", F.explode("key"))
+    other = regular.select("canvas_id", "type", F.col("r_tokens").alias("key"), F.size("r_tokens").alias("size")).distinct().withColumn("t", F.explode("key"))
+    names = lambda df, key: df.select("canvas_id", "type", "t", F.col("key").alias(key))
+    within = names(_rarest(one, other), "tokens").join(names(other, "r_tokens"), ["canvas_id", "type", "t"]).where(is_subset(F.col("tokens"), F.col("r_tokens")))
+    around = names(_rarest(other, one), "r_tokens").join(names(one, "tokens"), ["canvas_id", "type", "t"]).where(is_subset(F.col("r_tokens"), F.col("tokens")))
+    sets = within.unionByName(around).select("canvas_id", "type", "tokens", "r_tokens").distinct()
+    # of the regular nodes with a token set the first wins
+    firsts = regular.groupBy("canvas_id", "type", "r_tokens").agg(F.min_by("r_id", "r_ord").alias("r_id"), F.min("r_ord").alias("r_ord"))
+    winner = sets.join(firsts, ["canvas_id", "type", "r_tokens"]).groupBy("canvas_id", "type", "tokens").agg(F.min_by("r_id", "r_ord").alias("r_id"), F.min("r_ord").alias("r_ord"))
+    loose = auto.join(winner, ["canvas_id", "type", "tokens"]).select("canvas_id", "id", "r_id", "r_ord", F.lit(45).alias("score"))
+    best = first_per_key(exact.unionByName(loose), NODE, F.desc("score"), "r_ord")
     return finding(best, "dup-candidate", F.col("score"), F.col("r_id"))
 
 

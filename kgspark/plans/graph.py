@@ -46,18 +46,6 @@ def s16_usage_counters(spark, d) -> DataFrame:
     return types.unionByName(gr.edges.groupBy("canvas_id", F.lit("relation").alias("what"), F.col("rel").alias("name")).agg(F.count("*").alias("uses")))
 
 
-@query(
-    """select src, rel, dst, try_cast(regexp_extract(rel, 'SIMILAR ([0-9.]+)', 1) as double) as weight from (
-    select 'PJ' || c_custkey as src, case when c_custkey % 3 = 0 then 'SIMILAR 0.' || (c_custkey % 90 + 10) else 'TARGET_MARKET' end as rel, 'R' || (c_custkey % 5) as dst from customer)"""
-)
-def s14_weight_in_relation(spark, d) -> DataFrame:
-    """Weights written into relation names."""
-    key = F.col("c_custkey")
-    rel = F.when(key % 3 == 0, F.concat(F.lit("SIMILAR 0."), (key % 90 + 10).cast("string"))).otherwise("TARGET_MARKET")
-    rows = table(spark, d, "customer").select(F.concat(F.lit("PJ"), key).alias("src"), rel.alias("rel"), F.concat(F.lit("R"), key % 5).alias("dst"))
-    return rows.withColumn("weight", F.regexp_extract("rel", "SIMILAR ([0-9.]+)", 1).try_cast("double"))
-
-
 @query(
     g(""", more as (select canvas_id, src, rel, dst, weight, ord from edges union all select canvas_id, src, rel, 'gone', weight, ord + 1 from edges where rel = 'CAUSED_BY'
       union all select canvas_id, src, rel, dst, 9.0, ord + 5 from edges where rel = 'UNDER_REG'),

@@ -113,23 +113,6 @@ def w7_delete_documents(spark, d) -> DataFrame:
     return fate.select("id", "fate")
 
 
-@query("select doc_id, case when doc_id % 7 = 0 and doc_id % 2 = 0 then 'empty extraction' when doc_id % 7 = 0 and doc_id % 3 = 0 then 'renamed file' else 'replaced' end as status from documents where doc_id % 7 = 0")
-def w8_replace_document(spark, d) -> DataFrame:
-    """Guards of a replacement: an empty extraction or another file name is refused."""
-    key = F.col("doc_id")
-    new = table(spark, d, "documents").where("doc_id % 7 = 0").select("doc_id", F.when(key % 2 == 0, 0).otherwise(3).alias("objects"), F.when(key % 3 == 0, F.lit("other")).otherwise("same").alias("file"))
-    status = F.when(F.col("objects") == 0, "empty extraction").when(F.col("file") != "same", "renamed file").otherwise("replaced")
-    return new.select("doc_id", status.alias("status"))
-
-
-@query("select page_id, case when page_id in (select vec_id from embeddings where vec_id % 4 = 0) then 'duplicate name' when length(html) > 3000 then 'too large' when not regexp_matches(url, 'example') then 'extension' else 'accepted' end as verdict from pages")
-def w9_upload_guards(spark, d) -> DataFrame:
-    """Why an upload is refused: known name, size, kind; else accepted."""
-    known = table(spark, d, "embeddings").where("vec_id % 4 = 0").select(F.col("vec_id").alias("page_id"), F.lit(True).alias("known"))
-    verdict = F.when(F.col("known"), "duplicate name").when(F.length("html") > 3000, "too large").when(~F.col("url").rlike("example"), "extension").otherwise("accepted")
-    return table(spark, d, "pages").join(known, "page_id", "left").select("page_id", verdict.alias("verdict"))
-
-
 @query("select doc_id, case when doc_id % 3 = 0 then 'kind2' else source end as kind, case when doc_id % 3 = 0 and doc_id % 2 = 0 then 'new' else lang end as content from documents")
 def w10_source_upsert(spark, d) -> DataFrame:
     """Registry rows replaced by later ones, content kept where the later one has none."""
@@ -146,50 +129,6 @@ def w11_replace_chunks(spark, d) -> DataFrame:
     return mg.replace_rows(old, new, ["conv_id"])
 
 
-@query(g(", defs as (select unnest(['item', 'fm', 'cause', 'drawing', 'master']) as type_id) select 'main' as canvas_id, type_id from defs where type_id not in (select type from nodes)"))
-def w12_unused_types(spark, d) -> DataFrame:
-    """Object types that may be deleted."""
-    defs = spark.createDataFrame([("main", t) for t in ("item", "fm", "cause", "drawing", "master")], "canvas_id string, type_id string")
-    return mg.unused(defs, "type_id", all_nodes(spark, d), "type")
-
-
-@query(
-    """with named as (select c_custkey as ord, case when c_custkey % 4 = 0 then '  ' || c_mktsegment || ' Größe №' || c_nationkey || '! ' else '--' end as name from customer where c_custkey < 400 or c_custkey % 10 = 0),
-    based as (select name, ord, case when s = '' then 'canvas' else s end as slug from (select *, regexp_replace(regexp_replace(lower(trim(name)), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') as s from named)),
-    numbered as (select *, row_number() over (partition by slug order by ord) as place from based) select name, ord, case when place > 1 then slug || '-' || place else slug end as slug from numbered"""
-)
-def w13_unique_slugs(spark, d) -> DataFrame:
-    key = F.col("c_custkey")
-    name = F.when(key % 4 == 0, F.concat(F.lit("  "), "c_mktsegment", F.lit(" Größe №"), "c_nationkey", F.lit("! "))).otherwise("--")
-    return mg.slugs(table(spark, d, "customer").where("c_custkey < 400 or c_custkey % 10 = 0").select(name.alias("name"), key.alias("ord")))
-
-
-@query("select event_type as op, count(*) as entries, count(distinct user_id) as ids, event_type || ': ' || count(*) || ' entries' as summary from events group by event_type")
-def w14_change_log(spark, d) -> DataFrame:
-    """Summary of the appended log by operation."""
-    rows = table(spark, d, "events").groupBy(F.col("event_type").alias("op")).agg(F.count("*").alias("entries"), F.count_distinct("user_id").alias("ids"))
-    return rows.withColumn("summary", F.concat(F.col("op"), F.lit(": "), F.col("entries").cast("string"), F.lit(" entries")))
-
-
-@query(
-    """with rows as (select user_id, event_id, event_type, cast(json_extract(props, '$.k') as int) as k from events)
-    select user_id, max_by(event_type, event_id) as name, (select count(*) from (select distinct r2.k % 5 from rows r2 where r2.user_id = r.user_id)) as props from rows r group by user_id"""
-)
-def w16_entity_upsert(spark, d) -> DataFrame:
-    """Entities overwritten by the latest row, properties merged over all of them."""
-    rows = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    last = F.max_by("event_type", "event_id").alias("name")
-    return rows.groupBy("user_id").agg(last, F.count_distinct(F.col("k") % 5).alias("props"))
-
-
-@query("with r as (select *, row_number() over (partition by user_id, event_type order by event_id desc) as place from events where user_id in (select c_custkey from customer)) select user_id as src, event_type as rel, user_id % 10 as dst, value as weight from r where place = 1")
-def w17_relation_upsert(spark, d) -> DataFrame:
-    """Latest relation of each key, both ends known."""
-    rows = table(spark, d, "events").join(table(spark, d, "customer").select(F.col("c_custkey").alias("user_id")), "user_id", "left_semi")
-    last = op.first_per_key(rows, ["user_id", "event_type"], F.desc("event_id"))
-    return last.select(F.col("user_id").alias("src"), F.col("event_type").alias("rel"), (F.col("user_id") % 10).alias("dst"), F.col("value").alias("weight"))
-
-
 @query(
     g(""", old as (select dst as doc, src as id from edges where rel = 'EVIDENCED_BY'), fresh as (select distinct doc, 'F' || 'RF' || (1 + cast(substr(doc, 2) as bigint) % 5) as id from old where cast(substr(doc, 2) as bigint) % 3 = 0)
     select doc, id from old where doc not in (select doc from fresh where id in (select id from nodes)) union all select doc, id from fresh where id in (select id from nodes)""")

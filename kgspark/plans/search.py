@@ -172,17 +172,6 @@ def t16_catalog(spark, d) -> DataFrame:
 _URI = "'{0}:' || replace(replace(url_encode({1}), '+', '%20'), '~', '%7E')"
 
 
-@query(
-    g(" select 'class:' || type as subject, 'rdf:type' as predicate, 'owl:Class' as object from (select distinct type from nodes) union all select 'rel:' || rel, 'rdf:type', 'owl:ObjectProperty' from (select distinct rel from edges)"
-      " union all select 'node:' || id, 'rdf:type', 'class:' || type from nodes union all select 'node:' || id, 'rdfs:label', '\"' || label || '\"' from nodes"
-      " union all select 'node:' || id, 'prop:' || p.k, '\"' || p.v || '\"' || case when regexp_full_match(p.v, '-?[0-9]+([.][0-9]+)?') then '^^xsd:decimal' else '' end from (select id, unnest(props) as p from nodes)"
-      " union all select 'node:' || src, 'rel:' || rel, 'node:' || dst from edges")
-)
-def w19_triples(spark, d) -> DataFrame:
-    gr = graph(spark, d)
-    return triples.triples(gr.nodes, gr.edges)
-
-
 @query(g(" select id, type, label, (select count(*) from edges e join nodes n on n.id = e.dst and n.type <> 'doc' where e.src = o.id) as links from nodes o where type <> 'doc'"))
 def w20_core_view(spark, d) -> DataFrame:
     """Graph without documents: objects and how many relations leave them."""
