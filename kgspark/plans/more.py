@@ -68,28 +68,6 @@ def k12_stable_rerank(spark, d) -> DataFrame:
     return e.join(F.broadcast(shared), "fm").select("proj", "fm", "shared", place.alias("place"))
 
 
-@query(
-    g(""", q as (select 'AF' || n_nationkey as qid, 'failures in ' || r_name as q, r_name as region from nation join region on n_regionkey = r_regionkey where n_nationkey < 5),
-    direct as (select qid, n.id, 3.0::double as s from q join nodes n on n.type in ('reg', 'proj') and (contains(lower(q), lower(n.label)) or len(list_filter(n.props, lambda p: p.k = 'market' and p.v = region)) > 0)),
-    spread as (select qid, x.z as id, max(s) * 0.42::double as s from direct join (select src as a, dst as z from edges where rel in ('UNDER_REG', 'OCCURRED_IN') union all select dst, src from edges where rel in ('UNDER_REG', 'OCCURRED_IN')) x on x.a = direct.id group by qid, x.z),
-    best as (select qid, id, max(s) as s from (select * from direct union all select * from spread) group by qid, id),
-    typed as (select qid, b.id, round(s * case when n.type = 'fm' then 1.45::double else 1.0 end, 6) as score from best b join nodes n on n.id = b.id where n.type <> 'doc')
-    select qid, id, score, row_number() over (partition by qid order by score desc, id) as place from typed qualify place <= 12""")
-)
-def t9_rule_search(spark, d) -> DataFrame:
-    """Questions with a region and a type: direct hits, one step of spread, weight for the asked type, first twelve."""
-    gr = graph(spark, d)
-    nations = table(spark, d, "nation").where("n_nationkey < 5").join(table(spark, d, "region"), c("n_regionkey") == c("r_regionkey"))
-    asked = F.broadcast(nations.select(F.concat(F.lit("AF"), c("n_nationkey").cast("string")).alias("qid"), F.lower(F.concat(F.lit("failures in "), "r_name")).alias("q"), c("r_name").alias("region")))
-    named = c("q").contains(F.lower("label")) | F.exists("props", lambda p: (p["k"] == "market") & (p["v"] == c("region")))
-    direct = gr.nodes.where("type in ('reg', 'proj')").join(asked, named).select("qid", "id", F.lit(3.0).alias("s"))
-    links = op.both_ways(gr.edges.where("rel in ('UNDER_REG', 'OCCURRED_IN')")).select("id", "other")
-    spread = direct.join(links, "id").groupBy("qid", c("other").alias("id")).agg((F.max("s") * 0.42).alias("s"))
-    best = direct.unionByName(spread).groupBy("qid", "id").agg(F.max("s").alias("s")).join(gr.nodes.where("type <> 'doc'").select("id", "type"), "id")
-    rows = best.select("qid", "id", F.round(c("s") * F.when(c("type") == "fm", 1.45).otherwise(1.0), 6).alias("score"))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).where("place <= 12")
-
-
 @query(
     g(""", x as (select r.label as region, e.src as fm, count(*) over (partition by r.label) as n, row_number() over (partition by r.label order by e.ord) as place from edges e join nodes r on r.id = e.dst where e.rel = 'UNDER_REG')
     select region, region || ': ' || max(n) || ' failure modes, first ' || string_agg(fm, ', ' order by place) filter (where place <= 3) as answer from x group by region""")
@@ -103,15 +81,6 @@ def t10_region_answers(spark, d) -> DataFrame:
     return rows.select("region", F.concat(c("region"), F.lit(": "), c("n").cast("string"), F.lit(" failure modes, first "), first).alias("answer"))
 
 
-@query("select conv_id, coalesce(min_by(text[1:20], turn) filter (where contains(lower(text), 'the')), min_by(text[1:20], turn) filter (where role = 'user'), min_by(text[1:20], turn)) as reference from conversations group by conv_id")
-def t11_resolved_reference(spark, d) -> DataFrame:
-    """What a conversation is about: the first turn that names it, else the user's first, else the first."""
-    start = F.substring("text", 1, 20)
-    first = lambda cond: F.min_by(F.when(cond, start), F.when(cond, c("turn")))
-    ways = [first(F.lower("text").contains("the")), first(c("role") == "user"), first(F.lit(True))]
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.coalesce(*ways).alias("reference"))
-
-
 @query("with t as (select user_id, event_type, value, row_number() over (partition by user_id order by value desc, event_id) as place, count(*) over (partition by user_id) as n from events) select user_id, string_agg(case when place <= 3 then '[' || place || '] ' || event_type end, chr(10) order by place) || case when max(n) > 3 then chr(10) || '+' || (max(n) - 3) || ' more' else '' end as context from t group by user_id")
 def t15_review_context(spark, d) -> DataFrame:
     """The three weightiest entries of each user as lines, and how many more there are."""
