@@ -37,8 +37,6 @@ def g11_scored_projects(spark, d) -> DataFrame:
     return inf.scored_projects(conditions(spark, d), gr.nodes, gr.edges).withColumn("sim", F.round("sim", 6))
 
 
-
-
 def severity():
     return F.get(F.filter("props", lambda p: p["k"] == "severity"), F.lit(0))["v"].cast("int")
 
@@ -132,31 +130,6 @@ def g19_expansion_gaps(spark, d) -> DataFrame:
     return inf.expansion_gaps(gr.nodes, gr.edges, material)
 
 
-@query(
-    g(""", s as (select src as id, dst as fm, ord from edges where rel = 'OCCURRED_IN' and substr(dst, 4, 1) in ('1', '2')), f as (select id as other, min_by(fm, ord) as fm from s group by id),
-    near as (select src as id, dst as other, weight from edges where rel = 'SIMILAR' union all select dst, src, weight from edges where rel = 'SIMILAR')
-    select id, n.other, fm, weight, cast(floor(least(0.55::double * weight + 0.2::double, 1.0) * 100 + 0.5) as int) as confidence from near n join f on f.other = n.other where id not in (select id from s)""")
-)
-def g10_market_gaps(spark, d) -> DataFrame:
-    """Projects without a severe failure next to a similar one that had it."""
-    severe = F.substring("fm", 4, 1).isin("1", "2")
-    found = inf.similar_with_history(all_edges(spark, d), severe, F.lit(True))
-    return found.withColumn("confidence", F.floor(F.least(0.55 * c("weight") + 0.2, F.lit(1.0)) * 100 + 0.5).cast("int"))
-
-
-@query(
-    g(""", p as (select id, unnest(props) as p from nodes where type = 'proj'), said as (select id, p.v as symptom, length(p.v) as n from p where p.k = 'segment')
-    select id, symptom, cast(floor((0.5::double + least(n / 8.0::double, 1.0) * 0.3::double) * 100 + 0.5) as int) as confidence from said where id not in (select src from edges where rel = 'OCCURRED_IN')""")
-)
-def g9_record_gaps(spark, d) -> DataFrame:
-    """What is said about projects (their segment stands for it) without a failure on record."""
-    gr = graph(spark, d)
-    said = gr.nodes.where("type = 'proj'").select("id", F.explode("props").alias("p")).where("p.k = 'segment'").select("id", c("p.v").alias("symptom"))
-    open_ = said.join(gr.edges.where("rel = 'OCCURRED_IN'").select(c("src").alias("id")), "id", "left_anti")
-    share = 0.5 + F.least(F.length("symptom") / 8, F.lit(1.0)) * 0.3
-    return open_.withColumn("confidence", F.floor(share * 100 + 0.5).cast("int"))
-
-
 def features(part: str):
     """A shape from the columns of a part."""
     p = lambda n: c(f"{part}.{n}")

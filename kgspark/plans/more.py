@@ -31,13 +31,6 @@ def u6_allowed_types(spark, d) -> DataFrame:
     return all_nodes(spark, d).select("id", c("type").isin("item", "fm", "cause", "action").alias("allowed"))
 
 
-@query(g(" select 'a' as rule, src as id from edges where rel = 'SIMILAR' and weight < 0.3 union all select 'b', src from edges where rel = 'SIMILAR' and weight >= 0.9"))
-def u1_union_of_rules(spark, d) -> DataFrame:
-    similar = all_edges(spark, d).where("rel = 'SIMILAR'")
-    rule = lambda name, cond: similar.where(cond).select(F.lit(name).alias("rule"), c("src").alias("id"))
-    return rule("a", "weight < 0.3").unionByName(rule("b", "weight >= 0.9"))
-
-
 @query(g(", s as (select src as a, dst as b from edges where rel = 'SIMILAR' and weight >= 0.5), l as (select src as a, dst as b from edges where rel = 'SIMILAR' and ord % 2 = 0) select a, b from s where (a, b) not in (select a, b from l)"))
 def u3_pairs_difference(spark, d) -> DataFrame:
     """Pairs of one search that another has not."""
@@ -59,15 +52,6 @@ def k7_capped_history(spark, d) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(place)).where("place <= 3").select("proj", "fm", "place")
 
 
-@query(g(", dg as (select dst as id, count(*) as shared from edges where rel = 'OCCURRED_IN' group by dst) select e.src as proj, e.dst as fm, shared, row_number() over (partition by e.src order by shared desc, e.ord) as place from edges e join dg on dg.id = e.dst where rel = 'OCCURRED_IN'"))
-def k12_stable_rerank(spark, d) -> DataFrame:
-    """Neighbours ordered anew by a count, ties in the order of insertion."""
-    e = all_edges(spark, d).where("rel = 'OCCURRED_IN'").select(c("src").alias("proj"), c("dst").alias("fm"), "ord")
-    shared = e.groupBy("fm").agg(F.count("*").alias("shared"))
-    place = F.row_number().over(Window.partitionBy("proj").orderBy(F.desc("shared"), "ord"))
-    return e.join(F.broadcast(shared), "fm").select("proj", "fm", "shared", place.alias("place"))
-
-
 @query(
     g(""", x as (select r.label as region, e.src as fm, count(*) over (partition by r.label) as n, row_number() over (partition by r.label order by e.ord) as place from edges e join nodes r on r.id = e.dst where e.rel = 'UNDER_REG')
     select region, region || ': ' || max(n) || ' failure modes, first ' || string_agg(fm, ', ' order by place) filter (where place <= 3) as answer from x group by region""")
@@ -81,15 +65,21 @@ def t10_region_answers(spark, d) -> DataFrame:
     return rows.select("region", F.concat(c("region"), F.lit(": "), c("n").cast("string"), F.lit(" failure modes, first "), first).alias("answer"))
 
 
-@query("with t as (select user_id, event_type, value, row_number() over (partition by user_id order by value desc, event_id) as place, count(*) over (partition by user_id) as n from events) select user_id, string_agg(case when place <= 3 then '[' || place || '] ' || event_type end, chr(10) order by place) || case when max(n) > 3 then chr(10) || '+' || (max(n) - 3) || ' more' else '' end as context from t group by user_id")
-def t15_review_context(spark, d) -> DataFrame:
-    """The three weightiest entries of each user as lines, and how many more there are."""
-    group = Window.partitionBy("user_id")
-    rows = table(spark, d, "events").withColumns({"place": F.row_number().over(group.orderBy(F.desc("value"), "event_id")), "n": F.count("*").over(group)}).where("place <= 3")
-    line = F.concat(F.lit("["), c("place").cast("string"), F.lit("] "), c("event_type"))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("l")))), lambda x: x["l"]), "\n")
-    more = F.when(F.max("n") > 3, F.concat(F.lit("\n+"), (F.max("n") - 3).cast("string"), F.lit(" more"))).otherwise("")
-    return rows.groupBy("user_id").agg(F.concat(lines, more).alias("context"))
+@query(g(", dg as (select dst as id, count(*) as shared from edges where rel = 'OCCURRED_IN' group by dst) select e.src as proj, e.dst as fm, shared, row_number() over (partition by e.src order by shared desc, e.ord) as place from edges e join dg on dg.id = e.dst where rel = 'OCCURRED_IN'"))
+def k12_stable_rerank(spark, d) -> DataFrame:
+    """Neighbours ordered anew by a count, ties in the order of insertion."""
+    e = all_edges(spark, d).where("rel = 'OCCURRED_IN'").select(c("src").alias("proj"), c("dst").alias("fm"), "ord")
+    shared = e.groupBy("fm").agg(F.count("*").alias("shared"))
+    place = F.row_number().over(Window.partitionBy("proj").orderBy(F.desc("shared"), "ord"))
+    return e.join(shared, "fm").select("proj", "fm", "shared", place.alias("place"))
+
+
+@query("select conv_id, coalesce(min_by(text, turn) filter (where contains(lower(text), 'the')), min_by(text, turn) filter (where role = 'user'), min_by(text, turn)) as reference from conversations group by conv_id")
+def t11_resolved_reference(spark, d) -> DataFrame:
+    """What a conversation is about: the first turn that names it, else the user's first, else the first."""
+    first = lambda cond: F.min_by(F.when(cond, c("text")), F.when(cond, c("turn")))
+    ways = [first(F.lower("text").contains("the")), first(c("role") == "user"), first(F.lit(True))]
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.coalesce(*ways).alias("reference"))
 
 
 @query(_DRAWN + " select file, count(*) as texts, bool_or(part % 5 = 0) as has_five, case when count(*) < 3 then 'few texts' when not bool_or(part % 5 = 0) then 'no vent' else 'fine' end as verdict from p group by file")
