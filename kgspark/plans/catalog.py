@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, functions, graph, infer, ingest, merge, more, office, quality, questions, rules, search, state  # noqa: F401  they register their queries
+from . import chunks, drawings, functions, graph, infer, ingest, merge, more, office, quality, questions, rules, search, state  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES, Query
 
 

@@ -91,16 +91,6 @@ def g20_drawing_rules(spark, d) -> DataFrame:
     return rows.withColumn("verdict", F.when(c("texts") < 3, "few texts").when(~c("has_five"), "no vent").otherwise("fine"))
 
 
-@query(g(", s as (select src, dst, weight from edges where rel = 'SIMILAR' and weight > 0.3 qualify row_number() over (partition by substr(src, 1, 4) order by weight desc, ord) <= 4), h as (select src as proj, count(*) as n from edges where rel = 'OCCURRED_IN' group by src) select s.src, s.dst, s.weight, coalesce(h.n, 0) as history from s left join h on h.proj = s.dst"))
-def g8_similar_history(spark, d) -> DataFrame:
-    """The four closest links of each group above 0.3, with the history of what they lead to."""
-    e = all_edges(spark, d)
-    place = F.row_number().over(Window.partitionBy(F.substring("src", 1, 4)).orderBy(F.desc("weight"), "ord"))
-    near = e.where("rel = 'SIMILAR' and weight > 0.3").withColumn("p", place).where("p <= 4").select("src", "dst", "weight")
-    history = e.where("rel = 'OCCURRED_IN'").groupBy(c("src").alias("dst")).agg(F.count("*").alias("history"))
-    return near.join(history, "dst", "left").select("src", "dst", "weight", F.coalesce("history", F.lit(0)).alias("history"))
-
-
 @query("select page_id, url, regexp_extract(url, '^https?://([^/]+)', 1) as host, contains(regexp_replace(lower(html), '\\s+', '', 'g'), 'nav') as has_nav from pages")
 def s11_page_blocks(spark, d) -> DataFrame:
     """Host of a page, and whether its source holds a navigation block, blanks not counted."""
