@@ -91,15 +91,6 @@ def i5_worksheet_edges(spark, d) -> DataFrame:
     return ing.worksheet_edges(rows, [("item", "HAS_FAILURE", "fm"), ("fm", "CAUSED_BY", "cause"), ("proj", "OCCURRED_IN", "fm")])
 
 
-@query("select row, trim(p) as project, weight from (select s_suppkey as row, unnest(string_split('P' || s_nationkey || ', P' || (s_suppkey % 5) || ' ,', ',')) as p, case when s_suppkey % 3 = 0 then null else s_acctbal end as weight from supplier) where trim(p) <> ''")
-def i6_reference_sheets(spark, d) -> DataFrame:
-    """Comma lists split into rows, blank weights as null."""
-    lists = F.concat(F.lit("P"), c("s_nationkey").cast("string"), F.lit(", P"), (c("s_suppkey") % 5).cast("string"), F.lit(" ,"))
-    weight = F.when(c("s_suppkey") % 3 == 0, "").otherwise(c("s_acctbal").cast("string"))
-    rows = table(spark, d, "supplier").select(c("s_suppkey").alias("row"), F.explode(F.split(lists, ",")).alias("project"), F.nullif(weight, F.lit("")).cast("double").alias("weight"))
-    return rows.withColumn("project", F.trim("project")).where("project <> ''")
-
-
 ROLES = [("item", "part name", 0), ("item", "part", 1), ("fm", "failure mode", 0), ("fm", "failure", 1), ("cause", "cause", 0), ("qty", "qty", 0), ("qty", "quantity", 1)]
 _HEADS = "(select s_suppkey as file, unnest([case when s_suppkey % 2 = 0 then 'Parent Part' else 'note' end, 'Part Name', case when s_suppkey % 3 = 0 then 'Failure  Mode' else 'failure' end, 'QTY (ea)']) as name, unnest([0, 1, 2, 3]) as c from supplier)"
 
