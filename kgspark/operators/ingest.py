@@ -40,18 +40,26 @@ def resolve_or_create(names: DataFrame, vocabulary: DataFrame, confidence: float
     )
 
 
-def scan_entities(texts: DataFrame, vocabulary: DataFrame, least: int = 2, broadcast_rows: int = 20_000) -> DataFrame:
+def scan_entities(texts: DataFrame, vocabulary: DataFrame, least: int = 2, broadcast_rows: int = 20_000, gram: int = 5) -> DataFrame:
     """Distinct ``doc, id`` for the vocabulary names that a text (doc, text) holds, blanks not counted.
 
-    A small vocabulary goes to all tasks; a larger one meets the texts over the first ``least`` characters of its keys.
+    Every name is looked up by its rarest stretch of ``gram`` characters among all names (shorter names by themselves) and then compared.
+    Up to ``broadcast_rows`` names go to all tasks; more of them meet the stretches of the texts by a shuffle.
     """
     words = vocabulary.select("id", F.explode(F.concat(F.array("label"), "synonyms")).alias("name")).select("id", nospace(F.col("name")).alias("key")).where(F.length("key") >= least).distinct()
     rows = texts.select("doc", nospace(F.col("text")).alias("t"))
     if words.count() <= broadcast_rows:
         return rows.join(F.broadcast(words), F.col("t").contains(F.col("key"))).select("doc", "id").distinct()
-    places = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - least + 1, F.lit(1))), lambda i: F.substring(F.col("t"), i, F.lit(least))))
-    pieces = rows.select("doc", "t", F.explode(places).alias("head"))
-    return pieces.join(words.withColumn("head", F.substring("key", 1, least)), "head").where(F.col("t").contains(F.col("key"))).select("doc", "id").distinct()
+    pieces = lambda column, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(column) - n + 1, F.lit(1))), lambda i: F.substring(F.col(column), i, F.lit(n))))
+    long = words.where(F.length("key") >= gram).withColumn("head", F.explode(pieces("key", gram)))
+    often = long.groupBy("head").agg(F.count("*").alias("n"))
+    long = long.join(often, "head").groupBy("id", "key").agg(F.min_by("head", F.struct("n", "head")).alias("head"))
+    short = words.where(F.length("key") < gram).withColumn("head", F.col("key"))
+    looked = long.unionByName(short)
+    # texts are cut into stretches of the lengths that are looked up
+    stretches = F.flatten(F.array(*(pieces("t", n) for n in range(least, gram + 1))))
+    met = rows.select("doc", "t", F.explode(F.array_distinct(stretches)).alias("head")).join(looked, "head")
+    return met.where(F.col("t").contains(F.col("key"))).select("doc", "id").distinct()
 
 
 def co_mentions(mentions: DataFrame, pairs: list[tuple[str, str, str]]) -> DataFrame:
@@ -128,10 +136,17 @@ def nearest_column(values: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def near_pairs(texts: DataFrame, one: Column, other: Column, most: float) -> DataFrame:
-    """``file, one, other, distance`` of texts (file, x, y, value) of two kinds closer than ``most``."""
-    a = texts.where(one).select("file", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("value").alias("one"))
+    """``file, one, other, distance`` of texts (file, x, y, value) of two kinds closer than ``most``.
+
+    Texts meet only within their cell of a grid of that width and the eight around it.
+    """
+    cell = lambda v: F.floor(F.col(v) / most)
+    a = texts.where(one).select("file", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("value").alias("one")).withColumns({"cx": cell("ax"), "cy": cell("ay")})
     b = texts.where(other).select("file", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("value").alias("other"))
-    return a.join(b, "file").withColumn("distance", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).where(F.col("distance") < most).select("file", "one", "other", "distance")
+    around = F.sequence(F.lit(-1), F.lit(1))
+    b = b.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).withColumns({"cx": cell("bx") + F.col("dx"), "cy": cell("by") + F.col("dy")})
+    met = a.join(b, ["file", "cx", "cy"]).withColumn("distance", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")))
+    return met.where(F.col("distance") < most).select("file", "one", "other", "distance")
 
 
 def standard_records(extractions: DataFrame) -> DataFrame:

@@ -62,9 +62,11 @@ def auto_duplicates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def label_duplicates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Regular nodes with the same folded label as a better linked one of their type (88)."""
     rows = nodes.where("type <> 'doc' and id not like 'AUTO\\\\_%'").select("canvas_id", "id", "type", fold(F.col("label")).alias("fold")).where("fold <> ''")
-    best = Window.partitionBy("canvas_id", "type", "fold").orderBy(F.desc("degree"), F.length("id"), "id")
-    ranked = with_degree(rows, edges).withColumn("winner", F.first("id").over(best)).where("id <> winner")
-    return finding(ranked.join(proven(nodes, edges), NODE, "left_semi"), "dup-candidate", 88, F.col("winner"))
+    ranked = with_degree(rows, edges)
+    rank = F.struct((-F.col("degree")).alias("d"), F.length("id").alias("l"), F.col("id").alias("i"))
+    winners = ranked.groupBy("canvas_id", "type", "fold").agg(F.min_by("id", rank).alias("winner"))
+    lost = ranked.join(winners, ["canvas_id", "type", "fold"]).where("id <> winner")
+    return finding(lost.join(proven(nodes, edges), NODE, "left_semi"), "dup-candidate", 88, F.col("winner"))
 
 
 def orphans(nodes: DataFrame, edges: DataFrame, rel: str = "EVIDENCED_BY") -> DataFrame:

@@ -11,21 +11,22 @@ from kgspark.sources.tables import table
 from .registry import query
 
 
-@query(
-    r"""with recursive p as (select doc_id, row_number() over (partition by doc_id order by i) as i, t from (select doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' '))) as t, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where length(text) < 3000) where t <> ''),
+_PROSE = r"""with recursive p as (select doc_id, row_number() over (partition by doc_id order by i) as i, t from (select doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' '))) as t, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where t <> ''),
     walk as (select doc_id, i, t as cur, t as last, length(t) + 1 as len, cast(null as varchar) as done from p where i = 1
-      union all select w.doc_id, p.i, case when w.len + length(p.t) + 1 > 300 then w.last || chr(10) || p.t else w.cur || chr(10) || p.t end, p.t,
-        case when w.len + length(p.t) + 1 > 300 then length(w.last) + length(p.t) + 1 else w.len + length(p.t) + 1 end, case when w.len + length(p.t) + 1 > 300 then w.cur end from walk w join p on p.doc_id = w.doc_id and p.i = w.i + 1),
+      union all select w.doc_id, p.i, case when w.len + length(p.t) + 1 > LIMIT then w.last || chr(10) || p.t else w.cur || chr(10) || p.t end, p.t,
+        case when w.len + length(p.t) + 1 > LIMIT then length(w.last) + length(p.t) + 1 else w.len + length(p.t) + 1 end, case when w.len + length(p.t) + 1 > LIMIT then w.cur end from walk w join p on p.doc_id = w.doc_id and p.i = w.i + 1),
     outs as (select doc_id, i, 0 as tail, done as text from walk where done is not null union all select doc_id, max(i), 1, max_by(cur, i) from walk group by doc_id)
     select doc_id as file, row_number() over (partition by doc_id order by i, tail) - 1 as seq, 'text' as block, text from outs"""
-)
+
+
+@query(_PROSE.replace("LIMIT", "300"))
 def t1_prose_chunks(spark, d) -> DataFrame:
-    """Documents below 3000 characters in chunks of about 300; the SQL walks them line by line, so it stays with these."""
-    docs = table(spark, d, "documents").where(F.length("text") < 3000).select(F.col("doc_id").alias("file"), "text")
+    """All documents in chunks of about 300 characters, numbered within each."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("file"), "text")
     return ch.backfill(docs, spark.createDataFrame([], "file long"), most=300)
 
 
-@query()
+@query(_PROSE.replace("LIMIT", "800"))
 def t3_all_chunks(spark, d) -> DataFrame:
     """All documents in chunks of about 800 characters, numbered within each."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("file"), "text")

@@ -18,9 +18,9 @@ _FOLD = "regexp_replace(lower(trim({})), '[\\s·\\-_/()]', '', 'g')"
 _FNV = "lpad(printf('%x', cast(list_reduce(list_prepend(cast(2166136261 as bigint), list_transform(string_split({}, ''), lambda ch: cast(ord(ch) as bigint))), lambda h, u: (xor(h, u) * 16777619) & 4294967295) as bigint)), 8, '0')"
 
 
-@query("select doc_id, nfc_normalize(substr(text, 1, 40)) as start from documents")
+@query("select doc_id, nfc_normalize(text) as text from documents")
 def f1_nfc(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.nfc(F.substring("text", 1, 40)).alias("start"))
+    return table(spark, d, "documents").select("doc_id", text.nfc(c("text")).alias("text"))
 
 
 @query("select p_partkey, " + _FOLD.format("p_name || ' ' || p_type || ' (' || p_brand || ')'") + " as folded from part")
@@ -49,10 +49,9 @@ def f5_entity_id(spark, d) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", text.entity_id(F.lit("proj"), label).alias("id"))
 
 
-@query("select doc_id, regexp_replace(lower(substr(text, 1, 60)), '\\s+', '', 'g') as tight, trim(regexp_replace(lower(substr(text, 1, 60)), '\\s+', ' ', 'g')) as squeezed from documents where lang = 'en'")
+@query("select doc_id, regexp_replace(lower(text), '\\s+', '', 'g') as tight, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) as squeezed from documents")
 def f7_spaces(spark, d) -> DataFrame:
-    start = F.substring("text", 1, 60)
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", text.nospace(start).alias("tight"), text.squeezed(start).alias("squeezed"))
+    return table(spark, d, "documents").select("doc_id", text.nospace(c("text")).alias("tight"), text.squeezed(c("text")).alias("squeezed"))
 
 
 @query("select p_partkey, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' a ' || p_name || '/' || p_brand), '[\\s·\\-_/()]+'), lambda t: length(t) >= 2))) as tokens from part")
@@ -210,13 +209,13 @@ def f28_edge_weight(spark, d) -> DataFrame:
     return rows.select("src", "rel", "dst", text.edge_weight(c("weight"), rel).alias("weight"), text.hop(c("src"), c("rel"), c("dst")).alias("hop"))
 
 
-@query("select c_custkey, c_custkey % 4 in (0, 1) as hit from customer where c_custkey % 4 < 3")
+@query("select c_custkey, c_custkey % 4 in (0, 1) as hit from customer")
 def f29_market_words(spark, d) -> DataFrame:
     """Whether a text names a market by one of its words."""
     m = c("c_custkey") % 4
-    market = F.when(m == 0, "북미 시장").when(m == 1, "Mars").otherwise("유럽")
+    market = F.when(m == 0, "북미 시장").when(m == 1, "Mars").when(m == 2, "유럽").otherwise("")
     note = F.when(m == 0, "meets FMVSS 108").when(m == 1, "sold on Mars").otherwise("Asia only")
-    return table(spark, d, "customer").where("c_custkey % 4 < 3").select("c_custkey", domain.holds_any(note, domain.market_words(market)).alias("hit"))
+    return table(spark, d, "customer").select("c_custkey", domain.holds_any(note, domain.market_words(market)).alias("hit"))
 
 
 @query("select l_orderkey, l_linenumber, least(10, l_linenumber + case when l_returnflag = 'R' then 1 else 0 end + case when l_linestatus = 'O' then 1 else 0 end) as occurrence from lineitem")

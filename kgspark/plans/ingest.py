@@ -171,15 +171,14 @@ def i13_document_nodes(spark, d) -> DataFrame:
 
 
 def drawings(spark, d) -> DataFrame:
-    """A drawing per supplier: a title, then up to six parts as texts in a grid."""
-    lines = table(spark, d, "lineitem").where("l_linenumber <= 2").select("l_suppkey", "l_partkey").distinct()
-    rows = lines.groupBy("l_suppkey").agg(F.slice(F.array_sort(F.collect_list("l_partkey")), 1, 6).alias("p"))
+    """A drawing per order: a title, then all its parts as texts in a grid."""
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("p"))
     text = lambda x, y, v: F.concat_ws("\n", F.lit("0"), F.lit("TEXT"), F.lit("8"), F.lit("notes"), F.lit("10"), x, F.lit("20"), y, F.lit("1"), v)
     cell = lambda v, i: text((i % 3 * 40).cast("string"), (100 - F.floor(i / 3) * 10).cast("string"), F.concat(F.lit("P"), v.cast("string")))
-    return rows.select(c("l_suppkey").alias("file"), F.concat(F.lit("999\ncomment\n"), F.array_join(F.transform("p", cell), "\n"), F.lit("\n0\nEOF")).alias("text"))
+    return rows.select(c("l_orderkey").alias("file"), F.concat(F.lit("999\ncomment\n"), F.array_join(F.transform("p", cell), "\n"), F.lit("\n0\nEOF")).alias("text"))
 
 
-_DRAWN = "with p as (select l_suppkey as file, unnest(list_sort(list(distinct l_partkey))[1:6]) as part, generate_subscripts(list_sort(list(distinct l_partkey))[1:6], 1) - 1 as i from lineitem where l_linenumber <= 2 group by l_suppkey)"
+_DRAWN = "with p as (select l_orderkey as file, unnest(list_sort(list(distinct l_partkey))) as part, generate_subscripts(list_sort(list(distinct l_partkey)), 1) - 1 as i from lineitem group by l_orderkey)"
 
 
 @query(_DRAWN + " select file, 'notes' as layer, cast(i % 3 * 40 as double) as x, cast(100 - i // 3 * 10 as double) as y, 'P' || part as value from p")

@@ -42,8 +42,8 @@ def q1_auto_duplicates(spark, d) -> DataFrame:
 
 
 @query(
-    g(_AUTO + """, dg as (select f.*, count(x.i) as deg from folded f left join (select src as i from edges union all select dst from edges) x on x.i = f.id where f.id not like 'AUTO%' group by all),
-    won as (select *, first_value(id) over (partition by type, fold order by deg desc, length(id), id) as winner from dg)
+    g(""", f as (select id, type, regexp_replace(lower(trim(label)), '[\\s·\\-_/()]', '', 'g') as fold from nodes where type <> 'doc'), deg as (select i as id, count(*) as n from (select src as i from edges union all select dst from edges) group by i),
+    won as (select f.*, first_value(f.id) over (partition by type, fold order by coalesce(n, 0) desc, length(f.id), f.id) as winner from f left join deg on deg.id = f.id where fold <> '')
     select 'main' as canvas_id, 'dup-candidate' as kind, id, winner as other, 88 as confidence from won where id <> winner and id in (select src from edges where rel = 'EVIDENCED_BY')""")
 )
 def q2_label_duplicates(spark, d) -> DataFrame:

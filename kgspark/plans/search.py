@@ -135,13 +135,13 @@ def t12_object_context(spark, d) -> DataFrame:
     return search.object_context(gr.nodes, gr.edges).join(wanted, ["canvas_id", "id"], "left_semi").select("id", "context")
 
 
-@query(f"with n as ({_NEAR}), r as (select *, row_number() over (partition by qid order by distance, id) as place from n) select qid, string_agg('[C ' || place || '] ' || source || ' · text' || chr(10) || substr(text, 1, 80), chr(10) || chr(10) order by place) as context from r join documents on doc_id = id where place <= 3 group by qid")
+@query(f"with n as ({_NEAR}), r as (select *, row_number() over (partition by qid order by distance, id) as place from n) select qid, string_agg('[C ' || place || '] ' || source || ' · text' || chr(10) || text, chr(10) || chr(10) order by place) as context from r join documents on doc_id = id where place <= 3 group by qid")
 def t13_chunk_context(spark, d) -> DataFrame:
     """Numbered context of the three nearest texts (vectors stand for the documents of the same number)."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     near = search.nearest(v.where("id % 100 = 0").withColumnRenamed("id", "qid"), v, 3)
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.substring("text", 1, 80).alias("start"))
-    line = F.concat(F.lit("[C "), F.col("place").cast("string"), F.lit("] "), "source", F.lit(" · text\n"), "start")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    line = F.concat(F.lit("[C "), F.col("place").cast("string"), F.lit("] "), "source", F.lit(" · text\n"), "text")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("l")))), lambda x: x["l"])
     return near.join(docs, "id").groupBy("qid").agg(F.array_join(parts, "\n\n").alias("context"))
 
