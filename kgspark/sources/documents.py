@@ -23,9 +23,9 @@ from kgspark.functions.text import stripped_html
 
 
 def scan(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files below a folder, without lock files, as (path, file, content)."""
+    """Files below a folder, without lock files, as (path, file, length, content)."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return rows.select("path", F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("file"), "content").where(~F.col("file").startswith("~$"))
+    return rows.select("path", F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("file"), "length", "content").where(~F.col("file").startswith("~$"))
 
 
 def _reader(files: DataFrame, parse: Callable[[bytes], Iterator[tuple]], columns: str) -> DataFrame:
@@ -146,6 +146,38 @@ def read_paragraphs(files: DataFrame) -> DataFrame:
     return _reader(files, parse, "line_no int, text string")
 
 
+def source_blocks(cells: DataFrame, slides: DataFrame, paragraphs: DataFrame, most: int | None = 2000) -> DataFrame:
+    """``file, block_no, label, lines, rows``: labelled blocks of source texts: a sheet, a slide, a document's paragraphs.
+
+    cells, slides and paragraphs are what the readers give.  Sheets have their rows as cells too, empty rows left out.  With ``most``, a
+    file's lines are cut there and its last block says how many there are; chunks need the whole, without it.
+    """
+    good = lambda df: df.where("error is null")
+    listed = lambda order, value: F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))), lambda x: x["v"])
+    # a row of a sheet has a place for every column up to its last one
+    width = F.sequence(F.lit(0), F.max("c"))
+    at = F.map_from_entries(F.collect_list(F.struct("c", "value")))
+    grid = good(cells).groupBy("file", "sheet", "r").agg(F.transform(width, lambda i: F.coalesce(at[i], F.lit(""))).alias("row"))
+    none = F.array().cast("array<array<string>>")
+    sheets = grid.groupBy("file", "sheet").agg(listed("r", F.col("row")).alias("rows"))
+    sheets = sheets.select("file", F.lit("sheet").alias("kind"), F.col("sheet").alias("label"), F.lit(0).alias("n"), F.transform("rows", lambda r: F.array_join(r, " │ ")).alias("lines"), "rows")
+    decks = good(slides).groupBy("file", "slide").agg(listed("line_no", F.col("text")).alias("lines"))
+    decks = decks.select("file", F.lit("slide").alias("kind"), F.concat(F.lit("슬라이드 "), F.col("slide").cast("string")).alias("label"), F.col("slide").alias("n"), "lines", none.alias("rows"))
+    texts = good(paragraphs).groupBy("file").agg(listed("line_no", F.col("text")).alias("lines"))
+    texts = texts.select("file", F.lit("text").alias("kind"), F.lit("본문").alias("label"), F.lit(0).alias("n"), "lines", none.alias("rows"))
+    order = Window.partitionBy("file").orderBy("kind", "n", "label")
+    blocks = sheets.unionByName(decks).unionByName(texts).withColumn("block_no", F.row_number().over(order) - 1)
+    if most is None:
+        return blocks.select("file", "block_no", "label", "lines", "rows")
+    before = F.coalesce(F.sum(F.size("lines")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumns({"_before": before, "_all": F.sum(F.size("lines")).over(Window.partitionBy("file"))}).where(F.col("_before") < most)
+    left = (most - F.col("_before")).cast("int")
+    cut = (F.col("_all") > most) & (F.col("_before") + F.size("lines") >= most)
+    mark = F.concat(F.lit("… (이하 생략, 총 "), F.col("_all").cast("string"), F.lit("행)"))
+    lines = F.slice("lines", F.lit(1), left)
+    return blocks.select("file", "block_no", "label", F.when(cut, F.array_append(lines, mark)).otherwise(lines).alias("lines"), F.slice("rows", F.lit(1), left).alias("rows"))
+
+
 def read_mails(files: DataFrame) -> DataFrame:
     """``file, sender, recipient, subject, date, body, error``: plain text of mails, else their stripped HTML; never fails."""
 
