@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, drawings, files, functions, graph, infer, ingest, merge, more, office, quality, questions, rules, search, sheets, state  # noqa: F401  they register their queries
+from . import chunks, drawings, files, functions, graph, infer, ingest, merge, more, office, pipeline, quality, questions, rules, search, sheets, state  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES, Query
 
 
