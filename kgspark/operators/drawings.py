@@ -5,15 +5,13 @@ Texts are rows ``file, entity, x, y, value``; ``entity`` is their order in the f
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions import domain
 
 from .graph import first_per_key
-from .lineage import settle
+from .lineage import in_blocks
 
 # Keys of shape features, headers of a parts list, and the words and limits of the rules.
 FEATURES = ("하우징", "벤트 홀", "벤트", "실링", "개스킷 소재", "개스킷", "커넥터", "렌즈", "결로 방지", "드레인")
@@ -110,14 +108,6 @@ def risks(texts: DataFrame, pairs: DataFrame, markets: DataFrame) -> DataFrame:
     return expand.unionByName(found(near, "vent-heat", "주의", F.col("names"))).unionByName(graded).unionByName(closed)
 
 
-def _blocks(queries: DataFrame, size: int) -> Iterator[DataFrame]:
-    """A query set in parts of about ``size`` rows, each to be sent to all tasks."""
-    queries = settle(queries)
-    n = max(1, -(-queries.count() // size))
-    for b in range(n):
-        yield F.broadcast(queries.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b))
-
-
 def similar_projects(drawn: DataFrame, projects: DataFrame, top: int = 4, block: int = 1000) -> DataFrame:
     """``id, other, score, place``: the projects (id, features, ord) whose shape is most like that of each drawing (id, features).
 
@@ -126,7 +116,7 @@ def similar_projects(drawn: DataFrame, projects: DataFrame, top: int = 4, block:
     asked = drawn.select("id", F.col("features").alias("f"))
     other = projects.select(F.col("id").alias("other"), F.col("features").alias("h"), "ord")
     out = None
-    for part in _blocks(asked, block):
+    for part in in_blocks(asked, "id", block):
         pairs = other.join(part, F.col("id") != F.col("other")).select("id", "other", "ord", domain.shape_similarity("f", "h").alias("score")).where("score > 0")
         out = pairs if out is None else out.unionByName(pairs)
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "ord"))

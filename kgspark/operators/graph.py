@@ -86,7 +86,7 @@ def k_hop(seeds: DataFrame, edges: DataFrame, depth: int, settle=lambda df: df)
 
     Each step joins only the newest frontier; ``settle`` may cut the lineage between steps.
     """
-    links = both_ways(edges).select("canvas_id", "id", "other").where("id <> other").distinct()
+    links = settle(both_ways(edges).select("canvas_id", "id", "other").where("id <> other").distinct())
     frontier = seeds.select("canvas_id", F.col("id").alias("seed"), "id").distinct().withColumn("hops", F.lit(0))
     seen = frontier
     for hop in range(1, depth + 1):

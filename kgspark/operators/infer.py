@@ -12,7 +12,7 @@ from kgspark.functions import domain
 from kgspark.functions.text import clamp01, half_up, hop
 
 from .graph import both_ways, evidence, first_per_key
-from .lineage import settle
+from .lineage import in_blocks, settle
 
 #: Most rows of a small table that are sent to all tasks; larger ones are joined by a shuffle.
 SENT = 100_000
@@ -112,7 +112,7 @@ def concerns(visited: DataFrame, conditions: DataFrame, nodes: DataFrame, edges:
     regs = edges.where("rel = 'UNDER_REG'").select(F.col("src").alias("fm"), F.col("dst").alias("id")).join(nodes.select("id", F.col("label").alias("reg")), "id")
     regs = regs.groupBy("fm").agg(F.collect_set("reg").alias("regs"))
     rows = visited.groupBy("cid", "fm").agg(F.max("sim").alias("sim"), F.count("*").alias("visits"), F.array_sort(F.collect_set("anchor")).alias("anchors"))
-    rows = rows.join(fms, "fm").join(docs, "fm", "left").join(mastered, "fm", "left").join(regs, "fm", "left").join(F.broadcast(conditions.select("cid", "market", "shape")), "cid")
+    rows = rows.join(fms, "fm").join(docs, "fm", "left").join(mastered, "fm", "left").join(regs, "fm", "left").join(conditions.select("cid", "market", "shape"), "cid")
     market = F.coalesce(F.exists("regs", lambda r: domain.holds_any(r, domain.market_words(F.col("market")))), F.lit(False))
     shape = domain.holds_any(F.col("title"), shape_tokens(F.col("shape")))
     boost = F.when(market, BOOST["market"]).otherwise(0.0) + F.when(shape, BOOST["shape"]).otherwise(0.0)
@@ -141,8 +141,10 @@ def cause_concerns(conditions: DataFrame, nodes: DataFrame, edges: DataFrame, ru
         active = conditions.where(F.exists("shape", lambda s: s.rlike(shape))).select("cid")
         hits = labels.where(F.col("name").rlike(label)).join(links, ["canvas_id", "cause"])
         first = first_per_key(hits, ["canvas_id", "cause"], "link").select("cause", "fm")
-        part = first.join(F.broadcast(active), F.lit(True)).select("cid", F.lit(rule).alias("rule"), "cause", "fm")
-        rows = part if rows is None else rows.unionByName(part)
+        # conditions are a query set against all causes
+        for block in in_blocks(active, "cid"):
+            part = first.join(block, F.lit(True)).select("cid", F.lit(rule).alias("rule"), "cause", "fm")
+            rows = part if rows is None else rows.unionByName(part)
     return rows
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,3 +29,11 @@ def settle(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def in_blocks(queries: DataFrame, key: str, size: int = 1000) -> Iterator[DataFrame]:
+    """A query set in parts of about ``size`` rows, each of which may be sent to all tasks; without rows one empty part."""
+    queries = settle(queries)
+    n = max(1, -(-queries.count() // size))
+    for b in range(n):
+        yield F.broadcast(queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == b))

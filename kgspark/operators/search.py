@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from kgspark.functions.text import cosine_distance, squeezed
 
 from .graph import both_ways, degree, evidence
-from .lineage import settle
+from .lineage import in_blocks, settle
+from .questions import holding
 
 # Weights of the fields of a node.
 WEIGHTS = {"label": 3.0, "sub": 2.0, "prop": 1.5, "evidence": 1.0}
@@ -22,14 +24,15 @@ WEIGHTS = {"label": 3.0, "sub": 2.0, "prop": 1.5, "evidence": 1.0}
 def expanded(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """``qid, terms``: each query (qid, q) folded, with the synonyms (one, other) of what it holds; blank queries go."""
     asked = queries.select("qid", squeezed(F.col("q")).alias("q")).where("q <> ''")
-    met = asked.join(F.broadcast(synonyms), F.col("q").contains(F.col("one"))).select("qid", F.explode(F.array("one", "other")).alias("term"))
+    held = holding(asked.withColumnRenamed("q", "t"), synonyms.select(F.col("one").alias("word")))
+    met = held.join(synonyms.withColumnRenamed("one", "word"), "word").select("qid", F.explode(F.array("word", "other")).alias("term"))
     return asked.select("qid", F.col("q").alias("term")).unionByName(met).groupBy("qid").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
 
 def keyword_hits(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``qid, id, score, matched``: objects that hold a term of a query (qid, terms), scored by the fields that do.
 
-    The queries are the small side; node texts are scanned once, whatever the number of queries.
+    The queries are a query set against all objects, in blocks of which each goes to all tasks.
     """
     files = evidence(nodes, edges).groupBy("canvas_id", "id").agg(F.collect_set(F.lower("filename")).alias("files"))
     texts = F.transform("props", lambda p: F.lower(F.concat_ws("\n", p["k"], p["v"])))
@@ -37,7 +40,8 @@ def keyword_hits(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> Data
     some = lambda value: F.coalesce(F.exists("terms", lambda t: value.contains(t)), F.lit(False))
     any_of = lambda name: F.coalesce(F.exists(name, lambda v: F.exists("terms", lambda t: v.contains(t))), F.lit(False))
     found = {"label": some(F.col("l")), "sub": some(F.col("s")), "prop": any_of("p"), "evidence": any_of("files")}
-    rows = rows.join(F.broadcast(queries), F.lit(True)).select("qid", "id", *(v.alias(k) for k, v in found.items()))
+    each = [rows.join(part, F.lit(True)).select("qid", "id", *(v.alias(k) for k, v in found.items())) for part in in_blocks(queries, "qid")]
+    rows = reduce(DataFrame.unionByName, each)
     score = sum((F.when(F.col(k), w).otherwise(0.0) for k, w in WEIGHTS.items()), F.lit(0.0))
     matched = F.array_compact(F.array(*(F.when(F.col(k), k) for k in WEIGHTS)))
     return rows.select("qid", "id", score.alias("score"), matched.alias("matched")).where("score > 0")
@@ -170,7 +174,7 @@ class Centroids:
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         random = np.random.default_rng(seed)
         c = x[random.permutation(len(x))[: min(lists, len(x))]]
-        for _ in range(rounds):
+        for _ in range(rounds if len(c) else 0):
             own = (x @ c.T).argmax(axis=1)
             for i in range(len(c)):
                 if (own == i).any():

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kgspark.operators import components as cc
 from kgspark.operators import graph as op
+from kgspark.operators.lineage import settle
 from kgspark.sources.tables import GRAPH_SQL, graph, table
 from kgspark.sources.tables import edges as all_edges
 from kgspark.sources.tables import nodes as all_nodes
@@ -268,7 +269,7 @@ def g1_neighbours(spark, d) -> DataFrame:
 def g2_k_hop(spark, d) -> DataFrame:
     """Everything within two steps of each action, with least distances."""
     gr = graph(spark, d)
-    return op.k_hop(gr.nodes.where("type = 'action'"), gr.edges, 2)
+    return op.k_hop(gr.nodes.where("type = 'action'"), gr.edges, 2, settle)
 
 
 @query(
