@@ -39,7 +39,7 @@ _LOWER = lower_table()
 END = np.uint64(0x2545F4914F6CDD1D)  # the hash of the end token
 _MOST_TOKENS = 1 << 21
 #: Words that are classes of their own, words of each further class, tokens scored at a time.
-SINGLE, GROUP, PIECE = 256, 128, 1 << 16
+SINGLE, GROUP, PIECE = 128, 128, 1 << 16
 
 
 def tokens(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -192,9 +192,9 @@ class Scorer:
 
 def _log_share(score: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Log of the share of the chosen column in the sum of exponentials of each row; overwrites the scores."""
-    top = score.max(axis=1)
-    picked = score[np.arange(len(score)), chosen] - top
-    score -= top[:, None]
+    if score.max() > 80:  # exponentials would overflow
+        score -= score.max(axis=1)[:, None]
+    picked = score[np.arange(len(score)), chosen]
     np.exp(score, out=score)
     return picked - np.log(score.sum(axis=1))
 
@@ -216,7 +216,7 @@ class Trainer:
     Noise classes are shared by the tokens of a minibatch; noise words are drawn for each token from its class.
     """
 
-    def __init__(self, start: Parameters, classes: Classes, seed: int, rate: float = 0.08, batch: int = 4096, noise: int = 64, words: int = 6):
+    def __init__(self, start: Parameters, classes: Classes, seed: int, rate: float = 0.15, batch: int = 2048, noise: int = 32, words: int = 2):
         self.p, self.classes = Parameters(*(a.copy() for a in start.arrays())), classes
         self.squares = [np.full(a.shape, 1e-6, dtype=np.float32) for a in self.p.arrays()]
         share = classes.total / classes.total.sum()
@@ -264,7 +264,8 @@ class Trainer:
     def _add(self, which: int, at: np.ndarray, slope: np.ndarray, n: int) -> None:
         """One Adagrad step of the named rows of a parameter; slopes of the same row add up."""
         value, square = self.p.arrays()[which], self.squares[which]
-        order = np.argsort(at, kind="stable")
+        # 16-bit keys are sorted by radix
+        order = np.argsort(at.astype(np.uint16) if len(value) <= 1 << 16 else at, kind="stable")
         at = at[order]
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         slope = np.add.reduceat(slope[order], first, axis=0) / np.float32(n)
@@ -278,7 +279,7 @@ def _miss(score: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(score, -30, 30)))
 
 
-def _mixed(rows: DataFrame, fan: int = 32) -> np.ndarray | None:
+def _mixed(rows: DataFrame, fan: int = 16) -> np.ndarray | None:
     """Mean of float32 vectors (value binary, weight double) by weight, in a tree of sums."""
 
     def combined(pairs: Iterator[tuple[bytes, float]]) -> tuple[np.ndarray, float] | None:
@@ -295,10 +296,10 @@ def _mixed(rows: DataFrame, fan: int = 32) -> np.ndarray | None:
 
     rows = settle(rows)
     left = rows.count()
-    while left > fan:
+    while left > 1:
         left = -(-left // fan)
         rows = rows.repartition(left).mapInArrow(run, "value binary, weight double")
-    mean = combined(map(tuple, rows.collect()))  # at most ``fan`` vectors
+    mean = combined(map(tuple, rows.collect()))  # one vector
     return mean[0] if mean else None
 
 
@@ -312,7 +313,7 @@ class Model:
     outside_distinct: int
 
 
-def train(docs: DataFrame, counts: DataFrame, head: int = 500_000, vocabulary: int = 32_768, width: int = 24, rounds: int = 3, seed: int = 3, part: int = 2_000_000) -> Model:
+def train(docs: DataFrame, counts: DataFrame, head: int = 250_000, vocabulary: int = 16_384, width: int = 16, rounds: int = 3, seed: int = 3, part: int = 2_000_000) -> Model:
     """Fits the model to all of ``docs``, whose word counts are ``counts``.
 
     head, vocabulary: most words whose counts and whose vectors go to the tasks.  part: training tokens that one task learns in a round.
@@ -349,7 +350,7 @@ def train(docs: DataFrame, counts: DataFrame, head: int = 500_000, vocabulary: i
                 for block in blocks(batch["text"]):
                     hashes, bounds = tokens(block)
                     kinds = lookup.classes(lookup.find(hashes))
-                    trainer = trainer or Trainer(now.value, classes, seed + turn, rate=0.08 / (1 + turn))
+                    trainer = trainer or Trainer(now.value, classes, seed + turn, rate=0.15 / (1 + turn))
                     trainer.learn(*contexts(kinds, bounds, len(classes.count) + 1), kinds)
             if trainer and trainer.seen:
                 yield pa.RecordBatch.from_arrays([pa.array([trainer.p.flat().tobytes()], pa.binary()), pa.array([float(trainer.seen)])], names=["value", "weight"])
