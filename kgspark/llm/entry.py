@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import compression, decontamination, jaccard_join, language_model, mixing, pii, quality_rules, resampling, sharding, suffix_dedup, token_counts
+from . import compression, decontamination, jaccard_join, language_model, mixing, pii, quality_rules, resampling, sharding, spelling, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,10 +24,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         suffix_dedup.op9_sparse_suffix_spans,
         mixing.op10_sainte_lague_mix,
         resampling.op11_crc_importance_resampling,
+        toxicity.op12_noisy_channel_toxicity,
+        spelling.op13_partenum_spelling_variants,
     ]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op5_delta_token_rollup": token_counts.ORACLE, "op11_crc_importance_resampling": resampling.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op5_delta_token_rollup": token_counts.ORACLE, "op11_crc_importance_resampling": resampling.ORACLE, "op13_partenum_spelling_variants": spelling.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in found.items() if sql}
