@@ -13,9 +13,7 @@ from kgspark.functions.text import clamp01, half_up, hop
 
 from .graph import both_ways, evidence, first_per_key
 from .lineage import in_blocks, settle
-
-#: Most rows of a small table that are sent to all tasks; larger ones are joined by a shuffle.
-SENT = 100_000
+from .phrases import held
 
 # Weights of similarity and conditions, and boosts of the confidence.
 SIMILAR_WEIGHT, CONDITION_WEIGHT = 0.65, 0.35
@@ -51,16 +49,11 @@ def _slots(features: DataFrame) -> DataFrame:
 def matched_texts(features: DataFrame, texts: DataFrame) -> DataFrame:
     """``fid, canvas_id, id, ord, match``: texts (canvas_id, id, ord, text) that hold anything of a feature set (fid, light, market, shape).
 
-    Each different word is looked up by its first three characters among the pieces of that length of the texts and then
-    compared, so texts and words meet in equality joins only, never in a product.  Up to ``SENT`` words go to the texts,
-    more of them meet by a shuffle.
+    One walk over each text finds the words that it holds.
     """
     slots = settle(_slots(features))
-    words = settle(slots.select("word").distinct().withColumn("piece", F.substring("word", 1, 3)))
-    words = F.broadcast(words) if words.count() <= SENT else words
-    pieces = F.expr("array_distinct(flatten(transform(array(1, 2, 3), n -> transform(sequence(1, greatest(length(text) - n + 1, 1)), i -> substring(text, i, n)))))")
-    held = texts.select("canvas_id", "id", "ord", "text", F.explode(pieces).alias("piece")).join(words, "piece").where(F.col("text").contains(F.col("word")))
-    counted = held.select("canvas_id", "id", "ord", "word").join(slots, "word").groupBy("fid", "canvas_id", "id", "ord").agg(F.count_distinct("slot").alias("hits"))
+    found = held(texts.select("canvas_id", "id", "ord", F.col("text").alias("t")), slots.select("word"))
+    counted = found.select("canvas_id", "id", "ord", "word").join(slots, "word").groupBy("fid", "canvas_id", "id", "ord").agg(F.count_distinct("slot").alias("hits"))
     size = features.select("fid", (2 + F.size(shape_tokens(F.col("shape")))).alias("slots"))
     return counted.join(size, "fid").select("fid", "canvas_id", "id", "ord", (F.col("hits") / F.col("slots")).alias("match"))
 

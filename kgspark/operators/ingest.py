@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kgspark.functions.text import auto_id, entity_id, fold, nospace
 
 from .graph import first_per_key
+from .phrases import PART, held
 
 # Confidence of each way to recognise a name, best first.
 WAYS = (("id", 1.0), ("label", 0.95), ("code", 0.72), ("synonym", 0.82))
@@ -40,26 +41,27 @@ def resolve_or_create(names: DataFrame, vocabulary: DataFrame, confidence: float
     )
 
 
-def scan_entities(texts: DataFrame, vocabulary: DataFrame, least: int = 2, broadcast_rows: int = 20_000, gram: int = 5) -> DataFrame:
-    """Distinct ``doc, id`` for the vocabulary names that a text (doc, text) holds, blanks not counted.
+def scan_entities(texts: DataFrame, vocabulary: DataFrame, least: int = 2, part: int = PART) -> DataFrame:
+    """Distinct ``doc, id`` for the vocabulary names that a text (doc, text) holds, blanks not counted; one walk over each text."""
+    words = vocabulary.select("id", F.explode(F.concat(F.array("label"), "synonyms")).alias("name")).select("id", nospace(F.col("name")).alias("word")).where(F.length("word") >= least).distinct()
+    found = held(texts.select("doc", nospace(F.col("text")).alias("t")), words, part)
+    return found.join(words, "word").select("doc", "id").distinct()
 
-    Every name is looked up by its rarest stretch of ``gram`` characters among all names (shorter names by themselves) and then compared.
-    Up to ``broadcast_rows`` names go to all tasks; more of them meet the stretches of the texts by a shuffle.
+
+def resolved_texts(asked: DataFrame, nodes: DataFrame, least: int = 3) -> DataFrame:
+    """``q, id``: the node (id, label, ord) that a text (q) names: an equal label first, else one of two that holds the other; ties by ``ord``.
+
+    Both ways are walks: over the texts for the labels that they hold, over the labels for the texts.
     """
-    words = vocabulary.select("id", F.explode(F.concat(F.array("label"), "synonyms")).alias("name")).select("id", nospace(F.col("name")).alias("key")).where(F.length("key") >= least).distinct()
-    rows = texts.select("doc", nospace(F.col("text")).alias("t"))
-    if words.count() <= broadcast_rows:
-        return rows.join(F.broadcast(words), F.col("t").contains(F.col("key"))).select("doc", "id").distinct()
-    pieces = lambda column, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(column) - n + 1, F.lit(1))), lambda i: F.substring(F.col(column), i, F.lit(n))))
-    long = words.where(F.length("key") >= gram).withColumn("head", F.explode(pieces("key", gram)))
-    often = long.groupBy("head").agg(F.count("*").alias("n"))
-    long = long.join(often, "head").groupBy("id", "key").agg(F.min_by("head", F.struct("n", "head")).alias("head"))
-    short = words.where(F.length("key") < gram).withColumn("head", F.col("key"))
-    looked = long.unionByName(short)
-    # texts are cut into stretches of the lengths that are looked up
-    stretches = F.flatten(F.array(*(pieces("t", n) for n in range(least, gram + 1))))
-    met = rows.select("doc", "t", F.explode(F.array_distinct(stretches)).alias("head")).join(looked, "head")
-    return met.where(F.col("t").contains(F.col("key"))).select("doc", "id").distinct()
+    texts = asked.select("q", F.lower("q").alias("l")).distinct()
+    rows = nodes.select("id", "ord", F.lower("label").alias("l"))
+    exact = texts.join(rows, "l").select("q", "id", "ord", F.lit(0).alias("rank"))
+    long = texts.where(F.length("l") >= least)
+    names = rows.where(F.length("l") >= least)
+    within = held(long.select("q", F.col("l").alias("t")), names.select(F.col("l").alias("word"))).join(names.withColumnRenamed("l", "word"), "word")
+    around = held(names.select("id", "ord", F.col("l").alias("t")), long.select(F.col("l").alias("word"))).join(long.withColumnRenamed("l", "word"), "word")
+    part = within.select("q", "id", "ord").unionByName(around.select("q", "id", "ord")).withColumn("rank", F.lit(1))
+    return exact.unionByName(part).groupBy("q").agg(F.min_by("id", F.struct("rank", "ord")).alias("id"))
 
 
 def co_mentions(mentions: DataFrame, pairs: list[tuple[str, str, str]]) -> DataFrame:

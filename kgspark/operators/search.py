@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
-from kgspark.functions.text import cosine_distance, squeezed
+from kgspark.functions.text import squeezed
 
+from . import vectors as vector_index
 from .graph import both_ways, degree, evidence
-from .lineage import in_blocks, settle
-from .questions import holding
+from .lineage import in_blocks
+from .phrases import held
 
 # Weights of the fields of a node.
 WEIGHTS = {"label": 3.0, "sub": 2.0, "prop": 1.5, "evidence": 1.0}
@@ -24,8 +24,8 @@ WEIGHTS = {"label": 3.0, "sub": 2.0, "prop": 1.5, "evidence": 1.0}
 def expanded(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """``qid, terms``: each query (qid, q) folded, with the synonyms (one, other) of what it holds; blank queries go."""
     asked = queries.select("qid", squeezed(F.col("q")).alias("q")).where("q <> ''")
-    held = holding(asked.withColumnRenamed("q", "t"), synonyms.select(F.col("one").alias("word")))
-    met = held.join(synonyms.withColumnRenamed("one", "word"), "word").select("qid", F.explode(F.array("word", "other")).alias("term"))
+    found = held(asked.withColumnRenamed("q", "t"), synonyms.select(F.col("one").alias("word")))
+    met = found.join(synonyms.withColumnRenamed("one", "word"), "word").select("qid", F.explode(F.array("word", "other")).alias("term"))
     return asked.select("qid", F.col("q").alias("term")).unionByName(met).groupBy("qid").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
 
@@ -70,142 +70,23 @@ def hybrid(hits: DataFrame, semantic: DataFrame) -> DataFrame:
     return hits.select("qid", "id", "score", "matched").unionByName(extra)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, block_bytes: int = 1 << 26) -> DataFrame:
-    """``qid, id, distance, place``: exact k nearest vectors (id, embedding) of each query (qid, embedding) by cosine.
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, exact: bool = True, first: int = 2, **sizes: int) -> DataFrame:
+    """``qid, id, distance, place``: k nearest vectors (id, embedding) of each query (qid, embedding) by cosine, over an index made for the purpose.
 
-    The queries go to all partitions of the vectors in blocks of at most ``block_bytes``, those of one size together; each task keeps
-    its k best of every query over all its batches, by matrix products, and only these are shuffled.  Vectors of another size
-    than the query's, or without length, are left out; without queries there are no rows.
-    """
-    asked = settle(queries.where("embedding is not null and size(embedding) > 0").select("qid", "embedding"))
-    kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema, *vectors.schema]}
-    schema = f"qid {kinds['qid']}, id {kinds['id']}, distance double"
-    out = queries.sparkSession.createDataFrame([], schema)
-    for size, count in sorted(asked.groupBy(F.size("embedding").alias("size")).count().collect()):  # one row per size of vectors
-        blocks = -(-count * size * 8 // block_bytes)
-        for b in range(blocks):
-            rows = asked.where((F.size("embedding") == size) & (F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)).collect()
-            matrix = np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(-1, size)
-            length = np.linalg.norm(matrix, axis=1)
-            own = [r["qid"] for r, some in zip(rows, length > 0) if some]
-            if own:
-                out = out.unionByName(vectors.select("id", "embedding").mapInPandas(_best(own, matrix[length > 0] / length[length > 0, None], k), schema))
-    order = Window.partitionBy("qid").orderBy("distance", "id")
-    return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-
-
-def _best(qids: list, matrix: np.ndarray, k: int, width: int = 512) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """The k vectors of a partition nearest to each query; of equally near ones those with the least id."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = pd.DataFrame({"q": np.zeros(0, np.int64), "distance": np.zeros(0), "id": []})
-        worst = np.full(len(qids), np.inf)
-        for batch in batches:
-            batch = batch[batch["embedding"].map(lambda v: v is not None and len(v) == matrix.shape[1])]
-            if not len(batch):
-                continue
-            x = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-            norm = np.linalg.norm(x, axis=1)
-            x, own = x[norm > 0] / norm[norm > 0, None], batch["id"].to_numpy()[norm > 0]
-            found = [kept]
-            for at in range(0, len(qids), width):
-                distance = 1 - x @ matrix[at : at + width].T
-                limit = worst[at : at + width]
-                if len(x) >= k:
-                    limit = np.minimum(limit, np.partition(distance, k - 1, axis=0)[k - 1])
-                row, q = np.nonzero(distance <= limit)
-                found.append(pd.DataFrame({"q": q + at, "distance": distance[row, q], "id": own[row]}))
-            kept = pd.concat([f for f in found if len(f)], ignore_index=True) if any(len(f) for f in found) else kept
-            kept = kept.sort_values(["q", "distance", "id"], kind="stable").groupby("q").head(k)
-            full = kept.groupby("q")["distance"].agg(["count", "max"])
-            full = full[full["count"] >= k]
-            worst[full.index.to_numpy(dtype=np.int64)] = full["max"].to_numpy()
-        if len(kept):
-            yield pd.DataFrame({"qid": [qids[q] for q in kept["q"]], "id": kept["id"].to_numpy(), "distance": kept["distance"].to_numpy()})
-
-    return run
-
-
-def nearest_of_kind(rows: DataFrame, most: float, part: int = 1000) -> DataFrame:
-    """``id, near, distance``: for each row (id, kind, embedding) the nearest later one of its kind closer than ``most``.
-
-    A kind is dealt to parts of about ``part`` rows; each pair of parts is one task's work by matrix products, which hands on one best row for
-    each id, so pairs of vectors are never shuffled.
-    """
-    rows = rows.where("embedding is not null").select("id", "kind", "embedding")
-    sizes = rows.groupBy("kind").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
-    dealt = rows.join(sizes, "kind").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cell = dealt.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("parts", "other")
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def run(both: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        both = both[both["embedding"].map(len) > 0].sort_values("id", kind="stable")
-        for _, same in both.groupby(both["embedding"].map(len)):
-            x = np.stack(same["embedding"].to_numpy()).astype(np.float64)
-            norm = np.linalg.norm(x, axis=1)
-            same, x = same[norm > 0], x[norm > 0] / norm[norm > 0, None]
-            own, of = same["id"].to_numpy(), same["part"].to_numpy()
-            distance = 1 - x @ x.T
-            counts = (own[None, :] > own[:, None]) & ((of[:, None] != of[None, :]) | (same["low"].to_numpy() == same["high"].to_numpy())[:, None])
-            distance[~counts] = np.inf
-            if len(own):
-                best = distance.argmin(axis=1)  # ids are in order, so the first of equally near ones has the least
-                value = distance[np.arange(len(own)), best]
-                out.append(pd.DataFrame({"id": own, "near": own[best], "distance": value})[value < most])
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "near": [], "distance": []})
-
-    pairs = cell.groupBy("kind", "low", "high").applyInPandas(run, f"id {kind}, near {kind}, distance double")
-    best = pairs.groupBy("id").agg(F.min(F.struct("distance", "near")).alias("b"))
-    return best.select("id", "b.near", "b.distance")
-
-
-class Centroids:
-    """A coarse vector index: every vector belongs to its nearest centroid, a query looks into the nearest few.
-
-    Centroids come from a bounded sample of the vectors (``sample`` rows, those with the smallest hash of their id);
-    all vectors are indexed.
+    ``sizes`` go to ``vectors.build``.  Without ``exact`` only the ``first`` rings of each query are looked into.
     """
+    index = vector_index.build(vectors.select("id", "embedding"), **sizes)
+    return vector_index.search(index, queries.select("qid", "embedding"), k, exact=exact, first=first)
+
 
-    def __init__(self, vectors: DataFrame, lists: int = 32, sample: int = 20_000, rounds: int = 10, seed: int = 1):
-        rows = vectors.where("embedding is not null").orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").collect()
-        x = np.array([r[0] for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else 1)
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        random = np.random.default_rng(seed)
-        c = x[random.permutation(len(x))[: min(lists, len(x))]]
-        for _ in range(rounds if len(c) else 0):
-            own = (x @ c.T).argmax(axis=1)
-            for i in range(len(c)):
-                if (own == i).any():
-                    mean = x[own == i].mean(axis=0)
-                    c[i] = mean / max(np.linalg.norm(mean), 1e-12)
-        self.centroids = c
-
-    def lists(self, rows: DataFrame, probes: int = 1) -> DataFrame:
-        """``rows`` once for each of their nearest ``probes`` lists, in a column ``list``."""
-        c = self.centroids
-        schema = StructType([*rows.schema.fields, StructField("list", IntegerType())])
-
-        def assign(batches):
-            for batch in batches:
-                batch = batch[batch["embedding"].notna()]
-                if len(batch) and len(c):
-                    x = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-                    near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
-                    out = batch.loc[batch.index.repeat(near.shape[1])].copy()
-                    out["list"] = near.ravel()
-                    yield out
-
-        return rows.mapInPandas(assign, schema)
-
-    def search(self, queries: DataFrame, vectors: DataFrame, k: int, probes: int = 8) -> DataFrame:
-        """Approximate ``qid, id, distance, place`` among the vectors in the probed lists, exactly ranked."""
-        asked = self.lists(queries.select("qid", "embedding"), probes).withColumnRenamed("embedding", "e")
-        met = self.lists(vectors.select("id", "embedding")).join(F.broadcast(asked), "list")
-        order = Window.partitionBy("qid").orderBy("distance", "id")
-        rows = met.select("qid", "id", cosine_distance(F.col("e"), F.col("embedding")).alias("distance")).where("distance is not null")
-        return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+def nearest_of_kind(rows: DataFrame, most: float, ring: int = 4096, report: Observation | None = None) -> DataFrame:
+    """``id, near, distance``: for each row (id, kind, embedding) the nearest later one of its kind closer than ``most``; null is no kind.
+
+    ``report`` observes ``pairs``, the number of vectors compared.
+    """
+    rows = rows.where("kind is not null").select("id", "kind", "embedding")
+    found = vector_index.search(vector_index.build(rows, ring=ring), rows.withColumnRenamed("id", "qid"), 1, most=most, later=True, first=1, report=report)
+    return found.select(F.col("qid").alias("id"), F.col("id").alias("near"), "distance")
 
 
 def hashed_embedder(width: int = 64) -> Callable[[Column], Column]:

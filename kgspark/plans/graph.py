@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kgspark.operators import components as cc
 from kgspark.operators import graph as op
+from kgspark.operators import ingest
 from kgspark.operators.lineage import settle
 from kgspark.sources.tables import GRAPH_SQL, graph, table
 from kgspark.sources.tables import edges as all_edges
@@ -166,21 +167,16 @@ def p10_capabilities(spark, d) -> DataFrame:
 
 
 @query(
-    g(""", asked as (select distinct n_name as q from nation union all select 'NATION' union all select 'xx AFRICA xx' union all select 'no'),
-    hits as (select q, id, case when lower(label) = lower(q) then 0 else 1 end as rank, ord from asked join nodes on type in ('item', 'reg') and id not like 'IP%'
+    g(""", asked as (select n_name as q from nation union select p_name from part union all select 'NATION' union all select 'xx AFRICA xx' union all select 'no'),
+    hits as (select q, id, case when lower(label) = lower(q) then 0 else 1 end as rank, ord from asked join nodes on type in ('item', 'reg')
       and (lower(label) = lower(q) or length(q) >= 3 and length(label) >= 3 and (contains(lower(label), lower(q)) or contains(lower(q), lower(label)))))
     select q, min_by(id, (rank, ord)) as id from hits group by q""")
 )
 def p11_resolve_text(spark, d) -> DataFrame:
     """Node that a text names: equal label first, else one holds the other; ties by insertion."""
-    asked = table(spark, d, "nation").select(F.col("n_name").alias("q")).distinct().union(spark.createDataFrame([("NATION",), ("xx AFRICA xx",), ("no",)], "q string"))
-    rows = all_nodes(spark, d).where("type in ('item', 'reg') and id not like 'IP%'").select("id", F.lower("label").alias("l"), "ord")
-    q = F.lower("q")
-    part = (F.length("q") >= 3) & (F.length("l") >= 3) & (F.col("l").contains(q) | q.contains(F.col("l")))
-    exact = F.broadcast(asked).join(rows, q == F.col("l"))
-    partial = F.broadcast(asked).join(rows, part & (q != F.col("l")))
-    hits = exact.withColumn("rank", F.lit(0)).unionByName(partial.withColumn("rank", F.lit(1)))
-    return hits.groupBy("q").agg(F.min_by("id", F.struct("rank", "ord")).alias("id"))
+    asked = table(spark, d, "nation").select(F.col("n_name").alias("q")).unionByName(table(spark, d, "part").select(F.col("p_name").alias("q"))).distinct()
+    asked = asked.union(spark.createDataFrame([("NATION",), ("xx AFRICA xx",), ("no",)], "q string"))
+    return ingest.resolved_texts(asked, all_nodes(spark, d).where("type in ('item', 'reg')"))
 
 
 @query(

@@ -105,7 +105,7 @@ def test_drawings(spark):
 def test_entity_scan_is_the_same_with_a_large_vocabulary(spark):
     vocabulary = spark.createDataFrame([("v1", "head lamp", ["lamp"]), ("v2", "vent", []), ("v3", "x", [])], "id string, label string, synonyms array<string>")
     texts = spark.createDataFrame([(1, "The HeadLamp fogs"), (2, "a ven t"), (3, ""), (4, None)], "doc int, text string")
-    small, large = ingest.scan_entities(texts, vocabulary), ingest.scan_entities(texts, vocabulary, broadcast_rows=0)
+    small, large = ingest.scan_entities(texts, vocabulary), ingest.scan_entities(texts, vocabulary, part=3)
     assert rows(small, "doc", "id") == rows(large, "doc", "id") == [(1, "v1"), (2, "v2")]
 
 
@@ -133,7 +133,7 @@ def test_centroid_index_recall(spark):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
     asked = v.where("id % 100 = 0").withColumnRenamed("id", "qid")
     exact = {tuple(r) for r in search.nearest(asked, v, 8).select("qid", "id").collect()}
-    found = {tuple(r) for r in search.Centroids(v).search(asked, v, 8, probes=24).select("qid", "id").collect()}
+    found = {tuple(r) for r in search.nearest(asked, v, 8, exact=False, first=24, ring=32).select("qid", "id").collect()}
     assert len(exact & found) / len(exact) >= 0.9
 
 

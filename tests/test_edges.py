@@ -4,8 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
-from kgspark.operators import canvases, graph, ingest, infer, questions, search
+from kgspark.operators import vectors as vectors_module
+from kgspark.operators import canvases, graph, infer, ingest, phrases, questions, search
 
 VECTOR = "id long, kind string, embedding array<float>"
 
@@ -31,8 +34,9 @@ def usable(vectors):
     return [(r["id"], r["kind"], r["embedding"]) for r in vectors.collect() if r["embedding"] and any(r["embedding"])]
 
 
-def test_nearest_of_unlike_sizes_ties_and_no_queries(spark, vectors):
-    found = search.nearest(vectors.where("id % 7 = 0 or id > 190").withColumnRenamed("id", "qid"), vectors, 3)
+@pytest.mark.parametrize("ring", [3, 20, 4096])
+def test_nearest_of_unlike_sizes_ties_and_no_queries(spark, vectors, ring):
+    found = search.nearest(vectors.where("id % 7 = 0 or id > 190").withColumnRenamed("id", "qid"), vectors, 3, ring=ring, lists=7)
     expected, every = [], usable(vectors)
     for q, _, v in every:
         if q % 7 == 0 or q > 190:
@@ -42,18 +46,49 @@ def test_nearest_of_unlike_sizes_ties_and_no_queries(spark, vectors):
     nothing = vectors.where("id < 0")
     assert search.nearest(nothing.withColumnRenamed("id", "qid"), vectors, 3).count() == 0
     assert search.nearest(vectors.withColumnRenamed("id", "qid"), nothing, 3).count() == 0
-    assert search.Centroids(nothing).search(vectors.withColumnRenamed("id", "qid"), vectors, 3).count() == 0
-
-
-@pytest.mark.parametrize("part", [20, 1000])
-def test_nearest_of_kind(vectors, part):
+    assert search.nearest(vectors.withColumnRenamed("id", "qid"), nothing, 3, exact=False).count() == 0
+
+
+def clustered(spark, n, centres=12, size=16):
+    """Vectors in tight groups of unlike sizes, one of which holds a third of all."""
+    rng = np.random.default_rng(5)
+    middle = rng.normal(size=(centres, size))
+    own = np.where(rng.random(n) < 0.33, 0, rng.integers(0, centres, n))
+    x = middle[own] + 0.05 * rng.normal(size=(n, size))
+    return spark.createDataFrame([(i, "k", v.tolist()) for i, v in enumerate(x)], VECTOR).repartition(4), x
+
+
+def test_pruning_by_angles_loses_nothing_and_compares_few(spark):
+    frame, x = clustered(spark, 1500)
+    report = Observation()
+    found = {r["id"]: r["near"] for r in search.nearest_of_kind(frame, 0.5, ring=50, report=report).collect()}
+    x = x.astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    distance = 1 - x @ x.T
+    distance[np.tril_indices(len(x))] = np.inf
+    assert found == {i: int(distance[i].argmin()) for i in range(len(x) - 1) if distance[i].min() < 0.5}
+    assert report.get["pairs"] < len(x) ** 2 / 3
+
+
+def test_many_queries_meet_copies_of_a_ring(spark):
+    frame, x = clustered(spark, 600)
+    index = vectors_module.build(frame.drop("kind"), ring=64)
+    asked = frame.select(F.col("id").alias("qid"), "embedding")
+    few, many = (rows(vectors_module.search(index, asked, 3, meet=meet), "qid", "id", "place") for meet in (50, 4096))
+    assert few == many and len(many) == 1800
+    approximate = rows(vectors_module.search(index, asked, 3, exact=False, first=4), "qid", "id", "place")
+    assert len(set(approximate) & set(many)) / len(many) >= 0.9
+
+
+@pytest.mark.parametrize("ring", [5, 20, 4096])
+def test_nearest_of_kind(vectors, ring):
     every = usable(vectors)
     expected = []
     for i, kind, v in every:
         near = [(round(distance(v, w), 9), j) for j, other, w in every if j > i and other == kind and len(w) == len(v)]
         if near and min(near)[0] < 0.5:
             expected.append((i, min(near)[1]))
-    assert rows(search.nearest_of_kind(vectors, 0.5, part), "id", "near") == sorted(expected, key=str)
+    assert rows(search.nearest_of_kind(vectors, 0.5, ring), "id", "near") == sorted(expected, key=str)
 
 
 def test_rows_are_numbered_over_many_tasks(spark):
@@ -83,21 +118,22 @@ def test_the_last_canvas_stays(spark):
     assert rows(kept, "canvas_id") == [("b",)] and rows(nodes, "canvas_id") == [("b",)]
 
 
-def test_words_are_held_by_texts(spark):
+@pytest.mark.parametrize("part", [4, 1000])
+def test_words_are_held_by_texts(spark, part):
     rng = random.Random(3)
     texts = [(i, "".join(rng.choice("abc ") for _ in range(rng.randint(0, 30)))) for i in range(80)] + [(99, None)]
     words = ["a", "ab", "abc", "b c", "cab", "zz", ""]
-    found = questions.holding(spark.createDataFrame(texts, "i int, t string"), spark.createDataFrame([(w,) for w in words], "word string"))
+    found = phrases.held(spark.createDataFrame(texts, "i int, t string"), spark.createDataFrame([(w,) for w in words], "word string"), part)
     assert rows(found, "i", "word") == sorted(((i, w) for i, t in texts for w in words if w and t and w in t), key=str)
 
 
-@pytest.mark.parametrize("sent", [0, 20_000])
+@pytest.mark.parametrize("sent", [5, 20_000])
 def test_entities_are_found_either_way(spark, sent):
     rng = random.Random(4)
     names = ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 9))) for _ in range(60)]
     texts = [(i, " ".join(rng.choice(names + ["xx"]) for _ in range(6))) for i in range(40)] + [(90, ""), (91, None)]
     vocabulary = spark.createDataFrame([(f"N{i}", n, []) for i, n in enumerate(names)], "id string, label string, synonyms array<string>")
-    found = ingest.scan_entities(spark.createDataFrame(texts, "doc int, text string"), vocabulary, broadcast_rows=sent)
+    found = ingest.scan_entities(spark.createDataFrame(texts, "doc int, text string"), vocabulary, part=sent)
     assert rows(found, "doc", "id") == sorted(((d, f"N{i}") for d, t in texts for i, n in enumerate(names) if t and n in t.replace(" ", "")), key=str)
 
 
