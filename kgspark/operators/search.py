@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,8 +12,8 @@ from pyspark.sql import functions as F
 from kgspark.functions.text import squeezed
 
 from . import vectors as vector_index
+from .gram_index import GramIndex
 from .graph import both_ways, degree, evidence
-from .lineage import in_blocks
 from .phrases import held
 
 # Weights of the fields of a node.
@@ -29,22 +28,23 @@ def expanded(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     return asked.select("qid", F.col("q").alias("term")).unionByName(met).groupBy("qid").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
 
-def keyword_hits(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``qid, id, score, matched``: objects that hold a term of a query (qid, terms), scored by the fields that do.
+def searched_fields(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, field, part, t``: the texts of every object in which queries look, in lower case."""
+    objects = nodes.where("type <> 'doc'")
+    files = evidence(nodes, edges).join(objects.select("canvas_id", "id"), ["canvas_id", "id"], "left_semi").select("id", F.lower("filename").alias("t")).distinct()
+    props = objects.select("id", F.posexplode("props").alias("part", "p")).select("id", F.lit("prop").alias("field"), "part", F.lower(F.concat_ws("\n", "p.k", "p.v")).alias("t"))
+    one = lambda rows, name, text: rows.select("id", F.lit(name).alias("field"), F.lit(0).alias("part"), text.alias("t"))
+    own = one(objects, "label", F.lower("label")).unionByName(one(objects, "sub", F.lower("sub"))).unionByName(props)
+    return own.unionByName(files.select("id", F.lit("evidence").alias("field"), F.hash("t").alias("part"), "t"))
 
-    The queries are a query set against all objects, in blocks of which each goes to all tasks.
-    """
-    files = evidence(nodes, edges).groupBy("canvas_id", "id").agg(F.collect_set(F.lower("filename")).alias("files"))
-    texts = F.transform("props", lambda p: F.lower(F.concat_ws("\n", p["k"], p["v"])))
-    rows = nodes.where("type <> 'doc'").select("canvas_id", "id", F.lower("label").alias("l"), F.lower("sub").alias("s"), texts.alias("p")).join(files, ["canvas_id", "id"], "left")
-    some = lambda value: F.coalesce(F.exists("terms", lambda t: value.contains(t)), F.lit(False))
-    any_of = lambda name: F.coalesce(F.exists(name, lambda v: F.exists("terms", lambda t: v.contains(t))), F.lit(False))
-    found = {"label": some(F.col("l")), "sub": some(F.col("s")), "prop": any_of("p"), "evidence": any_of("files")}
-    each = [rows.join(part, F.lit(True)).select("qid", "id", *(v.alias(k) for k, v in found.items())) for part in in_blocks(queries, "qid")]
-    rows = reduce(DataFrame.unionByName, each)
-    score = sum((F.when(F.col(k), w).otherwise(0.0) for k, w in WEIGHTS.items()), F.lit(0.0))
-    matched = F.array_compact(F.array(*(F.when(F.col(k), k) for k in WEIGHTS)))
-    return rows.select("qid", "id", score.alias("score"), matched.alias("matched")).where("score > 0")
+
+def keyword_hits(queries: DataFrame, index: GramIndex) -> DataFrame:
+    """``qid, id, score, matched``: objects that hold a term of a query (qid, terms), scored by the fields that do."""
+    terms = queries.select("qid", F.explode("terms").alias("term"))
+    found = terms.join(index.find(terms), "term").groupBy("qid", "id").agg(F.collect_set("field").alias("fields"))
+    has = {k: F.array_contains("fields", k) for k in WEIGHTS}
+    score = sum((F.when(has[k], w).otherwise(0.0) for k, w in WEIGHTS.items()), F.lit(0.0))
+    return found.select("qid", "id", score.alias("score"), F.array_compact(F.array(*(F.when(has[k], k) for k in WEIGHTS))).alias("matched"))
 
 
 def ranked(hits: DataFrame, edges: DataFrame, k: int | None = None) -> DataFrame:

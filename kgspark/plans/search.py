@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.operators import graph as op
-from kgspark.operators import quality, search, triples
+from kgspark.operators import gram_index, quality, search, triples
 from kgspark.sources.tables import graph, table
 from kgspark.sources.tables import edges as all_edges
 from kgspark.sources.tables import nodes as all_nodes
@@ -32,7 +32,7 @@ def hits(spark, d) -> DataFrame:
     gr = graph(spark, d)
     synonyms = spark.createDataFrame([p for a, b in SYNONYMS for p in ((a, b), (b, a))], "one string, other string")
     asked = search.expanded(spark.createDataFrame(QUESTIONS, "qid string, q string"), synonyms)
-    return search.keyword_hits(asked, gr.nodes, gr.edges)
+    return search.keyword_hits(asked, gram_index.build(search.searched_fields(gr.nodes, gr.edges)))
 
 
 @query(g(_TERMS + " select qid, id, score, matched from hits"))

@@ -8,7 +8,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from kgspark.operators import vectors as vectors_module
-from kgspark.operators import canvases, graph, infer, ingest, phrases, questions, search
+from kgspark.operators import canvases, gram_index, graph, infer, ingest, phrases, questions, search
 
 VECTOR = "id long, kind string, embedding array<float>"
 
@@ -151,3 +151,20 @@ def test_texts_match_conditions_as_a_plain_loop_says(spark):
             if hits:
                 expected.append((fid, i, round(hits / (2 + len(tokens)), 9)))
     assert sorted(((r["fid"], r["id"], round(r["match"], 9)) for r in found.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_grams_find_what_texts_hold_and_forget_what_changed(spark):
+    rng = random.Random(6)
+    texts = {(f"N{i}", f): "".join(rng.choice("abA é") for _ in range(rng.randint(0, 12))) for i in range(40) for f in ("label", "sub")}
+    terms = ["a", "ab", "aba", "ab a", "bbbb", "é", "zz", "", "a" * 9]
+    fields = lambda of: spark.createDataFrame([(i, f, 0, t) for (i, f), t in of.items()] + [("N0", "prop", 1, None)], "id string, field string, part int, t string")
+    asked = spark.createDataFrame([(t,) for t in terms], "term string")
+    expected = lambda: sorted(((t, i, f) for (i, f), text in texts.items() for t in terms if t and t in text), key=str)
+    index = gram_index.build(fields(texts))
+    assert rows(index.find(asked), "term", "id", "field") == expected()
+    changed = {k: "abab é" for k in texts if k[0] in ("N3", "N4")}
+    texts |= changed
+    texts = {k: v for k, v in texts.items() if k[0] != "N5"}
+    index.refresh(fields(changed), spark.createDataFrame([("N3",), ("N4",), ("N5",), ("N0",)], "id string"))
+    texts = {k: v for k, v in texts.items() if k[0] != "N0"}  # changed, and without fields now
+    assert rows(index.find(asked), "term", "id", "field") == expected()
