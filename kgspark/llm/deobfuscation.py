@@ -36,7 +36,7 @@ NO_LETTER = {c: math.log(1e-5 if c.isdigit() else 0.3 if c in "!(+" else 0.05) f
 
 _SIGN = "".join(map(re.escape, LEET))
 _LETTER = "a-zà-ÿ"
-TRACE = re.compile(rf"[{_LETTER}][^\s]*[{_SIGN}]|[{_SIGN}][^\s]*[{_LETTER}]|([{_LETTER}])\1\1")
+TRACE = re.compile(rf"[{_LETTER}][{_SIGN}]|[{_SIGN}][{_LETTER}]|([{_LETTER}])\1\1")
 APART = re.compile(rf"(?<![{_LETTER}{_SIGN}])[{_LETTER}{_SIGN}](?:[ .\-_*]{{1,2}}[{_LETTER}{_SIGN}](?![{_LETTER}{_SIGN}])){{2,}}")
 WORD = re.compile(rf"[{_LETTER}]+")
 _RUN = re.compile(r"(.)\1*", re.S)
@@ -94,6 +94,32 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     return out.reshape(N, N, N)
 
 
+def traced(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts may hold a ``TRACE``, and which a run of letters ``APART``; found for all of them together, so that others need no search."""
+    points = np.frombuffer("\n".join(texts).encode("utf-32-le"), dtype=np.uint32)
+    kind = np.zeros(0x101, dtype=np.uint8)  # 1: letter, 2: sign
+    for value, some in ((1, LETTERS), (2, LEET)):
+        for c in some:
+            kind[min(ord(c), 0x100)] |= value
+    of = kind[np.minimum(points, 0x100)]
+    letter, mark = (of & 1) > 0, of > 0
+    beside = np.zeros(len(of), dtype=bool)
+    if len(of) > 2:
+        beside[:-1] = mark[:-1] & mark[1:] & (letter[:-1] != letter[1:])
+        beside[:-2] |= letter[:-2] & (points[:-2] == points[1:-1]) & (points[1:-1] == points[2:])
+    lone = mark.copy()  # with no letter or sign beside it
+    lone[1:] &= ~mark[:-1]
+    lone[:-1] &= ~mark[1:]
+    at = np.flatnonzero(lone)
+    near = np.diff(at) <= 3
+    apart = at[:-2][near[:-1] & near[1:]]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    some = np.zeros((2, len(texts)), dtype=bool)
+    for row, found in zip(some, (np.flatnonzero(beside), apart)):
+        row[np.searchsorted(ends, found, "right")] = True
+    return some[0], some[1]
+
+
 def characters(counts: np.ndarray) -> Characters:
     """Shares of trigrams, smoothed by those of bigrams and these by those of symbols (Witten and Bell)."""
     counts = counts.astype(float)

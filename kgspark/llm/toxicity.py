@@ -43,8 +43,9 @@ class Restorer:
     def restore(self, texts: list[str]) -> list[str]:
         """Texts in lower case, with disguised words written out."""
         texts = [t.lower() for t in texts]
-        apart = [{m.group() for m in channel.APART.finditer(t) if sum(c in channel.NUMBER for c in m.group()) > 1} for t in texts]
-        strange = [{t for t in set(text.split()) if channel.TRACE.search(t)} for text in texts]
+        traced, lone = channel.traced(texts)
+        apart = [{m.group() for m in channel.APART.finditer(t) if sum(c in channel.NUMBER for c in m.group()) > 1} if some else set() for t, some in zip(texts, lone)]
+        strange = [{t for t in set(text.split()) if channel.TRACE.search(t)} if some else set() for text, some in zip(texts, traced)]
         new_apart = sorted(set().union(*apart) - self.kept.keys())
         new = sorted(set().union(*strange) - self.kept.keys() - set(new_apart))
         lattices = [channel.apart_lattice(t) for t in new_apart] + [channel.lattice(t) for t in new]
@@ -114,15 +115,15 @@ class Model:
 
     def score(self, text: str, known: dict[str, tuple[str, ...]]) -> float:
         """Probability of the toxic mark; ``known`` keeps the weighted stems of words seen before."""
-        words = channel.WORD.findall(text)
+        words = Counter(channel.WORD.findall(text))
         held: Counter = Counter()
-        for word in words:
+        for word, n in words.items():
             own = known.get(word)
             if own is None:
                 own = known[word] = tuple(s for s in stems(word) if s in self.stems)
             for s in own:
-                held[s] += 1
-        z = self.bias + sum(self.weight.get(f, 0.0) for f in sorted(levels(held, len(words))))
+                held[s] += n
+        z = self.bias + sum(self.weight.get(f, 0.0) for f in sorted(levels(held, words.total())))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
