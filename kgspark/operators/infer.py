@@ -81,21 +81,22 @@ def scored_projects(conditions: DataFrame, nodes: DataFrame, edges: DataFrame, t
 
 
 def visits(projects: DataFrame, edges: DataFrame) -> DataFrame:
-    """``cid, anchor, fm, sim``: failure modes that occurred in the projects of a condition."""
-    struck = edges.where("rel = 'OCCURRED_IN'").select(F.col("src").alias("id"), F.col("dst").alias("fm"))
-    return projects.join(struck, "id").select("cid", F.col("id").alias("anchor"), "fm", "sim")
+    """``cid, anchor, fm, sim, turn``: failure modes that occurred in the projects of a condition, in the order in which they are met."""
+    struck = edges.where("rel = 'OCCURRED_IN'").select(F.col("src").alias("id"), F.col("dst").alias("fm"), "ord")
+    return projects.join(struck, "id").select("cid", F.col("id").alias("anchor"), "fm", "sim", F.struct("place", "ord").alias("turn"))
 
 
 def item_visits(items: DataFrame, edges: DataFrame, sim: float = 0.9) -> DataFrame:
     """The same with chosen items (cid, id) as anchors, over HAS_FAILURE."""
-    failed = edges.where("rel = 'HAS_FAILURE'").select(F.col("src").alias("id"), F.col("dst").alias("fm"))
-    return items.join(failed, "id").select("cid", F.col("id").alias("anchor"), "fm", F.lit(sim).alias("sim"))
+    failed = edges.where("rel = 'HAS_FAILURE'").select(F.col("src").alias("id"), F.col("dst").alias("fm"), "ord")
+    return items.join(failed, "id").select("cid", F.col("id").alias("anchor"), "fm", F.lit(sim).alias("sim"), F.struct(F.lit(1).alias("place"), "ord").alias("turn"))
 
 
-def concerns(visited: DataFrame, conditions: DataFrame, nodes: DataFrame, edges: DataFrame, severity: Column, boost_once: bool = False) -> DataFrame:
-    """One row per condition and failure mode with confidence, its terms, trace and evidence.
+def concerns(visited: DataFrame, conditions: DataFrame, nodes: DataFrame, edges: DataFrame, severity: Column, boost_once: bool = False, extra: Column | None = None, rel: str = "OCCURRED_IN") -> DataFrame:
+    """One row per condition and failure mode with confidence, its terms, trace, the first visit (``turn``) and the likeness of the anchor.
 
-    Boosts add up over visits, as each visit expands the failure mode again; ``boost_once`` counts them once.
+    Boosts add up over visits, as each visit expands the failure mode again; ``boost_once`` counts them once.  ``extra`` is a boost that counts once,
+    out of ``title`` and ``shape``; ``rel`` is the relation that anchors have to failure modes.
     """
     fms = nodes.where("type = 'fm'").select("canvas_id", F.col("id").alias("fm"), severity.alias("severity"), F.col("label").alias("title"))
     docs = evidence(nodes, edges).groupBy(F.col("id").alias("fm")).agg(F.count("*").alias("docs"))
@@ -104,22 +105,109 @@ def concerns(visited: DataFrame, conditions: DataFrame, nodes: DataFrame, edges:
     mastered = causes.join(standard, F.col("cause") == F.col("s"), "left_semi").select("fm").unionByName(standard.select(F.col("s").alias("fm"))).distinct().withColumn("mastered", F.lit(True))
     regs = edges.where("rel = 'UNDER_REG'").select(F.col("src").alias("fm"), F.col("dst").alias("id")).join(nodes.select("id", F.col("label").alias("reg")), "id")
     regs = regs.groupBy("fm").agg(F.collect_set("reg").alias("regs"))
-    rows = visited.groupBy("cid", "fm").agg(F.max("sim").alias("sim"), F.count("*").alias("visits"), F.array_sort(F.collect_set("anchor")).alias("anchors"))
+    rows = visited.groupBy("cid", "fm").agg(F.max("sim").alias("sim"), F.count("*").alias("visits"), F.array_sort(F.collect_set("anchor")).alias("anchors"), F.min("turn").alias("turn"))
     rows = rows.join(fms, "fm").join(docs, "fm", "left").join(mastered, "fm", "left").join(regs, "fm", "left").join(conditions.select("cid", "market", "shape"), "cid")
     market = F.coalesce(F.exists("regs", lambda r: domain.holds_any(r, domain.market_words(F.col("market")))), F.lit(False))
     shape = domain.holds_any(F.col("title"), shape_tokens(F.col("shape")))
     boost = F.when(market, BOOST["market"]).otherwise(0.0) + F.when(shape, BOOST["shape"]).otherwise(0.0)
     boost = boost if boost_once else boost * F.col("visits")
+    boost = boost if extra is None else boost + extra
     found = domain.confidence(F.col("sim"), F.coalesce("docs", F.lit(0)), F.col("severity"), F.coalesce("mastered", F.lit(False)), boost)
-    trace = F.transform("anchors", lambda a: hop(a, F.lit("OCCURRED_IN"), F.col("fm")))
-    return rows.select("cid", "fm", "severity", "visits", market.alias("regulated"), found.alias("f"), trace.alias("trace")).select("cid", "fm", "severity", "visits", "regulated", "trace", "f.*")
-
-
-def checklist(found: DataFrame, top: int = 8) -> DataFrame:
-    """The most certain concerns of each condition, and how many there are."""
-    group = Window.partitionBy("cid")
-    rows = found.withColumns({"place": F.row_number().over(group.orderBy(F.desc("confidence"), "fm")), "total": F.count("*").over(group)})
-    return rows.where(F.col("place") <= top)
+    steps = (lambda a: hop(a, F.lit("OCCURRED_IN"), F.col("fm"))) if rel == "OCCURRED_IN" else (lambda a: hop(a, F.lit(rel), F.col("fm")))
+    rows = rows.select("cid", "fm", "severity", "visits", market.alias("regulated"), found.alias("f"), F.transform("anchors", steps).alias("trace"), "turn", F.col("sim").alias("likeness"))
+    return rows.select("cid", "fm", "severity", "visits", "regulated", "trace", "turn", "likeness", "f.*")
+
+
+def labels_behind(found: DataFrame, visited: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``cid, fm, evidence``: two documents of a failure mode, its first standard and action, and the labels of its anchors, in this order."""
+    key, label = ["canvas_id", "fm"], nodes.select("canvas_id", F.col("id").alias("dst"), F.col("label").alias("name"))
+    fms = nodes.where("type = 'fm'").select("canvas_id", F.col("id").alias("fm")).join(found.select("fm").distinct(), "fm", "left_semi")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("ord"))
+    docs = evidence(nodes, edges).select("canvas_id", F.col("id").alias("fm"), "filename", "ord").join(fms, key, "left_semi").withColumn("n", place).where("n <= 2")
+    docs = docs.groupBy("fm").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "filename"))), lambda d: d["filename"]).alias("docs"))
+    behind = lambda rel, name: edges.where(F.col("rel") == rel).select("canvas_id", F.col("src").alias("fm"), "dst", "ord").join(fms, key, "left_semi").join(label, ["canvas_id", "dst"]).groupBy("fm").agg(F.min_by("name", "ord").alias(name))
+    origins = visited.join(nodes.select(F.col("id").alias("anchor"), F.col("label").alias("name")), "anchor").groupBy("cid", "fm")
+    origins = origins.agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "name"))), lambda o: o["name"]).alias("origins"))
+    rows = found.select("cid", "fm").join(docs, "fm", "left").join(behind("REF_MASTER", "standard"), "fm", "left").join(behind("MITIGATED_BY", "action"), "fm", "left").join(origins, ["cid", "fm"], "left")
+    none = F.array().cast("array<string>")
+    every = F.concat(F.coalesce("docs", none), F.array("standard", "action"), F.coalesce("origins", none))
+    return rows.select("cid", "fm", F.array_distinct(F.array_compact(every)).alias("evidence"))
+
+
+def occurrences(nodes: DataFrame, edges: DataFrame, first: int = 3) -> DataFrame:
+    """``fm, trace, evidence``: of the first projects that had a failure mode, how it is reached, their labels and the first document of each."""
+    struck = edges.where("rel = 'OCCURRED_IN'").select("canvas_id", "src", F.col("dst").alias("fm"), "ord")
+    place = F.row_number().over(Window.partitionBy("canvas_id", "fm").orderBy("ord"))
+    projects = nodes.where("type = 'proj'").select("canvas_id", F.col("id").alias("src"), F.col("label").alias("name"))
+    rows = struck.withColumn("n", place).where(F.col("n") <= first).join(projects, ["canvas_id", "src"])
+    docs = evidence(nodes, edges).select("canvas_id", F.col("id").alias("src"), "filename", "ord").join(rows.select("canvas_id", "src").distinct(), ["canvas_id", "src"], "left_semi")
+    rows = rows.join(docs.groupBy("canvas_id", "src").agg(F.min_by("filename", "ord").alias("doc")), ["canvas_id", "src"], "left")
+    each = F.array_sort(F.collect_list(F.struct("n", hop("src", F.lit("OCCURRED_IN"), "fm").alias("step"), F.array("name", "doc").alias("proof"))))
+    rows = rows.groupBy("fm").agg(each.alias("o"))
+    return rows.select("fm", F.transform("o", lambda x: x["step"]).alias("trace"), F.array_distinct(F.array_compact(F.flatten(F.transform("o", lambda x: x["proof"])))).alias("evidence"))
+
+
+def cause_findings(found: DataFrame, active: DataFrame, nodes: DataFrame, edges: DataFrame, rules: list[tuple[str, str, float]], severity: Column) -> DataFrame:
+    """``cid, anchor, category, severity, trace, evidence, turn, confidence``: causes that a condition's rules weigh, reached from one of its concerns.
+
+    rules: (name, pattern on the cause's label, boost); active: (cid, rule).  The first cause that meets a rule's pattern is its anchor, reached from the
+    first concern that it explains; a rule without such a cause or concern adds nothing, nor does one whose cause has been named by an earlier rule.
+    What the cause leads back to, first the failure mode of the same theme, gives severity, standards and evidence.  Each canvas has a row for
+    every rule at most before conditions come in.
+    """
+    key = ["canvas_id", "cause"]
+    causes = nodes.where("type = 'cause'").select("canvas_id", F.col("id").alias("cause"), F.col("label").alias("name"), "ord", severity.alias("own_severity"))
+    chosen = None
+    for rank, (rule, pattern, boost) in enumerate(rules):
+        one = causes.where(F.col("name").rlike(pattern)).groupBy("canvas_id").agg(F.min_by(F.struct("cause", "name", "own_severity"), "ord").alias("c"))
+        one = one.select("canvas_id", "c.*", F.lit(rule).alias("rule"), F.lit(rank).alias("rank"), F.lit(pattern).alias("pattern"), F.lit(boost).alias("weight"))
+        chosen = one if chosen is None else chosen.unionByName(one)
+    chosen = settle(chosen)
+    links = edges.where("rel = 'CAUSED_BY'").select("canvas_id", F.col("dst").alias("cause"), F.col("src").alias("fm"), "ord").join(F.broadcast(chosen.select(*key).distinct()), key, "left_semi")
+    fms = nodes.where("type = 'fm'").select("canvas_id", F.col("id").alias("fm"), F.col("label").alias("fm_label"), severity.alias("fm_severity"))
+    back = links.join(fms, ["canvas_id", "fm"]).join(F.broadcast(chosen.select(*key, "rule", "pattern")), key)
+    theme = F.when(F.regexp_like("fm_label", "pattern") | F.col("fm_label").contains(F.split("pattern", r"\|")[0]), 0).otherwise(1)
+    back = back.groupBy("canvas_id", "cause", "rule").agg(F.min_by(F.struct("fm", "fm_label", "fm_severity"), F.struct(theme, "ord")).alias("r"))
+    standard = edges.where("rel = 'REF_MASTER'").select("canvas_id", F.col("src").alias("s")).distinct()
+    proof = evidence(nodes, edges)
+    ends = chosen.select("canvas_id", F.col("cause").alias("id")).unionByName(back.select("canvas_id", F.col("r.fm").alias("id"))).distinct()
+    proof = proof.join(F.broadcast(ends), ["canvas_id", "id"], "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("canvas_id", "id").orderBy("ord")))
+    docs = proof.groupBy("canvas_id", "id").agg(F.count("*").alias("docs"), F.array_sort(F.collect_list(F.when(F.col("n") <= 2, F.struct("n", "filename")))).alias("files"))
+    of = lambda name: docs.select("canvas_id", F.col("id").alias(name), F.col("docs").alias(f"{name}_docs"), F.transform("files", lambda f: f["filename"]).alias(f"{name}_files"))
+    told = chosen.join(back.select("canvas_id", "cause", "rule", F.col("r.fm").alias("related"), F.col("r.fm_label").alias("related_label"), F.col("r.fm_severity").alias("related_severity")), [*key, "rule"], "left")
+    told = told.join(of("cause"), key, "left").join(of("related"), ["canvas_id", "related"], "left")
+    told = told.join(standard.withColumnRenamed("s", "cause").withColumn("m1", F.lit(True)), key, "left").join(standard.withColumnRenamed("s", "related").withColumn("m2", F.lit(True)), ["canvas_id", "related"], "left")
+    reached = found.select("cid", "fm", "trace", "turn", "likeness").join(links.select("canvas_id", "cause", "fm"), "fm").join(F.broadcast(chosen.select(*key, "rule", "rank")), key).join(active, ["cid", "rule"])
+    reached = reached.groupBy("cid", "canvas_id", "cause", "rule", "rank").agg(F.min_by(F.struct("fm", "trace", "likeness", "turn"), "turn").alias("s"))
+    reached = first_per_key(reached, ["cid", "canvas_id", "cause"], "rank").select("cid", *key, "rule", "s.*")
+    rows = reached.join(F.broadcast(told), [*key, "rule"])
+    none = F.array().cast("array<string>")
+    steps = F.concat(F.filter("trace", lambda t: ~t.contains("UNDER_REG")), F.array(hop("fm", F.lit("CAUSED_BY"), "cause"), F.when(F.col("related").isNotNull(), hop("related", F.lit("CAUSED_BY"), "cause"))))
+    named = F.concat(F.coalesce("cause_files", none), F.slice(F.coalesce("related_files", none), 1, 1), F.array("related_label"))
+    named = F.array_distinct(F.array_compact(named))
+    s = F.coalesce("related_severity", "own_severity", F.lit(5))
+    score = domain.confidence(F.col("likeness"), F.coalesce("cause_docs", F.lit(0)), s, F.coalesce("m1", "m2", F.lit(False)), F.col("weight"))["confidence"]
+    return rows.select(
+        "cid", F.col("cause").alias("anchor"), F.col("rule").alias("category"), s.alias("severity"), F.array_distinct(F.array_compact(steps)).alias("trace"),
+        F.when(F.size(named) > 0, named).otherwise(F.array("name")).alias("evidence"), "turn", score.alias("confidence"),
+    )
+
+
+def checklist(found: DataFrame, causes: DataFrame | None = None, top: int = 8) -> DataFrame:
+    """The most certain findings of each condition that have evidence and a trace, and how many there are.
+
+    found: concerns with ``evidence``; causes: ``cause_findings``.  Of equally certain ones the graver come first, then failure modes in the order in which they
+    were met, then causes.
+    """
+    kind = F.when(F.col("regulated"), "regulatory").otherwise("failure-mode")
+    rows = found.select("cid", F.col("fm").alias("anchor"), kind.alias("category"), "severity", "trace", "evidence", "turn", "confidence", F.lit(0).alias("late"))
+    if causes is not None:
+        rows = rows.unionByName(causes.withColumn("late", F.lit(1)))
+    rows = rows.where((F.size("evidence") > 0) & (F.size("trace") > 0))
+    totals = rows.groupBy("cid").agg(F.count("*").alias("total"))
+    order = Window.partitionBy("cid").orderBy(F.desc("confidence"), F.desc("severity"), "late", "turn", "anchor")
+    rows = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    return rows.join(totals, "cid").drop("late", "turn")
 
 
 def cause_concerns(conditions: DataFrame, nodes: DataFrame, edges: DataFrame, rules: dict[str, tuple[str, str]]) -> DataFrame:

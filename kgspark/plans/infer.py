@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import domain
 from kgspark.operators import infer as inf
+from kgspark.operators import parts
+from kgspark.operators.lineage import settle
 from kgspark.sources.tables import graph, table
 from kgspark.sources.tables import edges as all_edges
 
@@ -58,24 +60,70 @@ def g13_concerns(spark, d) -> DataFrame:
     return found.select("cid", "fm", "severity", "visits", "regulated", "confidence", F.round("boost", 6).alias("boost"), "trace")
 
 
-@query(g(_CONCERN + " select cid, fm, confidence, row_number() over (partition by cid order by confidence desc, fm) as place, count(*) over (partition by cid) as total from found qualify place <= 2"))
-def g15_checklist(spark, d) -> DataFrame:
-    """The two most certain concerns of each condition."""
+RULES = [("urgent", "^[12]-", 0.1), ("light", "LOW|NOT", 0.08), ("closed", "MEDIUM", 0.1)]
+_CHECK = _SCORED.replace("c_mktsegment as seg from", "c_mktsegment as seg, 'FRF' || (c_custkey // 20 % 5 + 1) as tok from").replace("then 1 else 0 end) / 3.0::double", "then 1 else 0 end) / 4.0::double") + """,
+ v as (select p.cid, e.dst as fm, p.id as anchor, p.sim, p.place, e.ord from proj p join edges e on e.rel = 'OCCURRED_IN' and e.src = p.id),
+ r as (select v.cid, v.fm, max(sim) as sim, count(*) as visits, list_sort(list(distinct anchor)) as anchors, list(n.label order by v.place, v.ord) as origins, min((v.place, v.ord)) as turn, 10 - cast(substr(v.fm, 4, 1) as int) as severity,
+   bool_or(exists (select 1 from edges u join nodes n on n.id = u.dst where u.rel = 'UNDER_REG' and u.src = v.fm and contains(n.label, c.market))) as regulated, any_value(c.seg) as seg, any_value(c.tok) as tok
+   from v join cond c using (cid) join nodes n on n.id = v.anchor group by v.cid, v.fm),
+ s as (select *, least(0.4::double * sim + 0.3::double * (severity / 10.0::double) + visits * (case when regulated then 0.08::double else 0.0 end + case when contains(fm, tok) then 0.06::double else 0.0 end)
+   + case when contains(seg, 'AUTO') and fm like '%3' then 0.1::double else 0.0 end, 1.0) as raw from r),
+ mit as (select e.src as fm, n.label from edges e join nodes n on n.id = e.dst where e.rel = 'MITIGATED_BY'),
+ fms as (select cid, fm as anchor, case when regulated then 'regulatory' else 'failure-mode' end as category, severity, list_transform(anchors, lambda a: a || '→OCCURRED_IN→' || fm) as trace,
+   list_concat(case when mit.label is null then [] else [mit.label] end, origins) as evidence, cast(floor(raw * 100 + 0.5) as int) as confidence, sim, turn, 0 as late, seg from s left join mit using (fm)),
+ rules as (select * from (values ('urgent', 0, 'C1', 0.1::double), ('light', 1, 'C4', 0.08::double), ('closed', 2, 'C3', 0.1::double)) t(rule, rank, cause, w)),
+ hit as (select f.cid, rule, r.cause, w, arg_min({'fm': anchor, 'trace': trace, 'sim': sim, 'turn': turn}, turn) as s from fms f join rules r on substr(r.cause, 2) = substr(f.anchor, 4) and exists (select 1 from edges where rel = 'CAUSED_BY' and src = f.anchor)
+   where case rule when 'urgent' then regexp_matches(seg, 'BUILD|MACH') when 'light' then true else contains(seg, 'AUTO') end group by all),
+ back as (select dst as cause, arg_min(src, ord) as related from edges where rel = 'CAUSED_BY' group by dst),
+ causes as (select cid, cause as anchor, rule as category, 10 - cast(substr(related, 4, 1) as int) as severity,
+   list_concat(s.trace, case when s.fm = related then [related || '→CAUSED_BY→' || cause] else [s.fm || '→CAUSED_BY→' || cause, related || '→CAUSED_BY→' || cause] end) as trace, [related] as evidence,
+   cast(floor(least(0.4::double * s.sim + 0.3::double * ((10 - cast(substr(related, 4, 1) as int)) / 10.0::double) + w, 1.0) * 100 + 0.5) as int) as confidence, s.turn as turn, 1 as late from hit join back using (cause)),
+ every as (select cid, anchor, category, severity, trace, evidence, confidence, turn, late from fms union all select cid, anchor, category, severity, trace, evidence, confidence, turn, late from causes)"""
+
+
+def checked(spark, d):
+    """Conditions with a shape that names one kind of failure, and their concerns."""
     gr = graph(spark, d)
-    cond = conditions(spark, d)
+    token = F.concat(F.lit("FRF"), (F.floor(c("cid") / 20) % 5 + 1).cast("string"))
+    cond = conditions(spark, d).withColumn("shape", F.array(c("shape")[0], token))
     seen = inf.visits(inf.scored_projects(cond, gr.nodes, gr.edges), gr.edges)
-    found = inf.concerns(seen, cond.withColumn("shape", F.array().cast("array<string>")), gr.nodes, gr.edges, severity())
-    return inf.checklist(found, 2).select("cid", "fm", "confidence", "place", "total")
+    damp = F.when(F.exists("shape", lambda x: x.contains("AUTO")) & c("title").rlike("3$"), 0.1).otherwise(0.0)
+    found = settle(inf.concerns(seen, cond, gr.nodes, gr.edges, severity(), extra=damp))
+    found = found.join(inf.labels_behind(found, seen, gr.nodes, gr.edges), ["cid", "fm"])
+    held = lambda pattern: F.exists("shape", lambda x: x.rlike(pattern))
+    on = F.array_compact(F.array(F.when(held("BUILD|MACH"), "urgent"), F.when(c("light").rlike("(?i)LED"), "light"), F.when(held("AUTO"), "closed")))
+    active = cond.select("cid", F.explode(on).alias("rule"))
+    return found, inf.cause_findings(found, active, gr.nodes, gr.edges, RULES, severity())
+
+
+@query(g(_CHECK + " select cid, anchor, category, severity, confidence, trace, list_distinct(evidence) is not null as proven, len(list_distinct(evidence)) as proofs, row_number() over (partition by cid order by confidence desc, severity desc, late, turn, anchor) as place, count(*) over (partition by cid) as total from every qualify place <= 8"))
+def g15_checklist(spark, d) -> DataFrame:
+    """The eight most certain findings of each condition: failure modes of like projects, and causes that its shape and light weigh."""
+    found = inf.checklist(*checked(spark, d))
+    return found.select("cid", "anchor", "category", "severity", "confidence", "trace", c("evidence").isNotNull().alias("proven"), F.size("evidence").cast("long").alias("proofs"), "place", "total")
 
 
-@query(g(" select 'IP' || p_partkey as cid, e.dst as fm, 10 - cast(substr(e.dst, 4, 1) as int) as severity, cast(floor((0.4::double * 0.9::double + 0.3::double * ((10 - cast(substr(e.dst, 4, 1) as int)) / 10.0::double)) * 100 + 0.5) as int) as confidence from part join edges e on e.rel = 'HAS_FAILURE' and e.src = 'IP' || p_partkey"))
+@query(g(_CHECK + " select cid, anchor, category, severity, confidence, trace, evidence from causes"))
+def g15_cause_findings(spark, d) -> DataFrame:
+    """The causes among them, with what they lead back to."""
+    return checked(spark, d)[1].select("cid", "anchor", "category", "severity", "confidence", "trace", "evidence")
+
+
+@query(
+    g(""", o as (select dst as fm, src, ord, row_number() over (partition by dst order by ord) as n from edges where rel = 'OCCURRED_IN'), p as (select fm, list(src || '→OCCURRED_IN→' || fm order by n) as t, list(n2.label order by n) as l from o join nodes n2 on n2.id = src where n <= 3 group by fm)
+    select e.src as cid, e.dst as fm, 10 - cast(substr(e.dst, 4, 1) as int) as severity, cast(floor((0.4::double * 0.9::double + 0.3::double * ((10 - cast(substr(e.dst, 4, 1) as int)) / 10.0::double)) * 100 + 0.5) as int) as confidence,
+      list_concat([e.src || '→HAS_FAILURE→' || e.dst], coalesce(t, [])) as trace, coalesce(l, []) as occurred from edges e left join p on p.fm = e.dst where e.rel = 'HAS_FAILURE'""")
+)
 def g16_item_concerns(spark, d) -> DataFrame:
-    """The same with every part as an anchor."""
+    """The same with every part as an anchor, and the projects in which its failure modes occurred."""
     gr = graph(spark, d)
     items = table(spark, d, "part").select(F.concat(F.lit("IP"), c("p_partkey").cast("string")).alias("id"))
     cond = items.select(c("id").alias("cid"), F.lit("").alias("market"), F.array().cast("array<string>").alias("shape"))
-    found = inf.concerns(inf.item_visits(items.select(c("id").alias("cid"), "id"), gr.edges), cond, gr.nodes, gr.edges, severity())
-    return found.select("cid", "fm", "severity", "confidence")
+    found = inf.concerns(inf.item_visits(items.select(c("id").alias("cid"), "id"), gr.edges), cond, gr.nodes, gr.edges, severity(), rel="HAS_FAILURE")
+    past = inf.occurrences(gr.nodes, gr.edges).select("fm", c("trace").alias("more"), c("evidence").alias("occurred"))
+    none = F.array().cast("array<string>")
+    found = found.join(past, "fm", "left")
+    return found.select("cid", "fm", "severity", "confidence", F.concat("trace", F.coalesce("more", none)).alias("trace"), F.coalesce("occurred", none).alias("occurred"))
 
 
 @query(
@@ -95,9 +143,9 @@ def g14_cause_concerns(spark, d) -> DataFrame:
 )
 def a9_coverage(spark, d) -> DataFrame:
     """Required items as covered, unknown or missing; also the master audit."""
-    parts = table(spark, d, "part")
-    required = parts.select(c("p_partkey").alias("id"), F.explode(F.array("p_name", F.concat("p_type", F.lit(" steel")), F.lit("10 99"))).alias("item"))
-    corpus = parts.where("p_partkey % 4 <> 0").select(c("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    part = table(spark, d, "part")
+    required = part.select(c("p_partkey").alias("id"), F.explode(F.array("p_name", F.concat("p_type", F.lit(" steel")), F.lit("10 99"))).alias("item"))
+    corpus = part.where("p_partkey % 4 <> 0").select(c("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
     return inf.coverage(required, corpus)
 
 
@@ -130,6 +178,44 @@ def g19_expansion_gaps(spark, d) -> DataFrame:
     return inf.expansion_gaps(gr.nodes, gr.edges, material)
 
 
+@query(
+    g(""", m as (select id as part, label, list_filter(props, lambda p: p.k = 'material')[1].v as mat from nodes where id like 'IP%'),
+    own as (select src as item, dst as part from edges where rel = 'CONSISTS_OF'), fail as (select src as part, dst as fm from edges where rel = 'HAS_FAILURE' and regexp_matches(dst, '[124]$')),
+    why as (select src as fm, min_by(dst, ord) as cause from edges where rel = 'CAUSED_BY' and not (src like 'F%4') group by src),
+    doc as (select src as part, n.label as file from edges e join nodes n on n.id = e.dst where e.rel = 'EVIDENCED_BY')
+    select item, 'history' as rule, 'warn' as level, part, fm, cause, case when cause is null then 65 else 78 end as confidence,
+      list_filter([item || '→CONSISTS_OF→' || part, part || '→HAS_FAILURE→' || fm, fm || '→CAUSED_BY→' || cause], lambda x: x is not null) as trace,
+      list_filter([m.label || ': ' || mat, fm, (select label from nodes where id = cause), file], lambda x: x is not null) as evidence
+    from own join fail using (part) join m using (part) left join why using (fm) left join doc using (part)""")
+)
+def g19_material_history(spark, d) -> DataFrame:
+    """Parts whose material goes with failures of three kinds, for all items; failures of the fourth kind have no cause here."""
+    gr = graph(spark, d)
+    edges = gr.edges.where("not (rel = 'CAUSED_BY' and src like 'F%4')")
+    material = F.transform(F.filter("props", lambda p: p["k"] == "material"), lambda p: p["v"])
+    return parts.material_histories(gr.nodes, edges, material, "[124]$")
+
+
+_CLOSED = """, n2 as (select id, type, label, case when id like 'IS%' and ord % 3 = 0 then 'sealed' when id like 'IN%' and ord % 4 = 1 then 'sealed' else sub end as sub, props from nodes)"""
+
+
+@query(
+    g(_CLOSED + """, kid as (select e.src as item, e.dst as part, e.ord, n.label, regexp_matches(n.label, 'gadget') or regexp_matches(coalesce(n.sub, ''), 'gadget') or len(list_filter(n.props, lambda p: regexp_matches(p.v, '^9[05]5$'))) > 0 as vent from edges e join n2 n on n.id = e.dst where e.rel = 'CONSISTS_OF'),
+    p as (select item, count(*) as n_parts from kid group by item having not bool_or(vent)), f as (select item, list({'part': part, 'label': label} order by ord) as ps from (select * from kid qualify row_number() over (partition by item order by ord) <= 8) group by item),
+    src as (select e.dst as item, min_by(e.src, e.ord) as source, min_by(e.rel, e.ord) as rel, min_by(n.label, e.ord) as label from edges e join n2 n on n.id = e.src and n.sub = 'sealed' group by e.dst)
+    select item, 'closed' as rule, 'risk' as level, case when n.sub = 'sealed' then null else source end as source, n_parts, 80 as confidence,
+      list_concat(case when n.sub = 'sealed' then [] else [source || '→' || rel || '→' || item] end, list_transform(ps, lambda p: item || '→CONSISTS_OF→' || p.part)) as trace,
+      (select list(x order by i) from (select x, min(i) as i from (select unnest(list_concat([case when n.sub = 'sealed' then n.label else src.label end], list_transform(ps, lambda p: p.label))) as x, generate_subscripts(list_concat(['' ], ps_labels), 1) as i) group by x)) as evidence
+    from p join n2 n on n.id = item and n.type = 'item' join (select *, list_transform(ps, lambda p: p.label) as ps_labels from f) f using (item) left join src using (item) where n.sub = 'sealed' or source is not null""")
+)
+def g19_closed_without_vent(spark, d) -> DataFrame:
+    """Closed items without a vent part; a third of the suppliers and a quarter of the nations are closed, gadgets and two prices stand for vents."""
+    gr = graph(spark, d)
+    closed = (c("id").startswith("IS") & (c("ord") % 3 == 0)) | (c("id").startswith("IN") & (c("ord") % 4 == 1))
+    nodes = gr.nodes.withColumn("sub", F.when(closed, "sealed").otherwise(c("sub")))
+    return parts.closed_without_vent(nodes, gr.edges, "^sealed$", "gadget|^9[05]5$")
+
+
 def features(part: str):
     """A shape from the columns of a part."""
     p = lambda n: c(f"{part}.{n}")
@@ -153,8 +239,8 @@ def features(part: str):
 )
 def g7_shape_similarity(spark, d) -> DataFrame:
     """Four most similar shapes among the parts of one name, for every tenth part."""
-    parts = table(spark, d, "part")
-    a, b = parts.where("p_partkey % 10 = 0").alias("x"), parts.alias("y")
+    part = table(spark, d, "part")
+    a, b = part.where("p_partkey % 10 = 0").alias("x"), part.alias("y")
     pairs = a.join(b, (c("x.p_name") == c("y.p_name")) & (c("x.p_partkey") != c("y.p_partkey")))
     rows = pairs.select(c("x.p_partkey").alias("id"), c("y.p_partkey").alias("other"), features("x").alias("f"), features("y").alias("h"))
     rows = rows.select("id", "other", domain.shape_similarity("f", "h").alias("score")).where("score > 0.3")
