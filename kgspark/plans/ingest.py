@@ -248,11 +248,20 @@ def r1_stream_merge(spark, d) -> DataFrame:
     return nodes.read().drop("batch_id")
 
 
-@query("select date_trunc('hour', ts) as start, event_type as op, count(*) as entries from events group by all")
+@query("select * from (select date_trunc('hour', ts) as start, event_type as op, count(*) as entries from events group by 1, 2) where start + interval 1 hour <= (select max(ts) from events) - interval 10 minute")
 def r3_log_windows(spark, d) -> DataFrame:
-    """Operations of the change log by the hour, as a stream with a watermark."""
+    """Operations of the change log by the hour, as a stream: the windows that are final, as no entry may come that late any more."""
     out = new_folder(spark, "log")
-    counts = changes.operation_counts(event_stream(spark, d).select(c("ts").cast("timestamp").alias("at"), c("event_type").alias("op")), delay="3650 days")
-    sink = lambda batch, i: batch.write.mode("overwrite").parquet(out)
-    counts.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", f"{out}-mark").trigger(availableNow=True).start().awaitTermination()
+    counts = changes.operation_counts(event_stream(spark, d).select(c("ts").cast("timestamp").alias("at"), c("event_type").alias("op")))
+    counts.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-mark").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).withColumn("start", c("start").cast("timestamp_ntz"))
+
+
+@query("select distinct user_id, event_type from events")
+def r5_first_wins(spark, d) -> DataFrame:
+    """Which users did what, each pair once, as a stream that forgets a pair a year after its first row."""
+    out = new_folder(spark, "first")
+    rows = event_stream(spark, d).select("user_id", "event_type", c("ts").cast("timestamp").alias("at"))
+    found = changes.first_wins(rows, ["user_id", "event_type"], "at", "365 days").select("user_id", "event_type")
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-mark").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)

@@ -12,31 +12,39 @@ from kgspark.operators.merge import NODE
 
 
 class NodeTable:
-    """Nodes kept as Parquet, one folder per micro-batch; a replayed batch replaces its own folder."""
+    """Nodes kept as Parquet in folders by key bucket and micro-batch.
 
-    def __init__(self, spark, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    A batch reads the buckets of its own keys only and writes no others; a replayed batch finds the rows of earlier ones alone and replaces
+    just its own folders, so it changes nothing.  There must be one writer at a time.
+    """
+
+    def __init__(self, spark, path: str, schema: str, buckets: int = 64):
+        self.spark, self.path, self.schema, self.buckets = spark, path.rstrip("/"), schema, buckets
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema + ", batch_id long").parquet(self.path)
+        return self.spark.read.schema(self.schema + ", bucket int, batch_id long").parquet(self.path).drop("bucket")
 
     def merge(self) -> Callable[[DataFrame, int], None]:
-        """Sink for ``foreachBatch``: appends the nodes whose key no earlier batch has, the first of each key."""
+        """Sink for ``foreachBatch``: adds the nodes whose key no earlier batch has, the first of each key."""
 
         def run(batch: DataFrame, batch_id: int) -> None:
-            new = first_per_key(batch, NODE, "ord")
+            new = first_per_key(batch, NODE, "ord").withColumn("bucket", F.pmod(F.xxhash64(*NODE), F.lit(self.buckets)).cast("int"))
             if batch_id > 0:
-                new = new.join(self.read().where(F.col("batch_id") < batch_id).select(*NODE), NODE, "left_anti")
-            new.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+                touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most one number for each bucket
+                every = self.spark.read.schema(self.schema + ", bucket int, batch_id long").parquet(self.path)
+                known = every.where(F.col("bucket").isin(touched) & (F.col("batch_id") < batch_id)).select("bucket", *NODE)
+                new = new.join(known, ["bucket", *NODE], "left_anti")
+            new = new.withColumn("batch_id", F.lit(batch_id).cast("long"))
+            new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id").parquet(self.path)
 
         return run
 
 
 def first_wins(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
-    """The first row of each key; keys are forgotten ``delay`` after the watermark."""
+    """One row of each key, the first that comes; keys are forgotten ``delay`` after the watermark, rows later than it are dropped."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def operation_counts(log: DataFrame, time: str = "at", width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Entries of a change log by operation and time window; late entries count until the watermark has passed."""
+    """Entries of a change log by operation and time window; late entries count until the watermark has passed, then the window is final and leaves the state."""
     return log.withWatermark(time, delay).groupBy(F.window(time, width), "op").agg(F.count("*").alias("entries")).select(F.col("window.start").alias("start"), "op", "entries")

@@ -119,6 +119,20 @@ def test_first_wins_stream(spark, tmp_path):
     assert len(rows(spark.read.parquet(str(tmp_path / "out")), "id")) == 3
 
 
+def test_first_wins_after_a_restart_with_late_rows_and_expiry(spark, tmp_path):
+    def come(i, *found):
+        spark.createDataFrame(found, "id string, t string").select("id", F.to_timestamp("t").alias("at")).coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
+        stream = spark.readStream.schema("id string, at timestamp").parquet(str(tmp_path / "in*"))
+        out = changes.first_wins(stream, ["id"], "at", "1 hour")
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start().awaitTermination()
+        return [r[0] for r in rows(spark.read.parquet(str(tmp_path / "out")), "id")]
+
+    assert come(0, ("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:01")) == ["a"]
+    assert come(1, ("a", "2024-01-01 00:30:00"), ("b", "2024-01-01 05:00:00")) == ["a", "b"]  # a is remembered over the restart
+    assert come(2, ("c", "2024-01-01 01:00:00")) == ["a", "b"]  # later than the watermark allows
+    assert come(3, ("a", "2024-01-01 05:30:00")) == ["a", "a", "b"]  # forgotten meanwhile
+
+
 def test_merged_stream_is_idempotent(spark, tmp_path):
     table = changes.NodeTable(spark, str(tmp_path / "nodes"), "canvas_id string, id string, label string, ord long")
     batch = lambda *r: spark.createDataFrame([("m", *x) for x in r], "canvas_id string, id string, label string, ord long")
@@ -129,6 +143,22 @@ def test_merged_stream_is_idempotent(spark, tmp_path):
     assert rows(table.read(), "id", "label") == [("a", "zero"), ("b", "three")]
 
 
+def test_merged_stream_touches_the_buckets_of_its_keys_only(spark, tmp_path):
+    table = changes.NodeTable(spark, str(tmp_path / "nodes"), "canvas_id string, id string, label string, ord long", buckets=16)
+    batch = lambda *r: spark.createDataFrame([("m", *x) for x in r], "canvas_id string, id string, label string, ord long")
+    files = lambda: {str(f.relative_to(tmp_path)): f.stat().st_mtime_ns for f in (tmp_path / "nodes").rglob("part-*")}
+    merge = table.merge()
+    merge(batch(*((f"k{i}", "old", i) for i in range(60))), 0)
+    before = files()
+    second = batch(("k3", "new", 1), ("z1", "new", 2))
+    merge(second, 1)
+    after = files()
+    assert before.items() <= after.items() and len({f.split("/")[1] for f in after.keys() - before.keys()}) == 1
+    once = rows(table.read(), "id", "label", "batch_id")
+    merge(second, 1)
+    assert rows(table.read(), "id", "label", "batch_id") == once and len(once) == 61
+
+
 def test_centroid_index_recall(spark):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
     asked = v.where("id % 100 = 0").withColumnRenamed("id", "qid")
