@@ -2,12 +2,14 @@
 
 Fixed patterns give the base spans (e-mail, IP address, card and phone numbers); these always stay.  Looser
 patterns propose more spans: spelled-out e-mail addresses, card numbers with a wrong check digit, phone numbers
-without a country code, IPv6 addresses.  Labelers vote on every span, base or proposed, for (1), against (-1)
-or not at all (0): its strict form, a gazetteer (top-level domains, address ranges, issuers, country codes), the words before
-it, a gazetteer of given names before it, its digits, its borders.  Spans are counted by kind and votes, a table of at
-most 4 * 3**6 rows; on it expectation-maximisation estimates how reliable each labeler is for each kind, and its posteriors
-train the final span classifier, a logistic model of the votes that is applied as a column expression.  Proposed spans that
-it accepts and that overlap no base span are added.
+without a country code, bare runs of digits, IPv6 addresses.  Labelers vote on every span, base or proposed, for (1), against (-1)
+or not at all (0): a gazetteer (top-level domains, address ranges, issuers, country codes), the words before it, a gazetteer of
+given names before it, its digits.  Strict form and free borders follow from how spans are proposed; they are conditions, not votes.  Spans are
+counted by kind, votes and whether they are base, a table of at most 8 * 3**4 rows.  On it expectation-maximisation estimates how reliable each
+labeler is for each kind: base spans are real, so that a labeler they never meet, such as a wrong check digit, speaks against a
+proposal; of the proposals, most are numbers of other sorts, the share of real ones is estimated along.  The posteriors train
+the final span classifier, a logistic model of the votes that is applied as a column expression.  Proposed spans that it accepts and that
+overlap no base span are added.
 
 Defined results: null and empty texts have no spans (the hash of the empty text, an empty list); very long texts are searched
 whole; repeated rows are rows of their own; an empty table gives no rows; extra columns, clashing names among them, are not
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import settle, table
 
 KINDS = ("email", "ip", "card", "phone")
-LABELERS = ("form", "gazetteer", "context", "names", "digits", "borders")
+LABELERS = ("gazetteer", "context", "names", "digits")
 
 # Patterns start only where a run of their first characters starts or the previous match ends, and give no
 # character back: the same matches as the plain patterns, in time proportional to the text.
@@ -38,14 +40,14 @@ BASE_POSSIBLE = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-
 LOOSE_PATTERNS = {
     "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?[(\[]at[)\]] ?[a-z0-9-]++(?: ?(?:[(\[]dot[)\]]|\.) ?[a-z0-9-]++)++",
     "ip": r"(?i)(?<![0-9a-f:])[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}(?![0-9a-f:])",
-    "phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9+.-])(?:\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{9,11})(?![0-9])",
 }
-LOOSE_POSSIBLE = {"email": r"(?i)[(\[]at[)\]]", "ip": r":[0-9a-fA-F]{1,4}:", "phone": r"[0-9]{3}[ .-][0-9]{4}"}
+LOOSE_POSSIBLE = {"email": r"(?i)[(\[]at[)\]]", "ip": r":[0-9a-fA-F]{1,4}:", "phone": r"[0-9]{3}[ .-]?[0-9]{4}"}
 STRICT = {
-    "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$",
+    "email": r"(?i)^[a-z0-9][a-z0-9._%+-]*(?:@| ?[(\[]at[)\]] ?)[a-z0-9-]+(?: ?(?:\.|[(\[]dot[)\]]) ?[a-z0-9-]+)* ?(?:\.|[(\[]dot[)\]]) ?[a-z]{2,}$",
     "ip": r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$|^[0-9a-fA-F:]+$",
     "card": r"^[0-9]{13,16}$|^[0-9]{4}(?:[ -][0-9]{4}){3}$|^[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}$",
-    "phone": r"^\+[0-9]{1,3}[ .-]?\(?[0-9]+\)?(?:[ .-]?[0-9]+)+$|^\([0-9]{3}\) [0-9]{3}-[0-9]{4}$",
+    "phone": r"^\+[0-9]{1,3}[ .-]?\(?[0-9]+\)?(?:[ .-]?[0-9]+)+$|^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$|^[0-9]{9,11}$",
 }
 # Generic top-level domains; calling codes by zone; issuer prefixes; given names in the languages at hand.
 DOMAINS = "com|org|net|edu|gov|mil|int|info|biz|name|pro|coop|museum|aero|jobs|mobi|travel|tel|cat|asia|io|dev|app|online|shop|store|site|tech|cloud|blog"
@@ -135,26 +137,29 @@ def _vote(yes: Column, no: Column) -> Column:
 def _votes(kind: str, span: Column, text: Column) -> Column:
     match, n = span["match"], F.length(_digits(span["match"]))
     context = F.substring(text, F.greatest(span["start"] - 39, F.lit(1)), F.least(span["start"], F.lit(40)))
-    neighbours = F.concat(F.when(span["start"] > 0, F.substring(text, span["start"], F.lit(1))).otherwise(""), F.substring(text, span["end"] + 1, F.lit(1)))
     good = {
         "email": match.rlike("(?i)^[^@(\\[]*[a-z]"),
         "ip": ~match.rlike(r"^(?:0|10|127|192\.168)\."),
         "card": _luhn(match) & n.between(12, 19),
-        "phone": n.between(10, 13),
+        "phone": n.between(10, 13) & match.rlike("[^0-9]"),
     }[kind]
-    strict, listed, touching = match.rlike(STRICT[kind]), match.rlike(GAZETTEER[kind]), neighbours.rlike("[A-Za-z0-9]")
+    listed = match.rlike(GAZETTEER[kind])
     return F.array(
-        _vote(strict, ~strict),
         _vote(listed, ~listed),
         _vote(context.rlike(FOR[kind]), context.rlike(AGAINST)),
         _vote(context.rlike(rf"(?iu)\b(?:{NAMES})\b"), F.lit(False)),
         _vote(good, ~good),
-        _vote(~touching, touching),
     )
 
 
+def _well_formed(kind: str, span: Column, text: Column) -> Column:
+    """What a proposal must be whatever the votes: of strict form, with neither letter nor digit at its borders."""
+    neighbours = F.concat(F.when(span["start"] > 0, F.substring(text, span["start"], F.lit(1))).otherwise(""), F.substring(text, span["end"] + 1, F.lit(1)))
+    return span["match"].rlike(STRICT[kind]) & ~neighbours.rlike("[A-Za-z0-9]")
+
+
 def voted_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``spans``: array of (start, kind, end, base, votes) of every text, kind as a number."""
+    """``doc_id`` and ``spans``: array of (start, kind, end, base, formed, votes) of every text, kind as a number."""
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     for kind in KINDS:
         rows = located(rows, f"base_{kind}", BASE_PATTERNS[kind], BASE_POSSIBLE[kind])
@@ -169,8 +174,9 @@ def _told(k: int) -> list[Column]:
 
     def told(span: Column, base: Column) -> Column:
         return F.struct(
-            span["start"].alias("start"), F.lit(k).alias("kind"), span["end"].alias("end"), base.alias("base"), _votes(kind, span, F.col("text")).alias("votes")
-        )
+            span["start"].alias("start"), F.lit(k).alias("kind"), span["end"].alias("end"), base.alias("base"),
+            _well_formed(kind, span, F.col("text")).alias("formed"), _votes(kind, span, F.col("text")).alias("votes"),
+        )
 
     found = F.col(f"base_{kind}")
     if kind == "card":
@@ -180,57 +186,89 @@ def _told(k: int) -> list[Column]:
     return [base, F.transform(F.col(f"loose_{kind}"), lambda s: told(s, F.lit(False)))]
 
 
-def reliabilities(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 60) -> tuple[list[list[float]], float, list[float]]:
-    """Expectation-maximisation over (votes, count): per labeler P(+1 | real) and P(-1 | not), the share of real spans, and posteriors.
+def reliabilities(patterns: list[tuple[tuple[int, ...], bool, float]], rounds: int = 60) -> tuple[list[list[float]], float, list[float]]:
+    """Expectation-maximisation over (votes, base, count): per labeler P(+1 | real) and P(-1 | not), the share of real proposals, and posteriors.
 
-    Starts from labelers that are right in 8 of 10 votes.  One prior vote each way keeps rates inside (0, 1).
+    Base spans are real.  Starts from labelers that are right in 8 of 10 votes and from half of the proposals being real.  One prior vote
+    for each outcome keeps rates inside (0, 1); no labeler that speaks against is taken for one that speaks for.
     """
     width = len(patterns[0][0]) if patterns else 0
-    rate, prior, posterior = [[0.8, 0.8] for _ in range(width)], 0.7, []
+    rate, prior, posterior = [[0.8, 0.8] for _ in range(width)], 0.5, []
     for _ in range(rounds):
         posterior = []
-        for votes, _n in patterns:
+        for votes, base, _n in patterns:
             real, other = math.log(prior), math.log(1 - prior)
             for v, (up, down) in zip(votes, rate):
                 if v:
                     real += math.log(up if v > 0 else 1 - up)
                     other += math.log(down if v < 0 else 1 - down)
-            posterior.append(1 / (1 + math.exp(min(500, max(-500, other - real)))))
-        total = sum(n for _, n in patterns)
-        prior = (sum(p * n for p, (_, n) in zip(posterior, patterns)) + 1) / (total + 2)
+            posterior.append(1.0 if base else 1 / (1 + math.exp(min(500, max(-500, other - real)))))
+        offered = [(p, n) for p, (_, base, n) in zip(posterior, patterns) if not base]
+        prior = (sum(p * n for p, n in offered) + 1) / (sum(n for _, n in offered) + 2)
         for j in range(width):
-            cast = [(p, n, votes[j]) for p, (votes, n) in zip(posterior, patterns) if votes[j]]
+            cast = [(p, n, votes[j]) for p, (votes, _, n) in zip(posterior, patterns) if votes[j]]
             up = (sum(p * n for p, n, v in cast if v > 0) + 4) / (sum(p * n for p, n, v in cast) + 5)
             down = (sum((1 - p) * n for p, n, v in cast if v < 0) + 4) / (sum((1 - p) * n for p, n, v in cast) + 5)
-            rate[j] = [max(up, 0.5), max(down, 0.5)]
+            rate[j] = [up, max(down, 1 - up, 0.01)]
     return rate, prior, posterior
 
 
-def span_classifier(patterns: list[tuple[tuple[int, ...], float]], posterior: list[float], steps: int = 300, ridge: float = 1e-3) -> list[float]:
-    """Logistic weights (intercept first) of the votes, fitted to posteriors by gradient steps on the counted table."""
-    width = len(patterns[0][0])
-    weight, total = [0.0] * (width + 1), sum(n for _, n in patterns)
+def span_classifier(patterns: list[tuple[tuple[int, ...], float]], posterior: list[float], steps: int = 50, ridge: float = 1e-3) -> list[float]:
+    """Logistic weights (intercept first) of the votes, fitted to posteriors of (votes, count) by Newton steps on the counted table."""
+    total = sum(n for _, n in patterns)
+    rows = [((1, *votes), n / total, p) for (votes, n), p in zip(patterns, posterior)]
+    width = len(rows[0][0])
+    weight = [0.0] * width
     for _ in range(steps):
-        slope = [ridge * w for w in weight]
-        for (votes, n), p in zip(patterns, posterior):
-            x = (1, *votes)
-            miss = 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(weight, x)))))) - p
-            for j, v in enumerate(x):
-                slope[j] += n / total * miss * v
-        weight = [w - 1.5 * s for w, s in zip(weight, slope)]
+        slope, bend = [ridge * w for w in weight], [[ridge * (i == j) for j in range(width)] for i in range(width)]
+        for x, n, p in rows:
+            q = 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(weight, x))))))
+            for i in range(width):
+                slope[i] += n * (q - p) * x[i]
+                for j in range(width):
+                    bend[i][j] += n * max(q * (1 - q), 1e-4) * x[i] * x[j]
+        step = _solved(bend, slope)
+        weight = [w - s for w, s in zip(weight, step)]
+        if max(map(abs, step)) < 1e-9:
+            break
     return weight
 
 
+def _solved(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """The solution of a few linear equations."""
+    rows = [[*m, r] for m, r in zip(matrix, right)]
+    for i in range(len(rows)):
+        k = max(range(i, len(rows)), key=lambda j: abs(rows[j][i]))
+        rows[i], rows[k] = rows[k], rows[i]
+        rows[i] = [x / rows[i][i] for x in rows[i]]
+        for j in range(len(rows)):
+            if j != i:
+                rows[j] = [x - rows[j][i] * y for x, y in zip(rows[j], rows[i])]
+    return [r[-1] for r in rows]
+
+
+def learnt(rows: DataFrame) -> dict[int, list[float]]:
+    """Weights of the span classifier of each kind, from the counts of ``spans`` by votes.
+
+    It learns from the proposals and as many base spans at most, so that what all proposals share counts for nothing.
+    """
+    counted = rows.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.base").count().collect()  # at most 8 * 3**4 rows
+    models = {}
+    for k in range(len(KINDS)):
+        patterns = sorted((tuple(r["votes"]), r["base"], float(r["count"])) for r in counted if r["kind"] == k)
+        offered = sum(n for _, base, n in patterns if not base)
+        if offered:
+            known = sum(n for _, base, n in patterns if base)
+            posterior = reliabilities(patterns)[2]
+            models[k] = span_classifier([(votes, n * min(1.0, offered / known) if base else n) for votes, base, n in patterns], posterior)
+    return models
+
+
 def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``doc_id``, ``base`` and ``added`` (arrays of (start, kind, end)) of every row of ``docs``."""
     rows = settle(voted_spans(docs).withColumn("row_id", F.monotonically_increasing_id()))
-    counted = rows.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes").count().collect()  # at most 4 * 3**6 rows
     logit = F.lit(-1.0)
-    models = {}
-    for k in range(len(KINDS)):
-        patterns = sorted((tuple(r["votes"]), float(r["count"])) for r in counted if r["kind"] == k)
-        if patterns:
-            models[k] = span_classifier(patterns, reliabilities(patterns)[2])
+    models = learnt(rows)
 
     def accepted(span: Column) -> Column:
         value = logit
@@ -243,7 +281,7 @@ def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     plain = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
     rows = rows.withColumn("base", F.array_sort(F.transform(F.filter("spans", lambda s: s["base"]), plain)))
-    rows = rows.withColumn("more", F.transform(F.filter("spans", lambda s: ~s["base"] & accepted(s)), plain)).drop("spans")
+    rows = rows.withColumn("more", F.transform(F.filter("spans", lambda s: ~s["base"] & s["formed"] & accepted(s)), plain)).drop("spans")
     added = _without_overlaps(rows.where(F.size("more") > 0))
     none = F.array().cast("array<struct<start: int, kind: int, end: int>>")
     return rows.join(added, "row_id", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))

@@ -412,9 +412,23 @@ def test_personal_data_added_spans(spark):
         rows.append((i, text))
     for i in range(160, 200):
         rows.append((i, f"order version 111 222 {i:04d}x serial v 000.111.{2000 + i}y"))
+    for i in range(200, 260):
+        rows.append((i, f"the sum of {4539148803430000 + i} and 40123{i}7{i} is large, and so is 5105105105105{i}"))
     found = {r["doc_id"]: r for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all({tuple(s) for s in found[i]["added"]} == spans for i, spans in at.items())
-    assert all(not found[i]["added"] for i in range(160, 200))
+    assert all(not found[i]["added"] for i in range(160, 260))
+
+
+def test_bare_numbers_that_fail_the_check_digit_add_nothing(spark):
+    """Cards that pass are base spans; like numbers that fail are not added, however many there are and whatever issuer they begin with."""
+    good, bad = [], []
+    for i in range(4000):
+        text = f"{4000000000000000 + 37 * i}" if i % 2 else f"5{105105105105000 + 41 * i}"
+        (good if personal(text) else bad).append(text)
+    for share in (1, 20):
+        rows = [(i, f"paid {t} then") for i, t in enumerate(good[:200] + bad[: 200 * share])]
+        found = pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sum(len(r["base"]) for r in found) == 200 and not any(r["added"] for r in found)
 
 
 def test_personal_data_overlaps(spark):
@@ -438,13 +452,15 @@ def test_personal_data_without_rows(empty):
 def test_reliabilities_find_the_good_labelers():
     random = np.random.default_rng(0)
     counted = Counter()
-    for _ in range(4000):
-        real = random.random() < 0.6
-        counted[tuple(int((1 if real else -1) * (1 if random.random() < p else -1)) for p in (0.95, 0.9, 0.6))] += 1
-    patterns = [(v, float(n)) for v, n in sorted(counted.items())]
+    for i in range(6000):
+        base = i < 2000
+        real = base or random.random() < 0.3
+        counted[tuple(int((1 if real else -1) * (1 if random.random() < p else -1)) for p in (0.95, 0.9, 0.6)), base] += 1
+    patterns = [(v, base, float(n)) for (v, base), n in sorted(counted.items())]
     rate, prior, posterior = pii.reliabilities(patterns)
-    assert rate[0][0] > rate[2][0] and rate[1][0] > rate[2][0] and abs(prior - 0.6) < 0.1
-    weight = pii.span_classifier(patterns, posterior)
+    assert rate[0][0] > rate[2][0] and rate[1][0] > rate[2][0] and abs(prior - 0.3) < 0.1
+    assert all(p == 1 for p, (_, base, _) in zip(posterior, patterns) if base)
+    weight = pii.span_classifier([(v, n) for v, _, n in patterns], posterior)
     assert weight[1] > weight[3] and weight[2] > weight[3]
 
 
