@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kgspark.functions.text import auto_id, entity_id, fold, nospace
 
 from .graph import first_per_key
+from .lineage import settle
 from .phrases import PART, held
 
 # Confidence of each way to recognise a name, best first.
@@ -77,6 +78,55 @@ def co_mentions(mentions: DataFrame, pairs: list[tuple[str, str, str]]) -> DataF
     return reduce(DataFrame.unionByName, out).distinct()
 
 
+#: What a free text links: between objects of these types that it mentions, and without a failure mode, between these.
+FREE_LINKS = [("item", "HAS_FAILURE", "fm"), ("fm", "CAUSED_BY", "cause"), ("fm", "MITIGATED_BY", "action")]
+FREE_LINKS_WITHOUT_FAILURE = [("item", "MITIGATED_BY", "action"), ("cause", "MITIGATED_BY", "action")]
+
+
+def stated_fields(texts: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """``doc, type, raw``: values of "key: value" stretches in free texts (doc, text), each up to its first comma, dot or slash.
+
+    fields: type -> pattern of its keys.
+    """
+    found = None
+    for kind, keys in fields.items():
+        values = F.regexp_extract_all("text", F.lit(rf"(?:{keys})\s*[:：]\s*([^\n:：]+)"), F.lit(1))
+        one = texts.select("doc", F.lit(kind).alias("type"), F.explode(values).alias("v"))
+        found = one if found is None else found.unionByName(one)
+    return found.select("doc", "type", F.trim(F.split(F.trim("v"), "[,·/]")[0]).alias("raw")).where("raw <> ''").distinct()
+
+
+def free_text_links(texts: DataFrame, vocabulary: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Distinct ``doc, src, rel, dst`` that free texts (doc, text) of one issue each suggest.
+
+    Objects are the names of the vocabulary (id, type, label, codes, synonyms, ord) that a text holds, and what its fields state, known or new.
+    Those of two types are linked; a text without a failure mode links its parts and causes to its measures.
+    """
+    scanned = scan_entities(texts, vocabulary).join(vocabulary.select("id", "type").distinct(), "id").select("doc", "id", "type")
+    stated = stated_fields(texts, fields)
+    named = stated.join(resolve_or_create(stated, vocabulary).select("raw", "type", "id"), ["raw", "type"]).select("doc", "id", "type")
+    mentions = settle(scanned.unionByName(named).distinct())
+    failing = mentions.where("type = 'fm'").select("doc").distinct()
+    out = []
+    for rows, links in ((mentions, FREE_LINKS), (mentions.join(failing, "doc", "left_anti"), FREE_LINKS_WITHOUT_FAILURE)):
+        for source, rel, target in links:
+            one = rows.where(F.col("type") == source).select("doc", F.col("id").alias("src"))
+            out.append(one.join(rows.where(F.col("type") == target).select("doc", F.col("id").alias("dst")), "doc").select("doc", "src", F.lit(rel).alias("rel"), "dst"))
+    return reduce(DataFrame.unionByName, out).distinct()
+
+
+def with_free_text(links: DataFrame, texts: DataFrame, vocabulary: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """``doc, src, rel, dst, way``: the links that documents state in their form (by name), and of those that state none what their text (doc, text) suggests (by id)."""
+    silent = texts.join(links.select("doc").distinct(), "doc", "left_anti")
+    return links.select("doc", "src", "rel", "dst", F.lit("stated").alias("way")).unionByName(free_text_links(silent, vocabulary, fields).withColumn("way", F.lit("free text")))
+
+
+def scanned_where_silent(texts: DataFrame, labels: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Distinct ``doc, id``: known objects in the texts (doc, text) of drawings that have no labels (doc) of their own."""
+    silent = texts.join(labels.select("doc").distinct(), "doc", "left_anti")
+    return scan_entities(silent.select("doc", "text"), vocabulary)
+
+
 def worksheet_edges(rows: DataFrame, columns: list[tuple[str, str, str]]) -> DataFrame:
     """Distinct ``src, rel, dst`` from wide rows of ids; columns: (source column, relation, target column); blanks give none."""
     each = [F.struct(F.col(s).alias("src"), F.lit(r).alias("rel"), F.col(t).alias("dst")) for s, r, t in columns]

@@ -123,12 +123,23 @@ def bad_datatypes(nodes: DataFrame, defs: DataFrame) -> DataFrame:
     return finding(typed.where(bad), "bad-datatype", 70, F.col("key"))
 
 
-def combined(*found: DataFrame, floor: int = 40, cap: int | None = None) -> DataFrame:
-    """All findings above the floor, the best ``cap`` of each kind if a cap is asked for."""
+def combined(*found: DataFrame, semantic: DataFrame | None = None, floor: int = 40, cap: int | None = None) -> DataFrame:
+    """All findings above the floor, the best ``cap`` of each kind if a cap is asked for.
+
+    ``semantic`` holds pairs that are close in meaning; a pair that stays among the findings by spelling is not told again.
+    """
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
-    rows = rows.where(F.col("confidence") >= floor)
+    rows = capped(rows.where(F.col("confidence") >= floor), cap)
+    if semantic is None:
+        return rows
+    told = rows.where("kind = 'dup-candidate'").select("canvas_id", "id", "other")
+    more = capped(semantic.where(F.col("confidence") >= floor).join(told, ["canvas_id", "id", "other"], "left_anti"), cap)
+    return rows.unionByName(more.select(*rows.columns))
+
+
+def capped(rows: DataFrame, cap: int | None) -> DataFrame:
     if cap is None:
         return rows
     place = Window.partitionBy("canvas_id", "kind").orderBy(F.desc("confidence"), "id", "other")

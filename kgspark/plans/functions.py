@@ -138,14 +138,6 @@ def f17_synonyms(spark, d) -> DataFrame:
     return asked.select("q", c("q").alias("term")).unionByName(met).distinct()
 
 
-@query("select conv_id, turn, regexp_extract(lower(text), '(?:^|[ .,])(the|le|der|los?)(?:[ .,]|$)', 1) as language_word, list_filter(['question', 'order', 'long'], lambda k: case k when 'question' then contains(text, '?') when 'order' then regexp_matches(text, '!') else length(text) > 200 end) as intents from conversations")
-def f18_intents(spark, d) -> DataFrame:
-    """Terms and intents found in a question."""
-    t = c("text")
-    found = F.array_compact(F.array(F.when(t.contains("?"), "question"), F.when(t.rlike("!"), "order"), F.when(F.length(t) > 200, "long")))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.regexp_extract(F.lower(t), "(?:^|[ .,])(the|le|der|los?)(?:[ .,]|$)", 1).alias("language_word"), found.alias("intents"))
-
-
 @query("select s_suppkey, case when s_suppkey % 4 = 0 then null else s_name end as part, cast(s_nationkey as varchar) as cause from supplier")
 def f19_key_values(spark, d) -> DataFrame:
     """Fields written as "key: value" lines."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.operators import ingest as ing
+from kgspark.operators import office
 from kgspark.operators.lineage import shared_folder
 from kgspark.sources import documents as src
 from kgspark.sources.tables import table
@@ -80,6 +81,84 @@ def i4_co_mentions(spark, d) -> DataFrame:
     return ing.co_mentions(items.unionByName(ing.scan_entities(turns(spark, d), places).withColumn("type", F.lit("place"))), [("item", "MADE_IN", "place")])
 
 
+FIELDS = {"item": "part|piece", "fm": "mode|issue", "cause": "cause|reason", "action": "measure|action"}
+_PROSE = """with k as (select c_custkey as doc, c_custkey as k, n_name, r_name, c_mktsegment as seg, 'IN' || n_nationkey as item, 'R' || r_regionkey as fm from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+ t as (select *, lower(replace(concat_ws(chr(10), 'seen in ' || n_name, case when k % 3 <> 0 then 'trouble in ' || r_name end, case when k % 2 = 0 then 'cause: ' || seg || ', and more' end, case when k % 5 <> 0 then 'measure： M' || k % 4 || ' / later' end), ' ', '')) as low from k),
+ m as (select doc, 'item' as type, 'IN' || n2.n_nationkey as id from t join nation n2 on contains(low, lower(n2.n_name)) union select doc, 'fm', 'R' || r2.r_regionkey from t join region r2 on contains(low, replace(lower(r2.r_name), ' ', ''))
+   union select doc, 'cause', 'C_' || s from t, (values ('AUTOMOBILE'), ('BUILDING')) v(s) where contains(low, lower(s)) union select doc, 'cause', 'new' from t where k % 2 = 0 and seg not in ('AUTOMOBILE', 'BUILDING') union select doc, 'action', 'new' from t where k % 5 <> 0),
+ free as (select a.doc, a.id as src, r.rel, b.id as dst from m a join (values ('item', 'HAS_FAILURE', 'fm'), ('fm', 'CAUSED_BY', 'cause'), ('fm', 'MITIGATED_BY', 'action')) r(s, rel, t) on r.s = a.type join m b on b.doc = a.doc and b.type = r.t
+   union select a.doc, a.id, 'MITIGATED_BY', b.id from m a join m b on b.doc = a.doc and b.type = 'action' where a.type in ('item', 'cause') and a.doc not in (select doc from m where type = 'fm'))"""
+
+
+def prose(spark, d) -> DataFrame:
+    """A text about every customer, with known places and regions, and fields that some lack."""
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), c("c_nationkey") == c("n_nationkey")).join(table(spark, d, "region"), c("n_regionkey") == c("r_regionkey"))
+    k = c("c_custkey")
+    lines = F.concat_ws(
+        "\n", F.concat(F.lit("seen in "), "n_name"), F.when(k % 3 != 0, F.concat(F.lit("trouble in "), "r_name")), F.when(k % 2 == 0, F.concat(F.lit("cause: "), "c_mktsegment", F.lit(", and more"))),
+        F.when(k % 5 != 0, F.concat(F.lit("measure： M"), (k % 4).cast("string"), F.lit(" / later"))),
+    )
+    return rows.select(k.alias("doc"), lines.alias("text"))
+
+
+def typed_vocabulary(spark, d) -> DataFrame:
+    """Nations as parts, regions as failure modes, two segments as causes."""
+    none = F.array().cast("array<string>")
+    term = lambda rows, kind, key, label, order: rows.select(key.alias("id"), F.lit(kind).alias("type"), label.alias("label"), none.alias("codes"), none.alias("synonyms"), order.cast("long").alias("ord"))
+    nations, regions = table(spark, d, "nation"), table(spark, d, "region")
+    causes = spark.createDataFrame([("AUTOMOBILE", 1), ("BUILDING", 2)], "label string, ord int")
+    return (
+        term(nations, "item", F.concat(F.lit("IN"), "n_nationkey"), c("n_name"), c("n_nationkey"))
+        .unionByName(term(regions, "fm", F.concat(F.lit("R"), "r_regionkey"), c("r_name"), 1000 + c("r_regionkey")))
+        .unionByName(term(causes, "cause", F.concat(F.lit("C_"), "label"), c("label"), 2000 + c("ord")))
+    )
+
+
+def _told(name: str):
+    return F.when(c(name).startswith("AUTO_"), "new").otherwise(c(name)).alias(name)
+
+
+@query(_PROSE + " select distinct * from free")
+def i4_free_text_links(spark, d) -> DataFrame:
+    """What free texts suggest: known names, fields with known or new values, and links to measures where no failure mode is named."""
+    found = ing.free_text_links(prose(spark, d), typed_vocabulary(spark, d), FIELDS)
+    return found.select("doc", _told("src"), "rel", _told("dst")).distinct()
+
+
+@query(_PROSE + """, stated as (select k as doc, 'P' || k % 7 as src, 'HAS_FAILURE' as rel, 'F' || k % 9 as dst from k where k % 4 = 0 union all select k, 'F' || k % 9, 'MITIGATED_BY', 'dry it' from k where k % 4 = 0)
+ select *, 'stated' as way from stated union all select distinct *, 'free text' from free where doc % 4 <> 0""")
+def i10_deck_links_or_prose(spark, d) -> DataFrame:
+    """Decks: every fourth has the lines of the form, the others are prose."""
+    k = c("doc")
+    line = lambda s, n, v: F.struct(F.lit(s).alias("slide"), F.lit(n).alias("line"), v.alias("text"))
+    form = F.array(line(0, 0, F.concat(F.lit("part: P"), (k % 7).cast("string"))), line(0, 1, F.concat(F.lit("issue: F"), (k % 9).cast("string"))), line(1, 0, F.lit("actions")), line(1, 1, F.lit("dry it")))
+    texts = prose(spark, d)
+    lines = texts.select("doc", F.explode(F.when(k % 4 == 0, form).otherwise(F.array(line(0, 0, c("text"))))).alias("e")).select("doc", "e.*")
+    links = office.deck_links(lines, "part:", "issue:", "causes", "actions")
+    found = ing.with_free_text(links, texts, typed_vocabulary(spark, d), FIELDS)
+    return found.select("doc", _told("src"), "rel", _told("dst"), "way").distinct()
+
+
+@query(_PROSE + """, stated as (select k as doc, 'C' || k % 7 as src, 'MITIGATED_BY' as rel, 'A' || k % 9 as dst from k where k % 4 = 1)
+ select *, 'stated' as way from stated union all select distinct *, 'free text' from free where doc % 4 <> 1""")
+def i11_report_links_or_prose(spark, d) -> DataFrame:
+    """Reports: every fourth has keyed paragraphs that give links, the others are prose; paragraphs with keys alone give none."""
+    k = c("doc")
+    texts = prose(spark, d)
+    form = F.array(F.concat(F.lit("why: C"), (k % 7).cast("string")), F.concat(F.lit("done: A"), (k % 9).cast("string")))
+    paragraphs = texts.select("doc", F.posexplode(F.when(k % 4 == 1, form).otherwise(F.split("text", "\n"))).alias("pos", "text"))
+    links = office.report_links(paragraphs, {"item": "what", "fm": "mode", "cause": "why", "action": "done"})
+    found = ing.with_free_text(links, texts, typed_vocabulary(spark, d), FIELDS)
+    return found.select("doc", _told("src"), "rel", _told("dst"), "way").distinct()
+
+
+@query(_PROSE + " select distinct doc, id from m where doc % 4 <> 2 and id <> 'new'")
+def i12_drawing_texts_or_labels(spark, d) -> DataFrame:
+    """Known objects in the texts of drawings of which no label names an object; every fourth has labels."""
+    texts = prose(spark, d)
+    return ing.scanned_where_silent(texts, texts.where("doc % 4 = 2").select("doc"), typed_vocabulary(spark, d))
+
+
 @query(
     """with r as (select 'IP' || l_partkey as item, case when l_linenumber > 1 then 'F' || l_returnflag end as fm, 'C' || l_linenumber as cause, 'IS' || l_suppkey as proj from lineitem)
     select item as src, 'HAS_FAILURE' as rel, fm as dst from r where fm is not null union select fm, 'CAUSED_BY', cause from r where fm is not null union select proj, 'OCCURRED_IN', fm from r where fm is not null"""

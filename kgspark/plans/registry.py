@@ -12,9 +12,11 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its name, with its SQL if there is one."""
+    """Registers a query under its name, with its SQL if there is one; a name can be given once."""
 
     def register(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"query {f.__name__} is registered already")
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql
