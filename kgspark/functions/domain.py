@@ -90,3 +90,14 @@ def shape_similarity(one: str, other: str) -> Column:
         score = score + F.coalesce(parts[name] * SHAPE[name], F.lit(0.0))
         total = total + F.when(parts[name].isNotNull(), SHAPE[name]).otherwise(0.0)
     return F.when(total > 0, F.floor(F.round(score / total * 100 + 0.5, 9)) / 100).otherwise(0.0)
+
+
+# Conditions on shape and light, and what failures and causes they make more frequent.
+MORE_FREQUENT = [("shape", "슬림", "수축|변형"), ("light", "(?i)LED", "방열|발열|열|배광")]
+
+
+def occurrence_boost(shape: Column, light: Column, failure: Column, cause: Column, rules: list[tuple[str, str, str]] = MORE_FREQUENT) -> Column:
+    """One for each rule that a design (shape as an array, light) sets off and a failure mode or its cause meets by label."""
+    text = F.concat_ws(" ", F.coalesce(failure, F.lit("")), F.coalesce(cause, F.lit("")))
+    on = {"shape": F.concat_ws(" ", shape), "light": F.coalesce(light, F.lit(""))}
+    return sum((F.when(on[what].rlike(pattern) & text.rlike(met), 1).otherwise(0) for what, pattern, met in rules), F.lit(0))

@@ -106,3 +106,13 @@ def extraction_summary(links: DataFrame) -> DataFrame:
     """``file, objects, relations`` from asserted links (file, src, rel, dst): distinct objects, links with repeats."""
     ends = links.select("file", F.explode(F.array("src", "dst")).alias("id")).groupBy("file").agg(F.count_distinct("id").alias("objects"))
     return links.groupBy("file").agg(F.count("*").alias("relations")).join(ends, "file")
+
+
+def source_list(sources: DataFrame, links: DataFrame, shown: int = 120) -> DataFrame:
+    """``file, kind, size, preview, objects, relations``: every registered source (file, kind, text) with what was drawn from it.
+
+    links: asserted links (file, src, rel, dst); sources that gave none stay, with zeros.
+    """
+    rows = sources.select("file", "kind", F.length("text").alias("size"), F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, shown).alias("preview"))
+    rows = rows.join(extraction_summary(links), "file", "left")
+    return rows.select("file", "kind", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("preview", F.lit("")).alias("preview"), *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("objects", "relations")))

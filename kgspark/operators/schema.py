@@ -68,3 +68,25 @@ def delete_relation_types(model: Metamodel, asked: DataFrame, edges: DataFrame)
     told = asked.select(*keys).distinct().join(model.relation_types.select(*keys), keys, "left_semi").join(used, keys, "left").withColumn("uses", F.coalesce("uses", F.lit(0)).cast("long"))
     left = model.relation_types.join(told.where("uses = 0").select(*keys), keys, "left_anti").select(*model.relation_types.columns)
     return replace(model, relation_types=left), told
+
+
+def taxonomy(nodes: DataFrame, subtypes: DataFrame, order: list[str], unclassified: str = "미분류") -> DataFrame:
+    """The tree of types, subtypes and objects as rows ``canvas_id, kind, type, st, id, label, n, type_place, st_place``.
+
+    Types stand in the given order, subtypes (canvas_id, type, st, ord) in that of their definition, those without members left out; objects
+    of no defined subtype come last in their type as ``unclassified``.  A type without definitions has its objects right below it.  Objects are
+    sorted by label where they are shown; no order runs through all rows.
+    """
+    place = F.coalesce(*(F.when(F.col("type") == t, i) for i, t in enumerate(order)))
+    rows = nodes.where(F.col("type").isin(order)).select("canvas_id", "id", "type", "label", "st", place.alias("type_place"))
+    defined = subtypes.groupBy("canvas_id", "type").agg(F.lit(True).alias("_defined"))
+    own = subtypes.groupBy("canvas_id", "type", "st").agg(F.min("ord").cast("long").alias("st_place"))
+    rows = rows.join(F.broadcast(own), ["canvas_id", "type", "st"], "left").join(F.broadcast(defined), ["canvas_id", "type"], "left")
+    last = F.lit(2**31 - 1).cast("long")
+    group = F.when(F.col("st_place").isNotNull(), F.col("st")).when(F.col("_defined"), F.lit(unclassified))
+    rows = rows.select("canvas_id", "type", group.alias("st"), "id", "label", "type_place", F.when(F.col("_defined"), F.coalesce("st_place", last)).alias("st_place"))
+    level = lambda kind, *keys: rows.groupBy("canvas_id", *keys).agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
+    groups = level("subtype", "type", "st", "type_place", "st_place").where("st is not null")
+    every = level("root").unionByName(level("type", "type", "type_place"), allowMissingColumns=True).unionByName(groups, allowMissingColumns=True)
+    every = every.unionByName(rows.withColumns({"kind": F.lit("object"), "n": F.lit(1).cast("long")}), allowMissingColumns=True)
+    return every.select("canvas_id", "kind", "type", "st", "id", "label", "n", "type_place", "st_place")

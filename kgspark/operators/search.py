@@ -13,7 +13,7 @@ from kgspark.functions.text import squeezed
 
 from . import vectors as vector_index
 from .gram_index import GramIndex
-from .graph import both_ways, degree, evidence
+from .graph import both_ways, degree, evidence, numbered
 from .phrases import held
 
 # Weights of the fields of a node.
@@ -117,10 +117,22 @@ def object_context(nodes: DataFrame, edges: DataFrame, relations: int = 30, docu
     """``canvas_id, id, context``: numbered relations and documents of every object as text lines."""
     label = nodes.select("canvas_id", F.col("id").alias("other"), F.col("label").alias("name"), "type")
     seen = both_ways(edges).join(label, ["canvas_id", "other"])
-    order = Window.partitionBy("canvas_id", "id", "doc").orderBy(F.desc("dir"), "ord", "other")
-    seen = seen.withColumn("doc", F.col("type") == "doc").withColumn("n", F.row_number().over(order)).where(F.col("n") <= F.when(F.col("doc"), documents).otherwise(relations))
+    place = F.row_number().over(Window.partitionBy("canvas_id", "id").orderBy(F.desc("dir"), "ord", "other"))
+    of = lambda doc, most: seen.where((F.col("type") == "doc") == doc).withColumns({"doc": F.lit(doc), "n": place}).where(F.col("n") <= most)
+    seen = of(True, documents).unionByName(of(False, relations))
     line = F.when(F.col("doc"), F.concat(F.lit("[D "), "n", F.lit("] "), "name")).otherwise(
         F.concat(F.lit("[R "), "n", F.lit("] "), F.when(F.col("dir") == "out", F.concat_ws(" → ", F.lit("this"), "rel", "name")).otherwise(F.concat_ws(" → ", "name", "rel", F.lit("this"))))
     )
     lines = F.transform(F.array_sort(F.collect_list(F.struct("doc", "n", line.alias("l")))), lambda x: x["l"])
     return seen.groupBy("canvas_id", "id").agg(F.array_join(lines, "\n").alias("context"))
+
+
+def catalog(nodes: DataFrame, order: list[str], page: int = 1000) -> DataFrame:
+    """``type_place, type, page, text``: all objects as ``id=label``, in pages of at most ``page``, types in the given order."""
+    rows = nodes.where(F.col("type").isin(order)).select("type", "id", "label", "ord")
+    rows = numbered(rows, ["type"], ["ord", "id"], "n").withColumn("page", F.floor((F.col("n") - 1) / page).cast("int"))
+    entry = F.struct("n", F.concat("id", F.lit("="), "label").alias("e"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]), " | ")
+    place = F.coalesce(*(F.when(F.col("type") == t, i) for i, t in enumerate(order)))
+    pages = rows.groupBy("type", "page").agg(text.alias("text"))
+    return pages.select(place.alias("type_place"), "type", "page", F.concat(F.lit("["), "type", F.lit("] "), "text").alias("text"))

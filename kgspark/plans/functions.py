@@ -210,11 +210,17 @@ def f29_market_words(spark, d) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", domain.holds_any(note, domain.market_words(market)).alias("hit"))
 
 
-@query("select l_orderkey, l_linenumber, least(10, l_linenumber + case when l_returnflag = 'R' then 1 else 0 end + case when l_linestatus = 'O' then 1 else 0 end) as occurrence from lineitem")
+@query(
+    """select o_orderkey, least(10, 9 - o_orderkey % 3 + case when c_mktsegment || ' FORM' like '%BUILDING%' and regexp_matches('F' || o_orderstatus || ' ' || o_orderpriority, 'URGENT|HIGH') then 1 else 0 end
+      + case when c_custkey % 2 = 0 and regexp_matches('F' || o_orderstatus || ' ' || o_orderpriority, 'FO|LOW') then 1 else 0 end) as occurrence from orders join customer on o_custkey = c_custkey"""
+)
 def f31_boosted_occurrence(spark, d) -> DataFrame:
-    """Occurrence raised by one for each condition that meets its cause, at most 10."""
-    boost = F.when(c("l_returnflag").rlike("R"), 1).otherwise(0) + F.when(c("l_linestatus").rlike("O"), 1).otherwise(0)
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.least(F.lit(10), c("l_linenumber") + boost).alias("occurrence"))
+    """Occurrence of an order's trouble, raised by the customer's shape and light where failure or cause meet them, at most 10."""
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), c("o_custkey") == c("c_custkey"))
+    rules = [("shape", "BUILDING", "URGENT|HIGH"), ("light", "(?i)LED", "FO|LOW")]
+    light = F.when(c("c_custkey") % 2 == 0, "led bar")
+    boost = domain.occurrence_boost(F.array("c_mktsegment", F.lit("FORM")), light, F.concat(F.lit("F"), "o_orderstatus"), c("o_orderpriority"), rules)
+    return rows.select("o_orderkey", F.least(F.lit(10), 9 - c("o_orderkey") % 3 + boost).alias("occurrence"))
 
 
 @query("select conv_id, turn, 'From: ' || role || chr(10) || 'Subject: conversation ' || conv_id || chr(10) || chr(10) || text as block from conversations")

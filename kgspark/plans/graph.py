@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kgspark.operators import components as cc
 from kgspark.operators import graph as op
-from kgspark.operators import ingest
+from kgspark.operators import ingest, schema
 from kgspark.operators.lineage import settle
 from kgspark.sources.tables import GRAPH_SQL, graph, table
 from kgspark.sources.tables import edges as all_edges
@@ -320,12 +320,28 @@ def a1_tallies(spark, d) -> DataFrame:
 
 
 @query(g(" select type, coalesce(sub, '(none)') as sub, cast(grouping(type, coalesce(sub, '(none)')) as bigint) as level, count(*) as n from nodes where type <> 'doc' group by rollup (type, coalesce(sub, '(none)'))"))
-def a2_taxonomy(spark, d) -> DataFrame:
+def a2_type_totals(spark, d) -> DataFrame:
     """Counts by type and subtype with subtotals."""
     rows = all_nodes(spark, d).where("type <> 'doc'").select("type", F.coalesce("sub", F.lit("(none)")).alias("sub"))
     return rows.rollup("type", "sub").agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
 
 
+TYPE_ORDER = ["item", "fm", "cause", "action", "reg", "proj", "master", "spec"]  # fixed values: the order of types in trees and catalogs
+
+
+@query(
+    g(""", o as (select * from (values ('item', 0), ('fm', 1), ('cause', 2), ('action', 3), ('reg', 4), ('proj', 5)) t(type, type_place)), defs as (select * from (values ('item', 'PROMO', 0), ('item', 'ECONOMY', 1), ('item', 'UNUSED', 2), ('reg', 'x', 0)) t(type, st, st_place)),
+    r as (select n.id, n.type, n.label, type_place, case when n.type in ('item', 'reg') then coalesce(d.st, '미분류') end as st, case when n.type in ('item', 'reg') then coalesce(d.st_place, 2147483647) end as st_place from nodes n join o using (type) left join defs d on d.type = n.type and d.st = n.sub)
+    select 'root' as kind, null as type, null as st, null as id, null as label, count(*) as n, null as type_place, null as st_place from r union all select 'type', type, null, null, null, count(*), type_place, null from r group by type, type_place
+    union all select 'subtype', type, st, null, null, count(*), type_place, st_place from r where st is not null group by type, st, type_place, st_place union all select 'object', type, st, id, label, 1, type_place, st_place from r""")
+)
+def a2_taxonomy(spark, d) -> DataFrame:
+    """The tree of types, subtypes and objects; two subtypes of parts have members, all else of parts and regions is unclassified."""
+    nodes = all_nodes(spark, d).withColumn("st", F.col("sub"))
+    defs = spark.createDataFrame([("main", "item", "PROMO", 0), ("main", "item", "ECONOMY", 1), ("main", "item", "UNUSED", 2), ("main", "reg", "x", 0)], "canvas_id string, type string, st string, ord int")
+    return schema.taxonomy(nodes, defs, TYPE_ORDER).drop("canvas_id")
+
+
 @query(g(", ev as (select src, dst from edges where rel = 'EVIDENCED_BY'), o as (select a.src as anchor, b.src as id, count(*) as shared from ev a join ev b on a.dst = b.dst and a.src <> b.src where a.src in (select id from nodes where label like 'blue%') group by all) select anchor, id, shared, row_number() over (partition by anchor order by shared desc, id) as place from o qualify place <= 5"))
 def a4_evidence_overlap(spark, d) -> DataFrame:
     """For each anchor the five objects that share most documents with it."""
@@ -390,10 +406,12 @@ def k1_top_by_degree(spark, d) -> DataFrame:
 def k3_focus_caps(spark, d) -> DataFrame:
     """Neighbours shown around a center: at most four of a relation, three documents, and how many are hidden."""
     seen = op.both_ways(all_edges(spark, d)).select(F.col("id").alias("center"), "rel", "other", "ord").where("center like 'F%'")
-    group = Window.partitionBy("center", "rel")
-    most = F.when(F.col("rel") == "EVIDENCED_BY", 3).otherwise(4)
-    rows = seen.withColumns({"place": F.row_number().over(group.orderBy("ord", "other")), "n": F.count("*").over(group)}).where(F.col("place") <= most)
-    return rows.select("center", "rel", "other", "place", F.greatest(F.col("n") - most, F.lit(0)).alias("hidden"))
+    of = ["center", "rel"]
+    place = F.row_number().over(Window.partitionBy(*of).orderBy("ord", "other"))
+    proof = F.col("rel") == "EVIDENCED_BY"
+    shown = seen.where(proof).withColumn("place", place).where("place <= 3").unionByName(seen.where(~proof).withColumn("place", place).where("place <= 4"))
+    rows = shown.join(seen.groupBy(*of).agg(F.count("*").alias("n")), of)
+    return rows.select("center", "rel", "other", "place", F.greatest(F.col("n") - F.when(proof, 3).otherwise(4), F.lit(0)).alias("hidden"))
 
 
 @query(g(" select src, rel, dst, case when rel in ('HAS_FAILURE', 'CAUSED_BY') then 1 when rel = 'SIMILAR' and weight >= 0.8 then 1 when rel = 'SIMILAR' and weight >= 0.6 or rel in ('MITIGATED_BY', 'UNDER_REG') then 2 else 3 end as tier from edges where rel <> 'EVIDENCED_BY'"))

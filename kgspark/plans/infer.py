@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions import domain
@@ -258,13 +258,14 @@ def g21_region_lookup(spark, d) -> DataFrame:
 
 @query(g(_CONCERN + " select 'conditions' as step, count(*) as n from cond union all select 'projects', count(*) from proj union all select 'visits', count(*) from v union all select 'concerns', count(*) from found"))
 def g22_pipeline_log(spark, d) -> DataFrame:
-    """Rows after each step of the inference."""
+    """Rows after each step of the inference, observed while it runs once."""
     gr = graph(spark, d)
-    cond = conditions(spark, d)
-    projects = inf.scored_projects(cond, gr.nodes, gr.edges)
-    seen = inf.visits(projects, gr.edges)
-    counted = lambda df, step: df.agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), "n")
-    return counted(cond, "conditions").unionByName(counted(projects, "projects")).unionByName(counted(seen, "visits")).unionByName(counted(seen.select("cid", "fm").distinct(), "concerns"))
+    cond = settle(conditions(spark, d))
+    steps = {name: Observation(name) for name in ("projects", "visits", "concerns")}
+    watched = lambda df, name: df.observe(steps[name], F.count(F.lit(1)).alias("n"))
+    seen = watched(inf.visits(watched(inf.scored_projects(cond, gr.nodes, gr.edges), "projects"), gr.edges), "visits")
+    watched(seen.select("cid", "fm").distinct(), "concerns").write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([("conditions", cond.count()), *((name, o.get["n"]) for name, o in steps.items())], "step string, n long")
 
 
 @query("select event_type as metric, round(avg(case when event_id % 7 <> 0 then value end), 6) as mean, count(*) filter (where event_id % 7 = 0) as failed, count(*) as questions from events group by event_type")

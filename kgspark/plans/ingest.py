@@ -302,10 +302,19 @@ def s12_source_contents(spark, d) -> DataFrame:
     return src.contents(docs.where("file % 3 <> 0"), docs.where("file % 2 = 0").withColumn("content", F.concat(F.lit("new"), c("file").cast("string"))), docs)
 
 
-@query("select lang as file, count(*) as objects, count(distinct source) as kinds, max(n_chars) as longest from documents group by lang")
+@query(
+    """with docs as (select count(*) as n from documents), l as (select l_orderkey % n as file, 'IP' || l_partkey as src, 'IS' || l_suppkey as dst from lineitem, docs where l_orderkey % 3 <> 0),
+    o as (select file, count(distinct x) as objects from (select file, src as x from l union all select file, dst from l) group by file), r as (select file, count(*) as relations from l group by file)
+    select doc_id as file, lang as kind, length(coalesce(text, '')) as size, coalesce(substr(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), 1, 120), '') as preview, coalesce(objects, 0) as objects, coalesce(relations, 0) as relations
+    from documents left join o on o.file = doc_id left join r on r.file = doc_id"""
+)
 def s13_source_summary(spark, d) -> DataFrame:
-    """What each source brought; also the extraction summary."""
-    return table(spark, d, "documents").groupBy(c("lang").alias("file")).agg(F.count("*").alias("objects"), F.count_distinct("source").alias("kinds"), F.max("n_chars").alias("longest"))
+    """Every source with the summary of what was drawn from it; line items stand for links that the documents assert."""
+    docs = table(spark, d, "documents")
+    n = docs.agg(F.count("*").alias("n"))
+    links = table(spark, d, "lineitem").where("l_orderkey % 3 <> 0").join(F.broadcast(n), F.lit(True))
+    links = links.select((c("l_orderkey") % c("n")).alias("file"), F.concat(F.lit("IP"), "l_partkey").alias("src"), F.lit("MADE_BY").alias("rel"), F.concat(F.lit("IS"), "l_suppkey").alias("dst"))
+    return office.source_list(docs.select(c("doc_id").alias("file"), c("lang").alias("kind"), "text"), links)
 
 
 def new_folder(spark, name: str) -> str:

@@ -12,7 +12,7 @@ from kgspark.sources.tables import edges as all_edges
 from kgspark.sources.tables import nodes as all_nodes
 
 from .functions import SYNONYMS
-from .graph import g
+from .graph import TYPE_ORDER, g
 from .registry import query
 
 QUESTIONS = [("q1", " Blue   ring"), ("q2", "brand#2"), ("q3", "NATION_1"), ("q4", "source1"), ("q5", " "), ("q6", "economy")]
@@ -162,12 +162,13 @@ def t14_graph_retrieval(spark, d) -> DataFrame:
     return entry.unionByName(around).distinct()
 
 
-@query(g(" select type, string_agg(label, ', ' order by ord) as labels from (select type, label, ord, row_number() over (partition by type order by ord) as place from nodes where type <> 'doc') where place <= 40 group by type"))
+@query(
+    g(""", o as (select * from (values ('item', 0), ('fm', 1), ('cause', 2), ('action', 3), ('reg', 4), ('proj', 5)) t(type, type_place)), r as (select type, type_place, id, label, ord, row_number() over (partition by type order by ord, id) as n from nodes join o using (type))
+    select type_place, type, page, '[' || type || '] ' || t as text from (select type_place, type, ((n - 1) // 1000)::int as page, string_agg(id || '=' || label, ' | ' order by n) as t from r group by 1, 2, 3)""")
+)
 def t16_catalog(spark, d) -> DataFrame:
-    """First forty labels of each type as text."""
-    place = F.row_number().over(Window.partitionBy("type").orderBy("ord"))
-    rows = all_nodes(spark, d).where("type <> 'doc'").select("type", "label", "ord").withColumn("place", place).where("place <= 40")
-    return rows.groupBy("type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "label"))), lambda x: x["label"]), ", ").alias("labels"))
+    """Every object with its id, in pages of a thousand by type."""
+    return search.catalog(all_nodes(spark, d), TYPE_ORDER)
 
 
 _URI = "'{0}:' || replace(replace(url_encode({1}), '+', '%20'), '~', '%7E')"
