@@ -101,3 +101,11 @@ def occurrence_boost(shape: Column, light: Column, failure: Column, cause: Colum
     text = F.concat_ws(" ", F.coalesce(failure, F.lit("")), F.coalesce(cause, F.lit("")))
     on = {"shape": F.concat_ws(" ", shape), "light": F.coalesce(light, F.lit(""))}
     return sum((F.when(on[what].rlike(pattern) & text.rlike(met), 1).otherwise(0) for what, pattern, met in rules), F.lit(0))
+
+
+def matched_features(one: str, other: str) -> Column:
+    """Names of the features in which two feature structs agree wholly, the weightiest first."""
+    a, b = (lambda n: F.col(f"{one}.{n}")), (lambda n: F.col(f"{other}.{n}"))
+    same = {"vent": a("vent_count") == b("vent_count")}
+    same |= {n: (grade_similarity if n == "connector" else string_similarity)(a(n), b(n)) == 1 for n in ("seal", "housing", "connector", "gasket", "lens")}
+    return F.array_compact(F.array(*(F.when(cond, name) for name, cond in same.items())))

@@ -123,6 +123,13 @@ def similar_projects(drawn: DataFrame, projects: DataFrame, top: int = 4, block:
     return out.withColumn("place", place).where(F.col("place") <= top).select("id", "other", "score", "place")
 
 
+def with_matches(found: DataFrame, projects: DataFrame) -> DataFrame:
+    """``found`` (id, other, ...) with ``matched``, the features in which the two projects (id, features) agree."""
+    own = projects.select("id", F.col("features").alias("_f"))
+    like = projects.select(F.col("id").alias("other"), F.col("features").alias("_h"))
+    return found.join(own, "id").join(like, "other").withColumn("matched", domain.matched_features("_f", "_h")).drop("_f", "_h")
+
+
 def similar_edges(found: DataFrame, least: float = 0.3) -> DataFrame:
     """``src, rel, dst, weight``: links to the similar projects above ``least``, to be merged into the graph."""
     return found.where(F.col("score") > least).select(F.col("id").alias("src"), F.lit("SIMILAR").alias("rel"), F.col("other").alias("dst"), F.col("score").alias("weight"))

@@ -96,6 +96,27 @@ def k_hop(seeds: DataFrame, edges: DataFrame, depth: int, settle=lambda df: df)
     return seen
 
 
+def shortest_ways(seeds: DataFrame, edges: DataFrame, depth: int, settle=lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """Nodes ``canvas_id, seed, id, hops, path`` within ``depth`` undirected steps, and the edges ``canvas_id, seed, src, rel, dst, hops`` of all shortest ways to them.
+
+    Each level joins only the newest nodes and keeps every edge that leads to a new one.  Of several shortest ways a node's ``path`` is the first
+    by the ids along it; an edge's ``hops`` is the distance of its farther end.
+    """
+    links = settle(both_ways(edges).where("id <> other").select("canvas_id", "id", "other", "rel", "dir").distinct())
+    key = ["canvas_id", "seed", "id"]
+    frontier = seeds.select("canvas_id", F.col("id").alias("seed"), "id").distinct().select(*key, F.lit(0).alias("hops"), F.array("id").alias("path"))
+    seen, ways = frontier, None
+    for hop in range(1, depth + 1):
+        step = frontier.select("canvas_id", "seed", F.col("id").alias("last"), "path").join(links.withColumnRenamed("id", "last"), ["canvas_id", "last"]).withColumnRenamed("other", "id")
+        new = settle(step.join(seen.select(*key), key, "left_anti"))
+        out = F.col("dir") == "out"
+        way = new.select("canvas_id", "seed", F.when(out, F.col("last")).otherwise(F.col("id")).alias("src"), "rel", F.when(out, F.col("id")).otherwise(F.col("last")).alias("dst"), F.lit(hop).alias("hops"))
+        ways = way if ways is None else ways.unionByName(way)
+        frontier = settle(new.groupBy(*key).agg(F.min("path").alias("path")).select(*key, F.lit(hop).alias("hops"), F.concat("path", F.array("id")).alias("path")))
+        seen = seen.unionByName(frontier)
+    return seen, ways if ways is not None else links.limit(0).selectExpr("canvas_id", "id as seed", "id as src", "rel", "other as dst", "0 as hops")
+
+
 def hop_edges(reached: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges of which both ends are within reach of a seed: ``canvas_id, seed, src, rel, dst``."""
     one = reached.select("canvas_id", "seed", F.col("id").alias("src"))

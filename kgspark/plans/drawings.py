@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.operators import drawings as dw
+from kgspark.operators import questions as qs
 from kgspark.sources.tables import graph, table
 
 from .graph import g
@@ -103,12 +104,15 @@ def shaped(spark, d) -> DataFrame:
     return table(spark, d, "customer").select(F.concat(F.lit("PJ"), k).alias("id"), features.alias("features"), k.alias("ord"))
 
 
-@query(
-    g(""", s as (select c_custkey as k, c_mktsegment as seg, c_nationkey as nat from customer), p as (select a.k, b.k as o,
+_LIKE = """, s as (select c_custkey as k, c_mktsegment as seg, c_nationkey as nat from customer), p as (select a.k, b.k as o,
       (case abs(a.k % 4 - b.k % 4) when 0 then 1.0 when 1 then 0.4 else 0.0 end * 0.6 + case when a.k % 2 = b.k % 2 then 0.4 else 0.0 end) * 0.25 as w1, case when a.seg = b.seg then 0.2 else 0.0 end as w2,
       case when a.nat = b.nat then 0.2 when contains('H' || a.nat, 'H' || b.nat) or contains('H' || b.nat, 'H' || a.nat) then 0.1 else 0.0 end as w3, case when a.k % 9 = b.k % 9 then 0.15 when abs(a.k % 9 - b.k % 9) <= 1 then 0.075 else 0.0 end as w4,
       case when a.k % 3 = 0 and b.k % 3 = 0 then 0.1 else 0.0 end as g5, case when a.k % 3 = 0 and b.k % 3 = 0 and a.seg = b.seg then 0.1 else 0.0 end as w5, case when a.k % 2 = b.k % 2 then 0.1 else 0.0 end as w6 from s a join s b on a.k <> b.k where a.k % 100 = 0),
-    r as (select *, floor(round(((w1 + w2 + w3 + w4 + w5 + w6) / (0.9 + g5))::double * 100 + 0.5, 9)) / 100 as score from p), t as (select k, o, score, row_number() over (partition by k order by score desc, o) as place from r where score > 0 qualify place <= 4),
+    r as (select *, floor(round(((w1 + w2 + w3 + w4 + w5 + w6) / (0.9 + g5))::double * 100 + 0.5, 9)) / 100 as score from p), t as (select k, o, score, row_number() over (partition by k order by score desc, o) as place from r where score > 0 qualify place <= 4)"""
+
+
+@query(
+    g("""""" + _LIKE + """,
     h as (select src, dst as fm, row_number() over (partition by src order by case when substr(dst, 4, 1) = '1' then 0 else 1 end, ord) as n from edges where rel = 'OCCURRED_IN')
     select 'PJ' || k as id, 'PJ' || o as other, score, place, score > 0.3 as linked, coalesce((select list(fm order by n) from h where src = 'PJ' || o and n <= 3), []) as fms from t""")
 )
@@ -120,3 +124,44 @@ def g8_similar_history(spark, d) -> DataFrame:
     past = dw.histories(found.select(c("other").alias("id")), gr.nodes, gr.edges, F.substring("label", 4, 1) == "1").withColumnRenamed("id", "other")
     rows = found.join(links, ["id", "other"], "left").join(past, "other", "left")
     return rows.select("id", "other", "score", "place", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("fms", F.array().cast("array<string>")).alias("fms"))
+
+
+@query(
+    """with m as (select conv_id, turn, lower(trim(text)) as qn, regexp_replace(lower(text), '\\s+', '', 'g') as qns from conversations),
+    men as (select c_custkey as ord, c_name as label, c_mktsegment as symptom, 'x' || c_nationkey as detail, c_custkey % 3 <> 2 as recorded from customer where c_custkey % 50 = 1),
+    first as (select *, row_number() over (order by recorded, ord) as n from men), l as (select string_agg(label || ' "' || symptom || '" ' || detail, ' · ' order by n) as listed from first where n <= 3), g as (select * from first where n = 1)
+    select conv_id, turn, '네 — 커뮤니티 언급이 있습니다: ' || listed || '. ' || case when not g.recorded then '주목할 모순: **' || g.label || '**는 FMEA 기록상 결로·습기 이력이 없는데 커뮤니티에 "' || g.symptom || '" 언급(' || g.detail || ')이 있습니다 — 내부 기록과 실사용 간 괴리로, 필드 신호가 품질 데이터에 아직 반영되지 않았을 가능성이 있습니다.'
+      else '언급된 프로젝트들은 모두 FMEA 결로 이력과 정합합니다.' end as answer, '의도: 소비자 반응 교차(내부 기록 대조) · 언급 ' || (select count(*) from men) || '건' as interpretation
+    from m, l, g where qns <> '' and regexp_matches(qns, 'the')"""
+)
+def t10_consumer_answers(spark, d) -> DataFrame:
+    """What consumers mention, for every turn that asks ("the" stands for it)."""
+    turns = table(spark, d, "conversations").select(F.lit("main").alias("canvas_id"), F.struct("conv_id", "turn").alias("qid"), c("text").alias("q"))
+    k = c("c_custkey")
+    mentions = table(spark, d, "customer").where(k % 50 == 1).select(
+        F.lit("main").alias("canvas_id"), c("c_name").alias("label"), c("c_mktsegment").alias("symptom"), F.concat(F.lit("x"), c("c_nationkey").cast("string")).alias("detail"), (k % 3 != 2).alias("recorded"), k.alias("ord")
+    )
+    found = qs.consumer_answers(qs.asking(turns, "the"), mentions)
+    return found.select("qid.conv_id", "qid.turn", "answer", "interpretation")
+
+
+@query(
+    g(_LIKE + """, top as (select *, count(*) over (partition by k) as candidates from t where place <= 3 qualify place = 1),
+    q as (select conv_id, turn, conv_id * 100 % (select max(c_custkey) // 100 * 100 + 100 from customer) as k, regexp_matches(lower(text), 'and') as wet from conversations where regexp_matches(regexp_replace(lower(text), '\\s+', '', 'g'), 'the')),
+    st as (select src, dst, row_number() over (partition by src order by ord) as n from edges where rel = 'OCCURRED_IN'), h as (select src, string_agg(dst, ', ' order by n) filter (where n <= 3) as firsts, arg_min(dst, n) filter (where dst like '%1') as damp from st group by src),
+    x as (select a.k as ak, b.k as bk, list_filter([case when a.k % 4 = b.k % 4 then 'vent' end, case when a.seg = b.seg then 'seal' end, case when a.nat = b.nat then 'housing' end, case when a.k % 9 = b.k % 9 then 'connector' end, case when a.k % 3 = 0 and b.k % 3 = 0 and a.seg = b.seg then 'gasket' end, case when a.k % 2 = b.k % 2 then 'lens' end], lambda v: v is not null) as m from top join s a on a.k = top.k join s b on b.k = top.o)
+    select conv_id, turn, rtrim('[기준: ' || na.label || ' 도면] 네 — 형상 기준 ' || floor(round(score * 100 + 0.5, 9))::int || '% 유사한 ' || nb.label || '가 있습니다. 일치: ' || array_to_string(m[1:3], ' · ') || '. '
+      || case when wet then case when damp is not null then '해당 프로젝트에 **' || damp || '** 발생 이력이 있습니다.' else '해당 프로젝트에 습기 계열 이력은 확인되지 않습니다.' end when firsts is not null then '발생 이력: ' || firsts || '.' else '' end) as answer,
+      '의도: 형상 유사 탐색 · 기준: ' || na.label || '(도면) · 후보 ' || candidates || '건' as interpretation
+    from q join top on top.k = q.k join x on x.ak = top.k join nodes na on na.id = 'PJ' || top.k join nodes nb on nb.id = 'PJ' || top.o left join h on h.src = 'PJ' || top.o""")
+)
+def t10_shape_answers(spark, d) -> DataFrame:
+    """The project most like a drawing, for every turn that asks; every hundredth project is one, failure modes of the first kind stand for moisture."""
+    gr, rows = graph(spark, d), shaped(spark, d)
+    turns = table(spark, d, "conversations").select(F.lit("main").alias("canvas_id"), F.struct("conv_id", "turn").alias("qid"), c("text").alias("q"))
+    last = rows.agg((F.floor(F.max("ord") / 100) * 100 + 100).alias("m"))
+    asked = qs.asking(turns, "the")
+    bases = asked.join(F.broadcast(last), F.lit(True)).select("canvas_id", "qid", F.concat(F.lit("PJ"), c("qid.conv_id") * 100 % c("m")).alias("id"))
+    found = dw.with_matches(dw.similar_projects(rows.where("ord % 100 = 0"), rows), rows)
+    answers = qs.shape_answers(asked, bases, found, gr.nodes, gr.edges, moist="1$", asks_moist="and")
+    return answers.select("qid.conv_id", "qid.turn", "answer", "interpretation")

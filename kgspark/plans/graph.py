@@ -268,6 +268,34 @@ def g2_k_hop(spark, d) -> DataFrame:
     return op.k_hop(gr.nodes.where("type = 'action'"), gr.edges, 2, settle)
 
 
+_WAYS = """, links as (select distinct src as a, dst as b, src, rel, dst from edges where src <> dst union select dst, src, src, rel, dst from edges where src <> dst),
+    h0 as (select id as seed, id, [id] as path from nodes where type = 'reg'),
+    s1 as (select seed, a, b, path, src, rel, dst from h0 join links on a = id where b <> seed), h1 as (select seed, b as id, list_append(min(path), b) as path from s1 group by seed, b),
+    s2 as (select seed, a, b, path, src, rel, dst from h1 join links on a = id where (seed, b) not in (select seed, id from h0 union all select seed, id from h1)), h2 as (select seed, b as id, list_append(min(path), b) as path from s2 group by seed, b)"""
+
+
+@query(g(_WAYS + " select seed, id, 0 as hops, path from h0 union all select seed, id, 1, path from h1 union all select seed, id, 2, path from h2"))
+def g2_paths(spark, d) -> DataFrame:
+    """Everything within two steps of each region, with one shortest path."""
+    gr = graph(spark, d)
+    return op.shortest_ways(gr.nodes.where("type = 'reg'"), gr.edges, 2, settle)[0].drop("canvas_id")
+
+
+@query(g(_WAYS + " select seed, src, rel, dst, 1 as hops from s1 union all select seed, src, rel, dst, 2 from s2"))
+def g2_shortest_ways(spark, d) -> DataFrame:
+    """The edges of all shortest ways to them."""
+    gr = graph(spark, d)
+    return op.shortest_ways(gr.nodes.where("type = 'reg'"), gr.edges, 2, settle)[1].drop("canvas_id")
+
+
+@query(g(_WAYS + ", r as (select seed, id from h0 union all select seed, id from h1) select x.seed, e.src, e.rel, e.dst from r x join edges e on e.src = x.id join r y on y.seed = x.seed and y.id = e.dst"))
+def g2_subgraph(spark, d) -> DataFrame:
+    """All edges among what is one step from each region."""
+    gr = graph(spark, d)
+    reached = op.shortest_ways(gr.nodes.where("type = 'reg'"), gr.edges, 1, settle)[0]
+    return op.hop_edges(reached, gr.edges).drop("canvas_id")
+
+
 @query(
     g(""" select canvas_id, id, label, type, case when type = 'doc' then 'document' else 'entity' end as kind,
     (select count(*) from edges where rel = 'EVIDENCED_BY' and dst = id) as mentions from nodes""")
