@@ -3,8 +3,8 @@
 A change has a kind (insert, delete, revise), the row's source, language and tokenizer version, its count, and for a
 revision the count it replaces.  A batch of changes is summed to one signed row per group and committed under
 its batch id.  A commit adds these deltas to the running totals, after taking away those of an earlier commit
-of the same id, so a repeated or resumed batch counts once; its work grows with the batch and the number of groups, not
-with the number of batches.
+of the same id, so a repeated or resumed batch counts once; its work grows with the batch and the number of groups.  Of
+earlier batches it reads no counts, only the log, which has one small row each.
 
 Nothing is overwritten: deltas and new totals are written to folders of their own, and the commit is the one row appended to
 the log that names them.  A job that dies before leaves the last totals in force, and its batch can be sent again.  There
@@ -75,8 +75,10 @@ class Rollup:
     def _log(self) -> DataFrame:
         try:
             return self.spark.read.schema(self.LOG).parquet(f"{self.path}/log")
-        except AnalysisException:  # nothing is committed yet
-            return self.spark.createDataFrame([], self.LOG)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self.LOG)  # nothing is committed yet
 
     def _groups(self, folder: str | None) -> DataFrame:
         schema = "source string, lang string, tokenizer string, documents long, tokens long"

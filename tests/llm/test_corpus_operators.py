@@ -309,6 +309,25 @@ def test_rollup_is_idempotent(spark, tmp_path):
     assert ordered(rollup.totals(), "source", "lang", "tokenizer", "documents", "tokens") == [("a", "en", "t", 1, 5), (None, None, "t", 1, 0)]
 
 
+def test_rollup_does_not_take_a_broken_log_for_an_empty_one(spark, tmp_path):
+    rollup = token_counts.Rollup(spark, str(tmp_path / "broken"))
+    change = spark.createDataFrame([("insert", "a", "en", "words-1", 5, 0)], "kind string, source string, lang string, tokenizer string, tokens long, old_tokens long")
+    rollup.commit(0, change)
+    for file in (tmp_path / "broken" / "log").glob("*.parquet"):
+        file.write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        rollup.commit(1, change)
+    with pytest.raises(Exception):
+        rollup.totals().collect()
+
+
+def test_rollup_of_no_documents(spark, tmp_path, empty):
+    rollup = token_counts.Rollup(spark, str(tmp_path / "none"))
+    counted = token_counts.counted(empty).select(F.lit("insert").alias("kind"), "source", "lang", "tokenizer", "tokens", F.lit(0).cast("long").alias("old_tokens"))
+    rollup.commit(0, counted)
+    assert rollup.totals().count() == 0
+
+
 def test_rollup_as_streaming_sink(spark, tmp_path, docs):
     counted = token_counts.counted(docs).select(F.lit("insert").alias("kind"), "source", "lang", "tokenizer", "tokens", F.lit(0).cast("long").alias("old_tokens"))
     counted.repartition(3).write.parquet(str(tmp_path / "in"))
