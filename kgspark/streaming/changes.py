@@ -45,6 +45,28 @@ def first_wins(stream: DataFrame, keys: list[str], time: str, delay: str) -> Dat
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def operation_counts(log: DataFrame, time: str = "at", width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Entries of a change log by operation and time window; late entries count until the watermark has passed, then the window is final and leaves the state."""
-    return log.withWatermark(time, delay).groupBy(F.window(time, width), "op").agg(F.count("*").alias("entries")).select(F.col("window.start").alias("start"), "op", "entries")
+def operation_counts(log: DataFrame, time: str = "at", width: str = "1 hour") -> DataFrame:
+    """Entries of a change log by operation and time window; entries without a time are one window of their own, which has no start."""
+    undated = F.col(time).isNull()
+    filled = F.coalesce(time, F.lit("1970-01-01").cast(log.schema[time].dataType))  # ``window`` drops rows without a time
+    found = log.groupBy(F.window(filled, width), undated.alias("undated"), "op").agg(F.count("*").alias("entries"))
+    return found.select(F.when(~F.col("undated"), F.col("window.start")).alias("start"), "op", "entries")
+
+
+class LogCounts:
+    """``operation_counts`` of a stream, kept as Parquet in one folder for each micro-batch.
+
+    A batch adds the counts of its own entries, which are summed when read.  So every entry counts, however late it comes and though its
+    window is not over; no state is held between batches, and a replayed batch replaces just its own folder.
+    """
+
+    def __init__(self, spark, path: str, time_type: str = "timestamp", width: str = "1 hour"):
+        self.spark, self.path, self.width = spark, path.rstrip("/"), width
+        self.schema = f"start {time_type}, op string, entries long, batch_id long"
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path).groupBy("start", "op").agg(F.sum("entries").alias("entries"))
+
+    def add(self) -> Callable[[DataFrame, int], None]:
+        """Sink for ``foreachBatch``: adds the counts of a batch of rows (at, op)."""
+        return lambda batch, batch_id: operation_counts(batch, width=self.width).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
