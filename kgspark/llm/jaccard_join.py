@@ -2,8 +2,8 @@
 
 Every class of equal texts has one signature of ``trees * DEPTH`` minimum hashes of its word 5-grams.  Each tree
 is the table of one slice of the signatures in sorted order, a prefix trie.  Two texts are candidates if their slices share
-a long enough prefix in some tree.  How long is found by measurement: starting from whole slices, the prefix is
-shortened until pairs at the threshold, made for a bounded sample of the corpus' own set sizes, meet in some tree with the
+a long enough prefix in some tree.  How long follows from the set sizes of all texts: starting from whole slices, the prefix is
+shortened until the least similar pair from the threshold on that any of them can be part of meets in some tree with the
 target probability (``measured_depth``).  Texts with so few grams that only an equal set is similar enough keep whole slices.
 
 * In a run of at most ``SMALL`` texts with a common prefix the sorted rows are compared with their next neighbours.  A pair
@@ -22,6 +22,7 @@ are alike; repeated rows are rows of their own; an empty table gives no rows; ex
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,10 +41,10 @@ _MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, TREES * DEPTH, dtyp
 
 def least_similar(size: int, threshold: float) -> tuple[int, int]:
     """How many members to take from a set of ``size`` and how many new ones to add for the least similarity from the threshold on."""
-    slack = 1 - threshold + 1e-9
-    swapped = int(size * slack / (1 + threshold))
-    ways = [(swapped, swapped), (int(size * slack), 0), (0, int(size * slack / threshold))]
-    return min(ways, key=lambda w: (size - w[0]) / (size + w[1]))
+    shared = np.arange(math.ceil(size * threshold - 1e-9), size + 1)
+    union = np.floor(shared / threshold + 1e-9).astype(np.int64)  # the largest for each number of shared members
+    best = np.argmin(shared / union)
+    return size - int(shared[best]), int(union[best]) - size
 
 
 def minima(grams: np.ndarray) -> np.ndarray:
@@ -57,33 +58,23 @@ def shared_prefix(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.logical_and.accumulate(same, axis=2).sum(axis=2)
 
 
-def measured_depth(sizes: DataFrame, threshold: float, target: float, sample: int = 2048, pairs: int = 4) -> int:
-    """The longest prefix at which measured pairs at the threshold meet in some tree with probability ``target``.
+def measured_depth(sizes: DataFrame, threshold: float, target: float) -> int:
+    """The longest prefix at which any pair at least as similar as the threshold meets in some tree with probability ``target`` (1 if none is short enough).
 
-    sizes: ``key, grams`` of the texts.  For each of at most ``sample`` of them, those with the smallest hash of their key,
-    ``pairs`` pairs of random sets of its size and least similarity are made and their longest common prefix is taken.  Two
-    standard deviations are allowed for; sizes of which only equal sets are similar enough are left out.
+    sizes: ``key, grams`` of the texts.  Two sets have a minimum in common with a probability that is their similarity, so it is
+    the least similarity that a text of each size can have that decides, over all texts; sizes of which only equal sets
+    are similar enough are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for key, size in zip(batch["key"].to_pylist(), batch["grams"].to_pylist()):
-                taken, added = least_similar(size, threshold)
-                random = np.random.default_rng(list(key))
-                for _ in range(pairs if taken or added else 0):
-                    grams = random.integers(0, 1 << 63, size + added, dtype=np.uint64) << np.uint64(1)
-                    one, other = minima(grams[:size]), minima(grams[taken:])
-                    out.append(int(shared_prefix(one[None], other[None]).max()))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32())], names=["depth"])
-
-    some = sizes.orderBy(F.xxhash64("key"), "key").limit(sample).repartition(16, "key")
-    met = dict(some.mapInArrow(run, "depth int").groupBy("depth").count().collect())  # DEPTH + 1 rows at most
-    total, depth = sum(met.values()), DEPTH
-    while depth > 1:
-        missed = sum(n for d, n in met.items() if d < depth)
-        if missed + 2 * missed**0.5 <= (1 - target) * total:
-            break
+            ways = [(size, *least_similar(size, threshold)) for size in batch["grams"].to_pylist()]
+            found = [(size - taken) / (size + added) for size, taken, added in ways if taken or added]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64())], names=["similarity"])
+
+    least = sizes.select("grams").distinct().mapInArrow(run, "similarity double").agg(F.min("similarity")).first()[0]
+    depth = DEPTH
+    while least is not None and depth > 1 and (1 - least**depth) ** TREES > 1 - target:
         depth -= 1
     return depth
 
