@@ -58,19 +58,25 @@ def table_rows(rows: Column, most: int = 800, joiner: str = " │ ") -> Column:
     return F.when(head.isNull(), empty).when(F.size(lines) == 0, alone).otherwise(packed)
 
 
-def chunk_blocks(blocks: DataFrame, most: int = 800) -> DataFrame:
-    """``file, seq, block, text`` from blocks (file, block_no, block, lines, rows); rows, where there are any, win over lines."""
+def chunk_blocks(blocks: DataFrame, most: int = 800, blank: bool = False) -> DataFrame:
+    """``file, seq, block, text`` from blocks (file, block_no, block, lines, rows); rows, where there are any, win over lines.
+
+    With ``blank`` a block that gives no chunk stays as one row without text.
+    """
     pieces = F.when(F.size("rows") > 0, table_rows(F.col("rows"), most)).otherwise(prose(F.col("lines"), most))
-    each = blocks.select("file", "block_no", "block", F.posexplode(pieces).alias("i", "text"))
+    each = blocks.select("file", "block_no", "block", (F.posexplode_outer if blank else F.posexplode)(pieces).alias("i", "text"))
     order = Window.partitionBy("file").orderBy("block_no", "i")
     return each.select("file", (F.row_number().over(order) - 1).alias("seq"), "block", "text")
 
 
-def backfill(docs: DataFrame, chunks: DataFrame, skip: str = r"(?i)[.]dxf$", most: int = 800) -> DataFrame:
-    """Chunks of the documents (file, text) that have none yet, drawings left out."""
-    todo = docs.where(~F.col("file").rlike(skip)).join(chunks.select("file").distinct(), "file", "left_anti")
+def backfill(docs: DataFrame, chunks: DataFrame, skip: str = r"(?i)[.]dxf$", most: int = 800, blank: bool = False) -> DataFrame:
+    """Chunks of the documents (file, text) that have none yet, drawings and those without a text left out.
+
+    A text of blanks gives no chunk, so its document keeps having none; with ``blank`` it stays as one row without text.
+    """
+    todo = docs.where(~F.col("file").rlike(skip) & F.col("text").isNotNull()).join(chunks.select("file").distinct(), "file", "left_anti")
     rows = F.array().cast("array<array<string>>")
-    return chunk_blocks(todo.select("file", F.lit(0).alias("block_no"), F.lit("text").alias("block"), F.split("text", "\n").alias("lines"), rows.alias("rows")), most)
+    return chunk_blocks(todo.select("file", F.lit(0).alias("block_no"), F.lit("text").alias("block"), F.split("text", "\n").alias("lines"), rows.alias("rows")), most, blank)
 
 
 def capped_lines(lines: DataFrame, most: int) -> DataFrame:

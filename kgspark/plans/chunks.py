@@ -53,10 +53,10 @@ def t2_table_chunks(spark, d) -> DataFrame:
 
 @query("select doc_id from documents where not contains(text, '|') and doc_id % 3 <> 0")
 def t4_chunk_backlog(spark, d) -> DataFrame:
-    """Documents that still need chunks: those without any, drawings left out."""
-    docs = table(spark, d, "documents").select("doc_id", F.concat("doc_id", F.when(F.col("text").contains("|"), ".dxf").otherwise(".txt")).alias("file"), "text")
+    """Documents that still need chunks: those without any, drawings left out; a text of blanks never gets one and so stays."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.concat("doc_id", F.when(F.col("text").contains("|"), ".dxf").otherwise(".txt")).alias("file"), "text")
     done = docs.where("doc_id % 3 = 0").select("file")
-    return docs.join(ch.backfill(docs, done).select("file"), "file", "left_semi").select("doc_id")
+    return docs.join(ch.backfill(docs, done, blank=True).select("file"), "file", "left_semi").select("doc_id")
 
 
 @query(
