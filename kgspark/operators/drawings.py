@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kgspark.functions import domain
 
 from .graph import first_per_key
-from .lineage import in_blocks
+from .shapes import most_alike
 
 # Keys of shape features, headers of a parts list, and the words and limits of the rules.
 FEATURES = ("하우징", "벤트 홀", "벤트", "실링", "개스킷 소재", "개스킷", "커넥터", "렌즈", "결로 방지", "드레인")
@@ -108,19 +108,13 @@ def risks(texts: DataFrame, pairs: DataFrame, markets: DataFrame) -> DataFrame:
     return expand.unionByName(found(near, "vent-heat", "주의", F.col("names"))).unionByName(graded).unionByName(closed)
 
 
-def similar_projects(drawn: DataFrame, projects: DataFrame, top: int = 4, block: int = 1000) -> DataFrame:
+def similar_projects(drawn: DataFrame, projects: DataFrame, top: int = 4) -> DataFrame:
     """``id, other, score, place``: the projects (id, features, ord) whose shape is most like that of each drawing (id, features).
 
-    The drawings are a query set against all projects, in blocks that go to all tasks; each task's pairs are ranked where they stand.
+    The drawings are a query set against all projects; projects of one shape are compared once.
     """
-    asked = drawn.select("id", F.col("features").alias("f"))
-    other = projects.select(F.col("id").alias("other"), F.col("features").alias("h"), "ord")
-    out = None
-    for part in in_blocks(asked, "id", block):
-        pairs = other.join(part, F.col("id") != F.col("other")).select("id", "other", "ord", domain.shape_similarity("f", "h").alias("score")).where("score > 0")
-        out = pairs if out is None else out.unionByName(pairs)
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "ord"))
-    return out.withColumn("place", place).where(F.col("place") <= top).select("id", "other", "score", "place")
+    one = lambda rows: rows.withColumn("kind", F.lit(""))
+    return most_alike(one(drawn), one(projects), top).select("id", "other", "score", "place")
 
 
 def with_matches(found: DataFrame, projects: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kgspark.functions import domain
-from kgspark.operators import shapes
+from kgspark.operators import drawings, shapes
 
 SCHEMA = "id string, kind string, features struct<vent_count:int,vent_layout:string,seal:string,housing:string,connector:string,gasket:string,lens:string>, ord long"
 
@@ -39,3 +39,12 @@ def test_most_alike_equals_all_pairs(rows, blocks):
     found = plain(shapes.most_alike(asked, rows, 4, *blocks))
     assert len(found) > 150
     assert found == brute(asked, rows, 4)
+
+
+def test_equal_shapes_meet_once(spark):
+    """All pairs of these are 400 million, of their shapes 144."""
+    shape = "named_struct('vent_count', int(id % 4), 'vent_layout', 'up', 'seal', string(id % 3), 'housing', 'H', 'connector', 'IP6', 'gasket', string(null), 'lens', 'L') as features"
+    many = spark.range(20_000).selectExpr("id", shape, "id as ord")
+    found = drawings.similar_projects(many, many).where("place = 4")
+    assert found.count() == 20_000
+    assert {(r["id"], r["other"], r["score"]) for r in found.where("id in (0, 12, 48, 19999)").collect()} == {(0, 48, 1.0), (12, 48, 1.0), (48, 36, 1.0), (19999, 43, 1.0)}
