@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kgspark.functions import domain
 
 from .graph import first_per_key
+from .lineage import settle
 from .shapes import most_alike
 
 # Keys of shape features, headers of a parts list, and the words and limits of the rules.
@@ -111,10 +112,10 @@ def risks(texts: DataFrame, pairs: DataFrame, markets: DataFrame) -> DataFrame:
 def similar_projects(drawn: DataFrame, projects: DataFrame, top: int = 4) -> DataFrame:
     """``id, other, score, place``: the projects (id, features, ord) whose shape is most like that of each drawing (id, features).
 
-    The drawings are a query set against all projects; projects of one shape are compared once.
+    The drawings are a query set against all projects; projects of one shape are compared once.  The result is settled, as readers use it more than once.
     """
     one = lambda rows: rows.withColumn("kind", F.lit(""))
-    return most_alike(one(drawn), one(projects), top).select("id", "other", "score", "place")
+    return settle(most_alike(one(drawn), one(projects), top).select("id", "other", "score", "place"))
 
 
 def with_matches(found: DataFrame, projects: DataFrame) -> DataFrame:
